@@ -38,6 +38,16 @@ from pyspark.sql import Window
 
 from tidemark.functions.scalar import ratio
 
+# The grouped solve below runs in Python workers.  Pickle this module's
+# functions by value so executors need no installed copy of the package
+# (on a cluster it may still be shipped with --py-files; both work).
+try:
+    import sys as _sys
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover - older cloudpickle
+    pass
+
 # --- fixed values: state labels of the path model ----------------------------
 START = "(start)"
 CONVERSION = "(conversion)"
@@ -114,7 +124,7 @@ def _solve_chain(edges: pd.DataFrame, lasts: pd.DataFrame) -> pd.DataFrame:
     """Dense solve of the absorbing chain (runs inside one task)."""
     if edges.empty:
         return pd.DataFrame(columns=[f.name for f in _SOLVED.fields])
-    channels = sorted(set(edges["channel_from"]) | set(edges["channel_to"])
+    channels = sorted((set(edges["channel_from"]) | set(edges["channel_to"]))
                       - {START, CONVERSION})
     states = [START] + channels
     idx = {s: i for i, s in enumerate(states)}

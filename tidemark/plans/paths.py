@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import bin_center, ratio, split_amount
+from tidemark.functions.scalar import bin_center, cents, ratio, split_amount
 from tidemark.operators.attribution import (CONVERSION, START, heuristic_models,
                                             markov_model, touches, transition_matrix)
 from tidemark.operators.ranking import running_total, share_of_total, top_n, top_n_per_group
@@ -129,9 +129,10 @@ def duplicate_paths(parsed: DataFrame) -> DataFrame:
 
 
 def merge_paths(parsed: DataFrame) -> DataFrame:
-    """CP11: one row per distinct path with summed conversions and value."""
+    """CP11: one row per distinct path with summed conversions and value
+    (money kept in cents)."""
     return parsed.groupBy("medium_path").agg(
-        F.sum("conversions").cast("long").alias("conversions"), F.sum("value").alias("value"))
+        F.sum("conversions").cast("long").alias("conversions"), cents(F.sum("value")).alias("value"))
 
 
 def clean_paths(raw: DataFrame) -> DataFrame:
