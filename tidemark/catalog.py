@@ -78,6 +78,27 @@ def k_scale(spark: SparkSession, sf_dir: str) -> Column:
 
 K_SQL = "(SELECT count(*) / 15000.0 FROM orders)"
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark: SparkSession, sf_dir: str, name: str,
+           build: Callable[[], DataFrame]) -> DataFrame:
+    """Build a derived table once per session and scale factor and reuse it.
+
+    The marts and the cleaned path table feed dozens of analyses; each is
+    written once with ``checkpoint()`` into the session's checkpoint folder
+    (shared storage on a cluster), so later plans read the stored rows instead
+    of re-aggregating the fact tables, and a lost executor costs no rebuild.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    df = _SHARED.get(key)
+    if df is None:
+        from tidemark.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(spark)
+        df = build().checkpoint(eager=True)
+        _SHARED[key] = df
+    return df
+
 
 def with_sql(*parts: str, body: str) -> str:
     return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n" + body

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.catalog import K_SQL, k_scale, register
+from tidemark.catalog import K_SQL, k_scale, register, shared
 from tidemark.plans import markets as mk
 from tidemark.plans import marts
 from tidemark.plans import mediums as md
@@ -33,23 +33,25 @@ CM_DIGITS = {**{c: d for c, d in MART_DIGITS.items()
 # --- Spark inputs ----------------------------------------------------------------
 
 def mc(spark: SparkSession, sf: str) -> DataFrame:
-    return td.medium_country(spark, sf)
+    return shared(spark, sf, "medium_country", lambda: td.medium_country(spark, sf))
 
 
 def country_all(spark, sf):
-    return marts.country_mart(mc(spark, sf))
+    return shared(spark, sf, "country_all", lambda: marts.country_mart(mc(spark, sf)))
 
 
 def country_and(spark, sf):
     k = k_scale(spark, sf)
-    return country_all(spark, sf).filter(marts.keep_rule(
-        KEEP["revenue"] * k, KEEP["users"] * k, KEEP["transactions"] * k, "and"))
+    return shared(spark, sf, "country_and", lambda: country_all(spark, sf).filter(
+        marts.keep_rule(KEEP["revenue"] * k, KEEP["users"] * k, KEEP["transactions"] * k,
+                        "and")))
 
 
 def country_or(spark, sf):
     k = k_scale(spark, sf)
-    return country_all(spark, sf).filter(marts.keep_rule(
-        KEEP["revenue"] * k, KEEP["users"] * k, KEEP["transactions"] * k, "or"))
+    return shared(spark, sf, "country_or", lambda: country_all(spark, sf).filter(
+        marts.keep_rule(KEEP["revenue"] * k, KEEP["users"] * k, KEEP["transactions"] * k,
+                        "or")))
 
 
 def cm_full(spark, sf):
@@ -58,8 +60,9 @@ def cm_full(spark, sf):
 
 def cm_flag(spark, sf):
     k = k_scale(spark, sf)
-    return marts.flag_low_volume_mediums(cm_full(spark, sf), LOW_MEDIUM["revenue"] * k,
-                                         LOW_MEDIUM["users"] * k, LOW_MEDIUM["transactions"] * k)
+    return shared(spark, sf, "cm_flag", lambda: marts.flag_low_volume_mediums(
+        cm_full(spark, sf), LOW_MEDIUM["revenue"] * k, LOW_MEDIUM["users"] * k,
+        LOW_MEDIUM["transactions"] * k))
 
 
 def cm(spark, sf):

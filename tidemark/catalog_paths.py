@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog import register
+from tidemark.catalog import register, shared
 from tidemark.operators import attribution as at
 from tidemark.operators.stats import prob_grid
 from tidemark.plans import paths as pp
@@ -34,7 +34,7 @@ def nonzero(spark, sf):
 
 
 def clean(spark, sf):
-    return pp.merge_paths(nonzero(spark, sf))
+    return shared(spark, sf, "conversion_paths", lambda: pp.merge_paths(nonzero(spark, sf)))
 
 
 PATHS_SQL = """

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import resample_index
+from tidemark.operators.joins import broadcast_if_small
 
 
 def number_rows(df: DataFrame, stratum: str, order: Sequence[str]) -> DataFrame:
@@ -41,7 +42,8 @@ def stratum_sizes(rows: DataFrame, stratum: str) -> DataFrame:
 
 def bootstrap_means(df: DataFrame, stratum: str, value: str, order: Sequence[str],
                     resamples: int = 10_000, seed: int = 0,
-                    partitions: int | None = None) -> DataFrame:
+                    partitions: int | None = None,
+                    max_sample_rows: int = 2_000_000) -> DataFrame:
     """Mean of ``value`` per (resample ``boot_id``, stratum) over ``resamples``
     stratified resamples drawn with replacement (each stratum keeps its size).
 
@@ -61,7 +63,11 @@ def bootstrap_means(df: DataFrame, stratum: str, value: str, order: Sequence[str
         stratum, "boot_id",
         resample_index("boot_id", "_i", F.col("_s") + seed, "_n").alias("_row"),
     )
-    picked = draws.join(rows.select(stratum, "_row", value), [stratum, "_row"])
+    # the sample side is bounded by the input rows (mart cells), the draw side
+    # by resamples x rows: broadcast the sample behind a size check so the
+    # draws stream through a hash join without being shuffled or broadcast
+    sample = broadcast_if_small(rows.select(stratum, "_row", value), max_sample_rows)
+    picked = draws.join(sample, [stratum, "_row"])
     return picked.groupBy("boot_id", stratum).agg(F.avg(value).alias(f"mean_{value}"))
 
 
