@@ -10,12 +10,16 @@ Scale notes
 -----------
 * ``medium_country``: lineitem (the largest table) is pre-aggregated per order
   with a partial + final hash aggregate before it meets orders, so only one row
-  per order crosses the join.  The customer-level ``row_number`` shuffles orders
-  by ``o_custkey``; the customer join then reuses that partitioning.  nation is a
-  fixed 25-row dimension broadcast behind a row-count check.
+  per order crosses the join.  A customer's first order is a ``min`` aggregate
+  (partial results per task, so a hot customer does not land in one task) and
+  is matched back on the unique order key; orders, lines and first orders all
+  meet on ``o_orderkey``.  nation is a fixed 25-row dimension broadcast behind a
+  row-count check.
 * ``conversion_paths_raw``: each user's events are cut into journeys at every
-  purchase.  The running purchase count is a per-user window; one heavy user is
-  one sorted, spillable window partition.  Touches are assembled per journey
+  purchase.  The running purchase count is a two-pass segmented scan: counts
+  per (user, time bucket) are prefixed per user on the small bucket table, then
+  each bucket is scanned locally, so one user with a third of all events is
+  spread over many (user, bucket) tasks.  Touches are assembled per journey
   with ``collect_list`` + ``array_sort`` on (ts, event_id): the output row *is*
   the journey, so the group is the unit of output.
 """
@@ -70,17 +74,24 @@ def medium_country(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(day_no.cast("long")).alias("ship_days"),
     )
     o_day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
-    w_cust = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    # each customer's first order by (o_orderdate, o_orderkey): a min over a
+    # struct is an aggregate with map-side partial results, so a customer with
+    # a third of all orders is still folded inside every task; the flag goes
+    # back by the unique order key, which cannot skew
+    first = orders.groupBy("o_custkey").agg(
+        F.min(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("first_orderkey"))
     enriched = (
-        orders.withColumn("rn", F.row_number().over(w_cust))
+        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+        .join(first.select("first_orderkey"), F.col("o_orderkey") == F.col("first_orderkey"),
+              "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .select(
             _recode(F.col("n_name"), COUNTRY_RECODE).alias("country"),
             _recode(F.concat_ws("/", "c_mktsegment", F.substring("o_orderpriority", 1, 1)),
                     MEDIUM_RECODE).alias("medium"),
-            "o_custkey", "rn", "o_orderstatus", "o_totalprice",
+            "o_custkey", F.col("first_orderkey").isNotNull().alias("is_first"),
+            "o_orderstatus", "o_totalprice",
             F.coalesce("n_lines", F.lit(0)).alias("n"),
             F.coalesce("qty", F.lit(0.0)).alias("q"),
             (F.col("ship_days") / F.col("n_lines") - o_day).alias("dd"),
@@ -89,7 +100,7 @@ def medium_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.col("o_orderstatus") == "F"
     agg = enriched.groupBy("country", "medium").agg(
         F.countDistinct("o_custkey").alias("users"),
-        F.countDistinct(F.when(F.col("rn") == 1, F.col("o_custkey"))).alias("new_users"),
+        F.countDistinct(F.when(F.col("is_first"), F.col("o_custkey"))).alias("new_users"),
         F.sum("n").cast("long").alias("sessions"),
         F.count(F.when(done, F.lit(1))).cast("long").alias("transactions"),
         cents(F.coalesce(F.sum(F.when(done, F.col("o_totalprice"))), F.lit(0.0))).alias("revenue"),
@@ -144,20 +155,32 @@ medium_country AS (
 """
 
 
-def conversion_paths_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversion_paths_raw(spark: SparkSession, sf_dir: str,
+                         bucket_seconds: int = 86_400) -> DataFrame:
     """Raw conversion-path export: medium_path, conversions (double), value text."""
     ev = read_table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", "value", "props")
     is_p = F.col("event_type") == "purchase"
     k = F.get_json_object("props", "$.k").cast("long")
-    before = (Window.partitionBy("user_id").orderBy("ts", "event_id")
+    ev = ev.select("user_id", "ts", "event_id", "value", is_p.alias("is_p"),
+                   F.concat(F.col("event_type"), F.lit("-"), (k % 3).cast("string"))
+                   .alias("channel"),
+                   F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (bucket_seconds * 1e6))
+                   .alias("bucket"))
+    # pass 1: purchases per (user, bucket), prefixed over the user's buckets
+    per_bucket = ev.groupBy("user_id", "bucket").agg(
+        F.sum(F.col("is_p").cast("int")).alias("bp"))
+    prior = Window.partitionBy("user_id").orderBy("bucket").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = per_bucket.select("user_id", "bucket",
+                                F.coalesce(F.sum("bp").over(prior), F.lit(0)).alias("off"))
+    # pass 2: running count inside the bucket, plus the bucket's offset
+    before = (Window.partitionBy("user_id", "bucket").orderBy("ts", "event_id")
               .rowsBetween(Window.unboundedPreceding, -1))
-    tagged = ev.select(
-        "user_id", "ts", "event_id", "value",
-        is_p.alias("is_p"),
-        F.concat(F.col("event_type"), F.lit("-"), (k % 3).cast("string")).alias("channel"),
-        F.coalesce(F.sum(is_p.cast("int")).over(before), F.lit(0)).alias("j"),
-    )
+    tagged = (ev.withColumn("local", F.coalesce(F.sum(F.col("is_p").cast("int")).over(before),
+                                                F.lit(0)))
+              .join(offsets, ["user_id", "bucket"])
+              .withColumn("j", F.col("off") + F.col("local")))
     journeys = tagged.groupBy("user_id", "j").agg(
         F.array_sort(F.collect_list(F.when(~F.col("is_p"), F.struct(
             "ts", "event_id", "channel")))).alias("touches"),
