@@ -643,7 +643,7 @@ def q_mk33(spark, sf):
 SELECT a.country, h.f AS good_conversion_and_high_value, g.f AS good_converting_low_free_traffic,
        s.f AS potential_marketing_scaling,
        CAST(coalesce(CAST(h.f AS INT), 0) + coalesce(CAST(g.f AS INT), 0)
-            + coalesce(CAST(s.f AS INT), 0) AS BIGINT) AS score
+            + coalesce(CAST(s.f AS INT), 0) AS BIGINT) AS total_score
 FROM (SELECT country FROM hv UNION SELECT country FROM good_conv UNION SELECT country FROM uplift) a
 LEFT JOIN (SELECT DISTINCT country, TRUE AS f FROM hv) h ON a.country = h.country
 LEFT JOIN (SELECT DISTINCT country, TRUE AS f FROM good_conv) g ON a.country = g.country

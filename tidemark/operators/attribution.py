@@ -214,17 +214,20 @@ def removal_effects_iterative(counts: DataFrame, lasts: DataFrame, steps: int =
     channels = (edges.select(F.col("channel_from").alias("removed"))
                 .filter(F.col("removed") != START).distinct())
     spark = counts.sparkSession
+    from tidemark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     scenarios = channels.union(
         spark.range(1).select(F.lit(None).cast("string").alias("removed")))
     mass = scenarios.select("removed", F.lit(START).alias("node"), F.lit(1.0).alias("m"))
-    absorbed = None
+    # every scenario starts with nothing absorbed (a channel on every path
+    # never lets mass reach the conversion once removed)
+    absorbed = scenarios.select("removed", F.lit(0.0).alias("c"), F.lit(0.0).alias("e"))
     for step in range(steps):
         gain = (mass.join(exits, F.col("node") == F.col("channel_from"))
                 .groupBy("removed").agg(F.sum(F.col("m") * F.col("pc")).alias("c"),
                                         F.sum(F.col("m") * F.col("pv")).alias("e")))
-        absorbed = gain if absorbed is None else (
-            absorbed.unionByName(gain).groupBy("removed").agg(
-                F.sum("c").alias("c"), F.sum("e").alias("e")))
+        absorbed = absorbed.unionByName(gain).groupBy("removed").agg(
+            F.sum("c").alias("c"), F.sum("e").alias("e"))
         mass = (mass.join(moves, F.col("node") == F.col("channel_from"))
                 .filter(F.col("removed").isNull() | (F.col("channel_to") != F.col("removed")))
                 .groupBy("removed", F.col("channel_to").alias("node"))

@@ -148,7 +148,7 @@ def one_country(df: DataFrame, country: str) -> DataFrame:
 
 def candidate_score(lists: dict[str, DataFrame]) -> DataFrame:
     """MK34: distinct union of the candidate lists, one flag column per list
-    (left joins on country), ``score`` = number of lists naming the country."""
+    (left joins on country), ``total_score`` = number of lists naming the country."""
     names = list(lists)
     allc = None
     for df in lists.values():
@@ -158,4 +158,4 @@ def candidate_score(lists: dict[str, DataFrame]) -> DataFrame:
     for name, df in lists.items():
         out = out.join(df.select("country", F.lit(True).alias(name)).distinct(), "country", "left")
     score = sum((F.coalesce(F.col(n).cast("int"), F.lit(0)) for n in names), F.lit(0))
-    return out.withColumn("score", score.cast("long"))
+    return out.withColumn("total_score", score.cast("long"))
