@@ -51,4 +51,4 @@ def test_every_query_has_a_name_and_runs_on_smoke_data(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"mk22_welch_bootstrap"}
+    assert missing == {"cp01_sample_rows"}

@@ -468,20 +468,16 @@ def q_mk20(spark, sf):
 
 # --- MK21 bootstrap: the integer hash written out in SQL -------------------------
 
-def _bootstrap_sql(resamples: int = 10_000, seed: int = 0) -> str:
+def _bootstrap_ctes(resamples: int = 10_000, seed: int = 0) -> list[str]:
+    """The stratified bootstrap in SQL: same numbering, same integer hash."""
     from tidemark.functions import scalar as s
     p = s.HASH_P
-    return msql(f"""
-SELECT medium,
-       quantile_cont(m, 0.05) AS boot_mean_05,
-       quantile_cont(m, 0.5) AS boot_mean_50,
-       quantile_cont(m, 0.95) AS boot_mean_95
-FROM bs_means GROUP BY medium""", """
+    return ["""
 bs_in AS (
   SELECT country, medium, revenue, transactions,
          revenue / nullif(CAST(transactions AS DOUBLE), 0) AS revenue_per_transaction
   FROM cm WHERE revenue > 0 AND transactions > 0)""",
-        lump_sql("bs_l", "bs_in", "medium", 7, "revenue_per_transaction"), f"""
+            lump_sql("bs_l", "bs_in", "medium", 7, "revenue_per_transaction"), f"""
 bs_rows AS (
   SELECT medium, revenue_per_transaction,
          row_number() OVER (PARTITION BY medium ORDER BY country ASC NULLS LAST,
@@ -502,7 +498,49 @@ bs_means AS (
   SELECT d.b, d.medium, avg(r.revenue_per_transaction) AS m
   FROM bs_idx d JOIN bs_rows r ON d.medium = r.medium AND d.rn = r.rn
   GROUP BY d.b, d.medium)
-""")
+"""]
+
+
+def _bootstrap_sql() -> str:
+    return msql("""
+SELECT medium,
+       quantile_cont(m, 0.05) AS boot_mean_05,
+       quantile_cont(m, 0.5) AS boot_mean_50,
+       quantile_cont(m, 0.95) AS boot_mean_95
+FROM bs_means GROUP BY medium""", *_bootstrap_ctes())
+
+
+def _erfc_sql(x: str) -> str:
+    z = f"abs({x})"
+    t = f"(1.0 / (1.0 + 0.5 * {z}))"
+    poly = (f"(-{z} * {z} - 1.26551223 + {t} * (1.00002368 + {t} * (0.37409196 + {t} * ("
+            f"0.09678418 + {t} * (-0.18628806 + {t} * (0.27886807 + {t} * (-1.13520398 + {t} * ("
+            f"1.48851587 + {t} * (-0.82215223 + {t} * 0.17087277)))))))))")
+    ans = f"({t} * exp({poly}))"
+    return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2 - {ans} END)"
+
+
+def _welch_sql() -> str:
+    return msql(f"""
+SELECT medium1 AS group_1, medium2 AS group_2, n1 AS n_1, n2 AS n_2, m1 AS mean_1, m2 AS mean_2,
+       t, dof AS df, 0.5 * {_erfc_sql("(t * (1 - 1 / (4 * dof)) / sqrt(1 + t * t / (2 * dof))) / sqrt(2.0)")}
+         AS p_value
+FROM (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
+             (v1 / n1 + v2 / n2) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v2 / n2) ^ 2 / (n2 - 1)) AS dof
+      FROM wt)""", *_bootstrap_ctes(), """
+wt_order AS (
+  SELECT medium, row_number() OVER (ORDER BY w DESC NULLS LAST, medium ASC NULLS LAST) AS r
+  FROM (SELECT medium, sum(revenue_per_transaction) AS w FROM bs_l GROUP BY medium)),
+wt_stats AS (
+  SELECT s.medium, o.r, count(*) AS n, avg(s.m) AS m, var_samp(s.m) AS v
+  FROM bs_means s JOIN wt_order o ON s.medium = o.medium WHERE o.r <= 2
+  GROUP BY s.medium, o.r),
+wt AS (
+  SELECT max(CASE WHEN r = 1 THEN medium END) AS medium1, max(CASE WHEN r = 1 THEN n END) AS n1,
+         max(CASE WHEN r = 1 THEN m END) AS m1, max(CASE WHEN r = 1 THEN v END) AS v1,
+         max(CASE WHEN r = 2 THEN medium END) AS medium2, max(CASE WHEN r = 2 THEN n END) AS n2,
+         max(CASE WHEN r = 2 THEN m END) AS m2, max(CASE WHEN r = 2 THEN v END) AS v2
+  FROM wt_stats)""")
 
 
 @register("mk21_bootstrap_rev_per_tx", _bootstrap_sql(),
@@ -511,8 +549,8 @@ def q_mk21(spark, sf):
     return md.bootstrap_revenue_per_transaction(cm(spark, sf))
 
 
-# MK22: t and df are checkable, p is an approximation -> rows-only check
-register("mk22_welch_bootstrap", None)(
+register("mk22_welch_bootstrap", _welch_sql(),
+         {"mean_1": 4, "mean_2": 4, "t": 6, "df": 4, "p_value": 6})(
     lambda spark, sf: md.bootstrap_welch(cm(spark, sf)))
 
 
@@ -656,3 +694,75 @@ def q_mk34(spark, sf):
         "good_converting_low_free_traffic": good_conv(spark, sf),
         "potential_marketing_scaling": uplift_df(spark, sf),
     })
+
+
+# ==================================================================================
+# primitives not exercised by the analyses above
+# ==================================================================================
+
+@register("mk03_low_volume_list", msql(f"""
+SELECT country, users, new_users, sessions, transactions, revenue FROM country_all
+WHERE revenue <= {KEEP['revenue']} * {K_SQL} OR users <= {KEEP['users']} * {K_SQL}
+   OR transactions <= {KEEP['transactions']} * {K_SQL}
+ORDER BY revenue DESC"""), {"revenue": 2})
+def q_mk03_list(spark, sf):
+    """MK3 list of dropped countries: OR filter, column range users:revenue."""
+    from tidemark.operators.columns import select_range
+    k = k_scale(spark, sf)
+    low = country_all(spark, sf).filter(marts.low_volume_rule(
+        KEEP["revenue"] * k, KEEP["users"] * k, KEEP["transactions"] * k))
+    return select_range(low, "users", "revenue", "country").orderBy(F.col("revenue").desc())
+
+
+@register("mk00_n_countries", msql(
+    "SELECT count(DISTINCT country) AS n_countries, count(DISTINCT medium) AS n_mediums FROM medium_country"))
+def q_mk00_n(spark, sf):
+    """AGG8: number of distinct countries (and mediums)."""
+    return mc(spark, sf).agg(F.count_distinct("country").alias("n_countries"),
+                             F.count_distinct("medium").alias("n_mediums"))
+
+
+@register("mk25_revenue_share_hist_30", msql("""
+SELECT medium, lo + floor((revenue_share - lo) / w + 0.5) * w AS bin, count(*) AS n
+FROM (SELECT *, (SELECT min(revenue_share) FROM hb WHERE revenue_share IS NOT NULL) AS lo,
+             ((SELECT max(revenue_share) FROM hb WHERE revenue_share IS NOT NULL)
+              - (SELECT min(revenue_share) FROM hb WHERE revenue_share IS NOT NULL)) / 29.0 AS w
+      FROM hb WHERE revenue_share IS NOT NULL)
+GROUP BY 1, 2""", f"""
+hb_in AS (
+  SELECT country, CASE WHEN medium IN ('(none)', '(not set)') THEN 'unknown' ELSE medium END AS medium,
+         revenue, revenue_share FROM cm
+  WHERE country IN ({top_sql("country_or", "revenue", 50, "country")}))""",
+    lump_sql("hb", "hb_in", "medium", 7, "revenue")), {"bin": 6})
+def q_mk25_hist(spark, sf):
+    """AGG20: 30-bin histogram of the revenue share per lumped medium."""
+    from tidemark.operators.factors import lump
+    from tidemark.operators.stats import histogram_bins
+    d = md.unknown_recode(cm(spark, sf).join(md.top_countries(country_or(spark, sf), "revenue", 50),
+                                             "country", "left_semi"))
+    d = lump(d, "medium", 7, w="revenue")
+    return histogram_bins(d, "revenue_share", 30, by=["medium"])
+
+
+@register("mk26_rpt_histogram", msql("""
+SELECT medium_lumped AS medium, floor((revenue_per_transaction + 12.5) / 25.0) * 25.0 AS bin, count(*) AS n
+FROM rpt WHERE revenue_per_transaction IS NOT NULL GROUP BY 1, 2""", _RPT_SQL), {"bin": 4})
+def q_mk26_hist(spark, sf):
+    """MK26: histogram (bin width 25) of rev/tx per lumped medium."""
+    from tidemark.operators.stats import histogram
+    r = md.rpt_ranks(cells(spark, sf)).withColumn("medium", F.col("medium_lumped"))
+    return histogram(r, "revenue_per_transaction", 25.0, by=["medium"])
+
+
+@register("mk15_medium_order_revenue", msql("""
+SELECT medium, row_number() OVER (ORDER BY s DESC NULLS LAST, medium ASC NULLS LAST) AS medium_order
+FROM (SELECT medium, sum(revenue) AS s FROM cm GROUP BY medium)"""))
+def q_mk15_order(spark, sf):
+    """FCT3: medium level order by summed revenue (largest first)."""
+    return md.mediums_levels(cm(spark, sf), "revenue")
+
+
+@register("src6_tourism_slice", msql("SELECT * FROM tourists"))
+def q_src6(spark, sf):
+    """SRC6: one slice of the tourism fact, filtered on four dimensions."""
+    return td.tourists(spark, sf)

@@ -338,3 +338,26 @@ FROM (SELECT s[i] AS channel_from, s[i + 1] AS channel_to, CAST(sum(w) AS BIGINT
 register("cp22_path_search", psql(
     f"SELECT * FROM cp_parsed WHERE contains(medium_path, '{SEARCH_FRAGMENT}')"), {"value": 2})(
     lambda spark, sf: pp.path_search(parsed(spark, sf), SEARCH_FRAGMENT))
+
+
+# --- primitives not exercised above --------------------------------------------------
+
+register("cp13_channel_index", psql(
+    "SELECT channel_name, row_number() OVER (ORDER BY channel_name) AS channel_index FROM mk_result",
+    MARKOV_SQL, recursive=True))(
+    lambda spark, sf: pp.channel_index(at.markov_model(clean(spark, sf))))
+
+register("cp06_path_touches_long", psql("""
+SELECT medium_path, CAST(generate_subscripts(a, 1) AS BIGINT) AS position, unnest(a) AS medium
+FROM (SELECT medium_path, string_split(medium_path, ' > ') AS a FROM cp_clean)"""))(
+    lambda spark, sf: pp.touches_long(clean(spark, sf)))
+
+register("cp22_path_search_tail", psql(f"""
+SELECT * FROM (SELECT * FROM cp_parsed WHERE contains(medium_path, '{SEARCH_FRAGMENT}'))
+ORDER BY value ASC NULLS LAST, medium_path ASC, conversions ASC LIMIT 5"""), {"value": 2})(
+    lambda spark, sf: pp.tail_rows(pp.path_search(parsed(spark, sf), SEARCH_FRAGMENT),
+                                   ["value", "medium_path", "conversions"], 5))
+
+# SMP1: a seeded random sample has no engine-independent oracle (rows-only)
+register("cp01_sample_rows", None)(
+    lambda spark, sf: pp.sample_paths(parsed(spark, sf), 10, seed=7))

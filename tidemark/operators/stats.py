@@ -80,14 +80,18 @@ def histogram(df: DataFrame, c: str, width: float, by: Sequence[str] = (),
     return d.groupBy(*by, bin_center(c, width).alias("bin")).agg(agg.alias("n"))
 
 
-def histogram_bins(df: DataFrame, c: str, bins: int = 30) -> DataFrame:
-    """AGG20: ``bins`` equal-width bins over [min, max] (min/max as scalar
-    subqueries; ``width_bucket`` puts the max into the last bin)."""
+def histogram_bins(df: DataFrame, c: str, bins: int = 30, by: Sequence[str] = ()
+                   ) -> DataFrame:
+    """AGG20: ``bins`` equal-width bins over the global [min, max], the first
+    centred on the minimum and the last on the maximum (the default binning of
+    the reference's histogram layer), counted per facet.  min/max are scalar
+    subqueries; ``bin`` is the bin centre."""
     d = df.filter(F.col(c).isNotNull())
-    lo = d.select(F.min(c)).scalar()
-    hi = d.select(F.max(c)).scalar()
-    b = F.least(F.width_bucket(F.col(c), lo, hi, F.lit(bins)), F.lit(bins))
-    return d.groupBy(b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    lo = d.select(F.min(c).cast("double")).scalar()
+    hi = d.select(F.max(c).cast("double")).scalar()
+    width = (hi - lo) / float(bins - 1)
+    idx = F.floor((F.col(c) - lo) / width + 0.5)
+    return d.groupBy(*by, (lo + idx * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def ecdf(df: DataFrame, c: str) -> DataFrame:

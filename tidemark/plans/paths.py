@@ -202,3 +202,29 @@ def conversion_odds(tm: DataFrame) -> DataFrame:
 def path_search(parsed: DataFrame, fragment: str) -> DataFrame:
     """CP22: paths containing a medium substring (literal match)."""
     return parsed.filter(F.col("medium_path").contains(fragment))
+
+
+def channel_index(result: DataFrame) -> DataFrame:
+    """WIN11: 1-based channel index by name (the index<->name dictionary of a
+    model result)."""
+    return result.select("channel_name").withColumn(
+        "channel_index", F.row_number().over(Window.orderBy("channel_name")).cast("long"))
+
+
+def touches_long(paths: DataFrame) -> DataFrame:
+    """RSH4: the ragged touch list kept long — (path, 1-based position, medium)."""
+    return paths.select("medium_path", F.posexplode(touches("medium_path")).alias("pos", "medium")
+                        ).select("medium_path", (F.col("pos") + 1).cast("long").alias("position"),
+                                 "medium")
+
+
+def tail_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
+    """TOP5: the last ``n`` rows of ``df`` sorted descending by ``order`` —
+    i.e. the first ``n`` in ascending order (TakeOrderedAndProject)."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)
+
+
+def sample_paths(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """SMP1: ``n`` random rows (the limit is the sampling feature)."""
+    from tidemark.operators.ranking import sample_rows
+    return sample_rows(df, n, seed)
