@@ -1,0 +1 @@
+"""Generic DataFrame -> DataFrame operators."""

@@ -1,0 +1 @@
+"""Analyses composed from the operators."""

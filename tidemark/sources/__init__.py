@@ -1,0 +1 @@
+"""Readers, writers and the input builders over the shared test tables."""

@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analyses this library rebuilds are batch analyses of two full-year
+exports; they use no stream, watermark, window over event time or state.  No
+streaming operator is built here.  The batch plans are DataFrame functions, so
+a caller who does receive exports as a stream can apply any of them per
+micro-batch with ``writeStream.foreachBatch``.
+"""
