@@ -625,9 +625,9 @@ unk_cells AS (
 SELECT medium, count(*) AS n, regr_slope(revenue_share, new_users_share) AS slope,
        regr_intercept(revenue_share, new_users_share) AS intercept,
        regr_r2(revenue_share, new_users_share) AS r2,
-       corr(revenue_share, new_users_share) AS correlation
+       corr(revenue_share, new_users_share) AS revenue_new_users_share_corr
 FROM sfit GROUP BY medium""", _UNK_CELLS, lump_sql("sfit", "unk_cells", "medium", 7, "revenue")),
-          {"slope": 6, "intercept": 6, "r2": 6, "correlation": 6})
+          {"slope": 6, "intercept": 6, "r2": 6, "revenue_new_users_share_corr": 6})
 def q_mk29(spark, sf):
     return md.share_fit(cells(spark, sf))
 

@@ -52,7 +52,7 @@ cp_clean AS (
   FROM cp_nz GROUP BY medium_path),
 cp_feat AS (
   SELECT *, CAST(len(string_split(medium_path, ' > ')) AS BIGINT) AS path_length,
-         string_split(medium_path, ' > ')[1] AS first_touch
+         string_split(medium_path, ' > ')[1] AS first_touchpoint_medium
   FROM cp_nz),
 cp_states AS (
   SELECT conversions AS w, ['(start)'] || string_split(medium_path, ' > ') || ['(conversion)'] AS s
@@ -222,21 +222,21 @@ def _vbl_sql(max_len: int | None) -> str:
 SELECT * FROM (
   SELECT path_length, value, perc,
          sum(perc) OVER (ORDER BY path_length ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-           AS cumulative_perc
+           AS cumul
   FROM (SELECT path_length, value, value / sum(value) OVER () AS perc
         FROM (SELECT path_length, sum(value) AS value FROM cp_feat GROUP BY 1))) {where}""")
 
 
 register("cp09_value_by_length", _vbl_sql(None),
-         {"value": 2, "perc": 6, "cumulative_perc": 6})(
+         {"value": 2, "perc": 6, "cumul": 6})(
     lambda spark, sf: pp.value_by_length(pp.path_features(nonzero(spark, sf))))
 register("cp09_value_by_length_15", _vbl_sql(15),
-         {"value": 2, "perc": 6, "cumulative_perc": 6})(
+         {"value": 2, "perc": 6, "cumul": 6})(
     lambda spark, sf: pp.value_by_length(pp.path_features(nonzero(spark, sf)), 15))
 
 register("cp10_first_touch", psql("""
-SELECT first_touch, n, n / sum(n) OVER () AS perc
-FROM (SELECT first_touch, count(*) AS n FROM cp_feat GROUP BY 1)"""), {"perc": 6})(
+SELECT first_touchpoint_medium, n, n / sum(n) OVER () AS perc
+FROM (SELECT first_touchpoint_medium, count(*) AS n FROM cp_feat GROUP BY 1)"""), {"perc": 6})(
     lambda spark, sf: pp.first_touch_frequency(pp.path_features(nonzero(spark, sf))))
 
 register("cp11_duplicates", psql("""

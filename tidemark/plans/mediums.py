@@ -205,7 +205,8 @@ def share_fit(cells: DataFrame, n_mediums: int = 7) -> DataFrame:
     """MK29: per lumped medium, the line revenue_share ~ new_users_share and
     their correlation."""
     d = lump(unknown_recode(cells), "medium", n_mediums, w="revenue")
-    return fit_line(d, "revenue_share", "new_users_share", by=["medium"])
+    return fit_line(d, "revenue_share", "new_users_share", by=["medium"]).withColumnRenamed(
+        "correlation", "revenue_new_users_share_corr")
 
 
 def top_medium_tally(cells: DataFrame, metric: str, n_mediums: int = 7) -> DataFrame:

@@ -90,7 +90,7 @@ def path_features(parsed: DataFrame) -> DataFrame:
     """CP7: path length and first touch."""
     a = touches("medium_path")
     return parsed.withColumns({"path_length": F.size(a).cast("long"),
-                               "first_touch": F.element_at(a, 1)})
+                               "first_touchpoint_medium": F.element_at(a, 1)})
 
 
 def path_length_histogram(feat: DataFrame, lo: float | None = None,
@@ -109,7 +109,7 @@ def value_by_length(feat: DataFrame, max_length: int | None = None) -> DataFrame
     running window runs on the per-length table)."""
     g = feat.groupBy("path_length").agg(F.sum("value").alias("value"))
     g = share_of_total(g, "value", "perc")
-    g = running_total(g, "perc", "path_length", "cumulative_perc")
+    g = running_total(g, "perc", "path_length", "cumul")
     if max_length is not None:
         g = g.filter(F.col("path_length") <= max_length)
     return g
@@ -117,7 +117,7 @@ def value_by_length(feat: DataFrame, max_length: int | None = None) -> DataFrame
 
 def first_touch_frequency(feat: DataFrame) -> DataFrame:
     """CP10: paths per first touch and share."""
-    g = feat.groupBy("first_touch").agg(F.count(F.lit(1)).alias("n"))
+    g = feat.groupBy("first_touchpoint_medium").agg(F.count(F.lit(1)).alias("n"))
     return share_of_total(g, "n", "perc")
 
 
