@@ -167,17 +167,41 @@ def _solve_chain(edges: pd.DataFrame, lasts: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def chain_counts(paths: DataFrame, path: str = "medium_path", conv: str = "conversions",
+                 value: str = "value") -> DataFrame:
+    """One pass over the paths: per edge the summed conversions, and for edges
+    into ``(conversion)`` also the summed value (the last touch's value).
+
+    This is the only step that reads every path; its output is bounded by
+    ``k^2`` for ``k`` channels."""
+    a = touches(path)
+    states = F.concat(F.array(F.lit(START)), a, F.array(F.lit(CONVERSION)))
+    ex = paths.select(F.col(conv).alias("_w"), F.col(value).cast("double").alias("_v"),
+                      F.explode(_pairs(states)).alias("_e"))
+    into_conv = F.col("_e.channel_to") == CONVERSION
+    return ex.groupBy(F.col("_e.channel_from").alias("channel_from"),
+                      F.col("_e.channel_to").alias("channel_to")).agg(
+        F.sum("_w").alias("weight"),
+        F.sum(F.when(into_conv, F.col("_v"))).alias("value_in"))
+
+
 def markov_model(paths: DataFrame, path: str = "medium_path", conv: str = "conversions",
                  value: str = "value", max_states: int = 4000) -> DataFrame:
     """CP13/CP14: exact order-1 Markov attribution.
 
     Returns ``channel_name, removal_effects_conversion,
     removal_effects_conversion_value, total_conversions, total_conversion_value``.
-    The chain has at most ``max_states`` states (checked); larger chains go to
-    ``removal_effects_iterative``.
+    The paths are read once (``chain_counts``); the small chain is written
+    with ``checkpoint()`` and then checked (at most ``max_states`` states)
+    and solved.  Larger chains go to ``removal_effects_iterative``.
     """
-    counts = transition_counts(paths, path, conv)
-    lasts = last_touch_values(paths, path, conv, value)
+    from tidemark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(paths.sparkSession)
+    chain = chain_counts(paths, path, conv, value).checkpoint(eager=True)
+    counts = chain.select("channel_from", "channel_to", "weight")
+    lasts = chain.filter(F.col("channel_to") == CONVERSION).select(
+        F.col("channel_from").alias("channel"), F.col("weight").cast("double").alias("conv"),
+        F.col("value_in").alias("val"))
     n_states = (counts.select(F.col("channel_from").alias("s"))
                 .union(counts.select(F.col("channel_to").alias("s")))
                 .distinct().limit(max_states + 3).count())
