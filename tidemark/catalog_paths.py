@@ -26,7 +26,7 @@ def raw(spark, sf):
 
 
 def parsed(spark, sf):
-    return pp.parse_paths(raw(spark, sf))
+    return shared(spark, sf, "conversion_paths_parsed", lambda: pp.parse_paths(raw(spark, sf)))
 
 
 def nonzero(spark, sf):

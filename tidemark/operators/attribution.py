@@ -186,7 +186,7 @@ def chain_counts(paths: DataFrame, path: str = "medium_path", conv: str = "conve
 
 
 def markov_model(paths: DataFrame, path: str = "medium_path", conv: str = "conversions",
-                 value: str = "value", max_states: int = 4000) -> DataFrame:
+                 value: str = "value", max_states: int = 2000) -> DataFrame:
     """CP13/CP14: exact order-1 Markov attribution.
 
     Returns ``channel_name, removal_effects_conversion,

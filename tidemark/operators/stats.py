@@ -32,12 +32,75 @@ def _percentiles(value: str, probs: Sequence[float], freq: str | None,
     return F.percentile(value, arr, F.col(freq)) if freq else F.percentile(value, arr)
 
 
+def ordered_prefix(pairs: DataFrame, value: str = "value", weight: str = "n",
+                   partitions: int | None = None) -> DataFrame:
+    """Running total of ``weight`` in ``value`` order without a single-task window.
+
+    The (value, weight) pairs are range-partitioned by value; each range gets
+    its local running sum (a window partitioned by range id), and the ranges'
+    totals are prefixed on a table with one row per range.  Adds ``cum_end``
+    (inclusive running total) and ``cum_start`` (exclusive)."""
+    spark = pairs.sparkSession
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (pairs.repartitionByRange(parts, F.col(value).asc_nulls_last())
+              .withColumn("_rid", F.spark_partition_id()))
+    local_w = (Window.partitionBy("_rid").orderBy(F.col(value).asc_nulls_last())
+               .rowsBetween(Window.unboundedPreceding, 0))
+    local = ranged.withColumn("_local", F.sum(weight).over(local_w))
+    totals = ranged.groupBy("_rid").agg(F.sum(weight).alias("_t"))
+    offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
+        Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = local.join(offsets.select("_rid", "_off"), "_rid")
+    return (out.withColumn("cum_end", F.col("_off") + F.col("_local"))
+            .withColumn("cum_start", F.col("cum_end") - F.col(weight))
+            .drop("_rid", "_local", "_off"))
+
+
+def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float]) -> DataFrame:
+    """Exact type-7 quantiles of one column, distributed.
+
+    With ``N`` values, quantile ``p`` interpolates between the order statistics
+    of 0-based rank ``floor((N-1)p)`` and ``ceil((N-1)p)``.  The (value, count)
+    pairs get their rank interval from ``ordered_prefix``; each pair checks
+    row-locally which wanted ranks it covers, so only those few rows reach the
+    final one-row aggregate.  Returns (prob, value)."""
+    from tidemark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # the pairs feed four plans (total, range sample, ranges, range totals):
+    # write them once instead of recomputing the input four times
+    pairs = (df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("value"))
+             .agg(F.count(F.lit(1)).alias("n"))).checkpoint(eager=True)
+    total = pairs.select(F.sum("n")).scalar()
+    pref = ordered_prefix(pairs, "value", "n")
+    hit = []
+    for k, p in enumerate(probs):
+        h = (total - 1) * float(p)
+        lo, hi = F.floor(h), F.ceil(h)
+        covers = lambda r: (F.col("cum_start") <= r) & (r < F.col("cum_end"))
+        hit += [F.max(F.when(covers(lo), F.col("value"))).alias(f"_lo{k}"),
+                F.max(F.when(covers(hi), F.col("value"))).alias(f"_hi{k}")]
+    row = pref.agg(*hit)
+    items = []
+    for k, p in enumerate(probs):
+        h = (total - 1) * float(p)
+        q = F.col(f"_lo{k}") + (h - F.floor(h)) * (F.col(f"_hi{k}") - F.col(f"_lo{k}"))
+        items.append(F.struct(F.lit(float(p)).alias("prob"), q.alias("value")))
+    return row.select(F.explode(F.array(*items)).alias("_q")).select("_q.prob", "_q.value")
+
+
 def quantile_grid(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                   by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """AGG13/AGG16: long table (``[by...]``, ``metric``, ``prob``, ``value``).
 
-    One aggregate per metric over (value, count) pairs, unioned; the arrays are
-    turned into rows with ``posexplode``."""
+    Without groups the quantiles are exact and distributed
+    (``exact_quantiles``).  With groups, one ``percentile`` aggregate per group
+    over (value, count) pairs; the arrays become rows with ``posexplode``."""
+    if not by and not approx:
+        out = None
+        for c in columns:
+            q = exact_quantiles(df, c, probs).select(F.lit(c).alias("metric"), "prob", "value")
+            out = q if out is None else out.unionByName(q)
+        return out
     parts = []
     for c in columns:
         pairs = (df.filter(F.col(c).isNotNull())
@@ -55,15 +118,16 @@ def quantile_grid(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
 
 
 def summary(df: DataFrame, c: str) -> DataFrame:
-    """AGG14: min, q1, median, mean, q3, max of one column (one row)."""
-    pairs = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(c).alias("_s"))
-    q = F.percentile("_v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_n"))
-    return pairs.agg(
-        F.min("_v").alias("min"), q.alias("_q"),
-        (F.sum("_s") / F.sum("_n")).alias("mean"), F.max("_v").alias("max"),
-    ).select("min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-             "mean", F.col("_q")[2].alias("q3"), "max")
+    """AGG14: min, q1, median, mean, q3, max of one column (one row); the
+    quartiles come from the distributed ``exact_quantiles``."""
+    d = df.filter(F.col(c).isNotNull())
+    q = exact_quantiles(d, c, [0.25, 0.5, 0.75])
+    pick = lambda p: F.max(F.when(F.col("prob") == p, F.col("value")))
+    quart = q.agg(pick(0.25).alias("q1"), pick(0.5).alias("median"), pick(0.75).alias("q3"))
+    return quart.select(
+        d.select(F.min(c).cast("double")).scalar().alias("min"), "q1", "median",
+        d.select(F.avg(c)).scalar().alias("mean"), "q3",
+        d.select(F.max(c).cast("double")).scalar().alias("max"))
 
 
 def histogram(df: DataFrame, c: str, width: float, by: Sequence[str] = (),
@@ -96,12 +160,15 @@ def histogram_bins(df: DataFrame, c: str, bins: int = 30, by: Sequence[str] = ()
 
 def ecdf(df: DataFrame, c: str) -> DataFrame:
     """WIN12: empirical CDF at each distinct value.  Pre-aggregated to
-    (value, count) so the ordered window runs on distinct values only."""
+    (value, count); the running count is ``ordered_prefix`` (range-partitioned),
+    not a single-task window."""
+    from tidemark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
     pairs = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
     total = pairs.select(F.sum("n")).scalar()
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return pairs.withColumn("ecdf", F.sum("n").over(w) / total)
+    return ordered_prefix(pairs, "value", "n").select(
+        "value", "n", (F.col("cum_end") / total).alias("ecdf"))
 
 
 def fit_line(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:
