@@ -100,6 +100,22 @@ def resample_index(b: ColumnOrName, i: ColumnOrName, s: ColumnOrName,
     return ((x4 * HASH_F + HASH_G) % p) % col(n).cast("long")
 
 
+def with_resample_index(df, b: str, i: str, s: ColumnOrName, n: str, out: str = "_row"):
+    """``resample_index`` computed step by step in its own projections, so each
+    intermediate is evaluated once (the one-expression form repeats the inner
+    terms when squaring)."""
+    p = F.lit(HASH_P)
+    bl, il = F.col(b).cast("long"), F.col(i).cast("long")
+    d = df.withColumn("_hs", col(s).cast("long"))
+    sl = F.col("_hs")
+    d = d.withColumn("_h", (bl * HASH_A + il * HASH_B + sl * HASH_C + HASH_D) % p)
+    d = d.withColumn("_h", (F.col("_h") * F.col("_h") + bl) % p)
+    d = d.withColumn("_h", (F.col("_h") * HASH_E + il) % p)
+    d = d.withColumn("_h", (F.col("_h") * F.col("_h") + sl) % p)
+    return d.withColumn(out, ((F.col("_h") * HASH_F + HASH_G) % p) % F.col(n).cast("long")
+                        ).drop("_h", "_hs")
+
+
 def resample_index_sql(b: str, i: str, s: str, n: str) -> str:
     """The same index as DuckDB/ANSI SQL text (used by the oracle checks)."""
     p = HASH_P

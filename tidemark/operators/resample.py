@@ -23,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import resample_index
+from tidemark.functions.scalar import with_resample_index
 from tidemark.operators.joins import broadcast_if_small
 
 
@@ -53,22 +53,24 @@ def bootstrap_means(df: DataFrame, stratum: str, value: str, order: Sequence[str
     sizes = stratum_sizes(rows, stratum)
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    boots = (sizes.select(stratum, "_n", "_s",
+    boots = (sizes.select("_n", "_s",
                           F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("boot_id"))
              .repartition(parts, "boot_id"))
     draws = boots.select(
-        stratum, "boot_id", "_n", "_s",
-        F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"),
-    ).select(
-        stratum, "boot_id",
-        resample_index("boot_id", "_i", F.col("_s") + seed, "_n").alias("_row"),
-    )
+        "boot_id", "_n", "_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_i"))
+    draws = with_resample_index(draws, "boot_id", "_i", F.col("_s") + seed, "_n").select(
+        "boot_id", "_s", "_row")
     # the sample side is bounded by the input rows (mart cells), the draw side
     # by resamples x rows: broadcast the sample behind a size check so the
-    # draws stream through a hash join without being shuffled or broadcast
-    sample = broadcast_if_small(rows.select(stratum, "_row", value), max_sample_rows)
-    picked = draws.join(sample, [stratum, "_row"])
-    return picked.groupBy("boot_id", stratum).agg(F.avg(value).alias(f"mean_{value}"))
+    # draws stream through a hash join on integer keys without a shuffle
+    sample = broadcast_if_small(
+        rows.join(sizes.select(stratum, "_s"), stratum).select("_s", "_row", value),
+        max_sample_rows)
+    means = (draws.join(sample, ["_s", "_row"])
+             .groupBy("boot_id", "_s").agg(F.avg(value).alias(f"mean_{value}")))
+    # back to stratum labels (one row per stratum)
+    return means.join(sizes.select("_s", stratum), "_s").select("boot_id", stratum,
+                                                                 f"mean_{value}")
 
 
 def bootstrap_percentiles(means: DataFrame, stratum: str, value: str,

@@ -56,14 +56,28 @@ def median_share_table(cm: DataFrame, bc: DataFrame, metrics: Sequence[str] = ME
                        n_countries: int = 20, n_mediums: int = 20) -> DataFrame:
     """MK17: per medium, the median of each metric's country share over the
     top countries of that metric; each metric keeps its top mediums (ties
-    kept) and the tables are left-joined onto the first (Q14)."""
-    from tidemark.operators.joins import left_join_all
-    parts = []
-    for m in metrics:
-        d = cm.join(top_countries(bc, m, n_countries), "country", "left_semi")
-        med = d.groupBy("medium").agg(F.median(f"{m}_share").alias(f"median_{m}_share"))
-        parts.append(top_n(med, f"median_{m}_share", n_mediums))
-    return left_join_all(parts, "medium")
+    kept) and the table keeps the first metric's mediums (Q14).
+
+    One plan for all metrics: the country totals and the cell shares are
+    unpivoted to (metric, ...) rows, the top countries and top mediums are
+    ranks within each metric, and the medians are pivoted back to columns."""
+    metrics = list(metrics)
+    tops = (bc.select("country", *metrics).unpivot("country", metrics, "metric", "total")
+            .filter(F.col("total").isNotNull())
+            .withColumn("_r", F.rank().over(Window.partitionBy("metric")
+                                            .orderBy(F.col("total").desc())))
+            .filter(F.col("_r") <= n_countries).select("metric", "country"))
+    shares = (cm.select("country", "medium", *[F.col(f"{m}_share").alias(m) for m in metrics])
+              .unpivot(["country", "medium"], metrics, "metric", "share"))
+    med = (shares.join(tops, ["metric", "country"], "left_semi")
+           .groupBy("metric", "medium").agg(F.median("share").alias("median")))
+    med = (med.filter(F.col("median").isNotNull())
+           .withColumn("_r", F.rank().over(Window.partitionBy("metric")
+                                           .orderBy(F.col("median").desc())))
+           .filter(F.col("_r") <= n_mediums))
+    wide = med.groupBy("medium").pivot("metric", metrics).agg(F.first("median"))
+    wide = wide.filter(F.col(metrics[0]).isNotNull())
+    return wide.select("medium", *[F.col(m).alias(f"median_{m}_share") for m in metrics])
 
 
 def classify_mediums(cm: DataFrame, classes: DataFrame) -> DataFrame:
