@@ -161,3 +161,13 @@ def test_bootstrap_reproducible_and_partition_invariant(spark):
     assert a == b
     # every resample keeps the stratum size: means stay within the data range
     assert all(0 <= r[2] <= 29 for r in a)
+
+
+def test_preamble_without_comment_marks(spark, tmp_path):
+    p = tmp_path / "export.csv"
+    p.write_text("Report\nProperty\n\nStart 20220101\nEnd 20221231\n----\n"
+                 "Country,Medium,Users\nSpain,referral,10\nCroatia,(none),3\n")
+    from tidemark.sources.files import read_csv_skip
+    df = read_csv_skip(spark, str(p), 6, "Country string, Medium string, Users long")
+    assert df.columns == ["country", "medium", "users"]
+    assert sorted(tuple(r) for r in df.collect()) == [("Croatia", "(none)", 3), ("Spain", "referral", 10)]

@@ -67,22 +67,22 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 def read_csv_skip(spark: SparkSession, path: str, skip: int,
                   schema: StructType | str) -> DataFrame:
     """SRC1 for a preamble that is not ``#``-marked: drop the first ``skip``
-    lines of every file, then parse the rest as CSV with a header.
+    lines and the header line of every file, then parse the rest with
+    ``from_csv`` (JVM-side, no RDD).
 
-    Lines are numbered per input file by ``monotonically_increasing_id`` is not
-    stable across files, so the file is read whole-line with its name and the
-    header is recognised by position within that file using a window over
-    the (small) set of leading lines only.
+    Within one file ``monotonically_increasing_id`` grows with the line order
+    (splits of a file are consecutive partitions), so a line's offset from the
+    file's first id identifies the preamble lines of the first split.
     """
+    if not isinstance(schema, str):
+        schema = schema.simpleString()[len("struct<"):-1].replace(":", " ")
     lines = (spark.read.text(path)
              .withColumn("_f", F.input_file_name())
              .withColumn("_id", F.monotonically_increasing_id()))
-    # within one file, monotonically_increasing_id grows with the line order
     first = lines.groupBy("_f").agg(F.min("_id").alias("_base"))
     body = (lines.join(first, "_f")
-            .filter(F.col("_id") - F.col("_base") > skip)  # skip preamble + header
-            .select("value"))
-    parsed = spark.read.schema(schema).csv(body.rdd.map(lambda r: r[0]))
+            .filter((F.col("_id") - F.col("_base") > skip) & (F.length("value") > 0)))
+    parsed = body.select(F.from_csv("value", schema).alias("_r")).select("_r.*")
     return clean_names(parsed)
 
 
