@@ -10,7 +10,7 @@ Scale notes
 -----------
 * ``medium_country``: lineitem (the largest table) is pre-aggregated per order
   with a partial + final hash aggregate before it meets orders, so only one row
-  per order crosses the join.  A customer's first order is a ``min`` aggregate
+  per order crosses the join.  A customer's first order is a ``min_by`` aggregate
   (partial results per task, so a hot customer does not land in one task) and
   is matched back on the unique order key; orders, lines and first orders all
   meet on ``o_orderkey``.  nation is a fixed 25-row dimension broadcast behind a
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import cents
+from tidemark.functions.scalar import cents, ratio
 from tidemark.sources.files import read_table
 from tidemark.operators.joins import broadcast_if_small
 
@@ -74,12 +74,12 @@ def medium_country(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(day_no.cast("long")).alias("ship_days"),
     )
     o_day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
-    # each customer's first order by (o_orderdate, o_orderkey): a min over a
-    # struct is an aggregate with map-side partial results, so a customer with
+    # each customer's first order by (o_orderdate, o_orderkey): ``min_by`` is
+    # an aggregate with map-side partial results, so a customer with
     # a third of all orders is still folded inside every task; the flag goes
     # back by the unique order key, which cannot skew
     first = orders.groupBy("o_custkey").agg(
-        F.min(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("first_orderkey"))
+        F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_orderkey"))
     enriched = (
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(first.select("first_orderkey"), F.col("o_orderkey") == F.col("first_orderkey"),
@@ -98,17 +98,32 @@ def medium_country(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     )
     done = F.col("o_orderstatus") == "F"
-    agg = enriched.groupBy("country", "medium").agg(
-        F.countDistinct("o_custkey").alias("users"),
-        F.countDistinct(F.when(F.col("is_first"), F.col("o_custkey"))).alias("new_users"),
+    # two-level aggregate instead of two DISTINCT counts (which would make
+    # Spark expand every order row once per distinct aggregate before the
+    # shuffle): first per (cell, customer), then per cell.  Every measure is
+    # a sum or count, so both levels fold map-side and a hot customer or cell
+    # is pre-aggregated inside each task.
+    per_customer = enriched.groupBy("country", "medium", "o_custkey").agg(
+        F.max(F.col("is_first").cast("int")).alias("first"),
+        F.count(F.lit(1)).alias("orders"),
+        F.sum("n").alias("n"),
+        F.sum(F.when(done, F.lit(1)).otherwise(F.lit(0))).alias("tx"),
+        F.sum(F.when(done, F.col("o_totalprice"))).alias("rev"),
+        F.sum((F.col("n") <= 1).cast("int")).alias("bounces"),
+        F.sum("q").alias("q"),
+        F.sum("dd").alias("dd_sum"),
+        F.count("dd").alias("dd_n"),
+    )
+    agg = per_customer.groupBy("country", "medium").agg(
+        F.count(F.lit(1)).alias("users"),
+        F.sum("first").alias("new_users"),
         F.sum("n").cast("long").alias("sessions"),
-        F.count(F.when(done, F.lit(1))).cast("long").alias("transactions"),
-        cents(F.coalesce(F.sum(F.when(done, F.col("o_totalprice"))), F.lit(0.0))).alias("revenue"),
-        F.avg((F.col("n") <= 1).cast("double")).alias("bounce_rate"),
-        F.try_divide(F.sum("q"), F.sum("n").cast("double")).alias("pages_session"),
-        F.avg("dd").alias("avg_session_duration"),
-        F.try_divide(F.count(F.when(done, F.lit(1))).cast("double"),
-                     F.sum("n").cast("double")).alias("ecommerce_conversion_rate"),
+        F.sum("tx").cast("long").alias("transactions"),
+        cents(F.coalesce(F.sum("rev"), F.lit(0.0))).alias("revenue"),
+        ratio(F.sum("bounces"), F.sum("orders")).alias("bounce_rate"),
+        ratio(F.sum("q"), F.sum("n")).alias("pages_session"),
+        ratio(F.sum("dd_sum"), F.sum("dd_n")).alias("avg_session_duration"),
+        ratio(F.sum("tx"), F.sum("n")).alias("ecommerce_conversion_rate"),
     )
     return agg.select(
         "country", "medium",
