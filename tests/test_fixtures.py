@@ -171,3 +171,23 @@ def test_preamble_without_comment_marks(spark, tmp_path):
     df = read_csv_skip(spark, str(p), 6, "Country string, Medium string, Users long")
     assert df.columns == ["country", "medium", "users"]
     assert sorted(tuple(r) for r in df.collect()) == [("Croatia", "(none)", 3), ("Spain", "referral", 10)]
+
+
+def test_histogram_bins_constant_and_spread(spark):
+    from tidemark.operators.stats import histogram_bins
+    const = spark.createDataFrame([(5.0,), (5.0,)], "x double")
+    assert [tuple(r) for r in histogram_bins(const, "x", 30).collect()] == [(5.0, 2)]
+    spread = spark.createDataFrame([(float(i),) for i in range(30)], "x double")
+    out = histogram_bins(spread, "x", 30).collect()
+    assert len(out) == 30 and all(r.n == 1 for r in out)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    import numpy as np
+    from tidemark.operators.stats import exact_quantiles
+    vals = [float(v) for v in np.random.default_rng(3).integers(0, 50, 997)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double").repartition(5)
+    probs = [0.0, 0.05, 0.37, 0.5, 0.9, 0.99, 1.0]
+    got = {r.prob: r.value for r in exact_quantiles(df, "x", probs).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(float(np.quantile(vals, p)))

@@ -153,7 +153,8 @@ def histogram_bins(df: DataFrame, c: str, bins: int = 30, by: Sequence[str] = ()
     d = df.filter(F.col(c).isNotNull())
     lo = d.select(F.min(c).cast("double")).scalar()
     hi = d.select(F.max(c).cast("double")).scalar()
-    width = (hi - lo) / float(bins - 1)
+    # a constant column has zero range: everything falls in the first bin
+    width = F.when(hi > lo, (hi - lo) / float(bins - 1)).otherwise(F.lit(1.0))
     idx = F.floor((F.col(c) - lo) / width + 0.5)
     return d.groupBy(*by, (lo + idx * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
