@@ -766,3 +766,16 @@ def q_mk15_order(spark, sf):
 def q_src6(spark, sf):
     """SRC6: one slice of the tourism fact, filtered on four dimensions."""
     return td.tourists(spark, sf)
+
+
+@register("mk08_display", msql("""
+SELECT country, format('{:,.2f}', ecommerce_conversion_rate * 100) || '%' AS ecommerce_conversion_rate_text,
+       format('{:,.0f}', revenue) || '€' AS revenue_text
+FROM conv_ranked WHERE pr <= 0.5 AND diff_to_mean_revenue_per_transaction > 0""", _CONV_VIEW_SQL))
+def q_mk08_display(spark, sf):
+    """STR6/STR7: the MK8 list as display text (percent and thousands)."""
+    from tidemark.functions.scalar import number_text, percent_text
+    hv = q_mk08(spark, sf)
+    return hv.select("country",
+                     percent_text("ecommerce_conversion_rate", 2).alias("ecommerce_conversion_rate_text"),
+                     number_text("revenue", 0, suffix="€").alias("revenue_text"))
