@@ -372,10 +372,12 @@ def _profile_sql(metric: str, share: bool, n_countries=20, n_mediums=6, unknown=
            if unknown else "medium")
     base = f"""
 pf_base AS (
-  SELECT country, {med} AS medium, {value} FROM cm
+  SELECT country, {med} AS medium, {value}{f", {metric}, {metric}_country" if share else ""} FROM cm
   WHERE country IN ({top_sql("country_or", metric, n_countries, "country")})
     AND country <> '(not set)')"""
-    return msql(f"SELECT country, medium, sum({value}) AS {value} FROM pf GROUP BY country, medium",
+    agg = (f"CAST(sum({metric}) AS DOUBLE) / nullif(CAST(max({metric}_country) AS DOUBLE), 0)"
+           if share else f"sum({value})")
+    return msql(f"SELECT country, medium, {agg} AS {value} FROM pf GROUP BY country, medium",
                 base, lump_sql("pf", "pf_base", "medium", n_mediums, value))
 
 

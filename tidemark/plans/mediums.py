@@ -42,13 +42,21 @@ def profile(cm: DataFrame, bc: DataFrame, metric: str, n_countries: int = 20,
             n_mediums: int = 6, share: bool = False, unknown: bool = False) -> DataFrame:
     """MK15/MK16/MK24: top countries by ``metric`` (taken before "(not set)"
     is dropped, Q10), mediums lumped to ``n_mediums`` by the metric (or its
-    share), then summed per (country, lumped medium) — the stacked bar."""
+    share), then summed per (country, lumped medium) — the stacked bar.
+
+    A summed share is computed as ``sum(metric) / country total`` (one row's
+    country total is the group's): the same number as the sum of the cell
+    shares, without the rounding of a long float sum."""
     value = f"{metric}_share" if share else metric
     d = (cm.join(top_countries(bc, metric, n_countries), "country", "left_semi")
          .filter(F.col("country") != NOT_SET))
     if unknown:
         d = unknown_recode(d)
-    d = lump(d.select("country", "medium", value), "medium", n_mediums, w=value)
+    d = lump(d.select("country", "medium", value, metric, f"{metric}_country"), "medium",
+             n_mediums, w=value)
+    if share:
+        return d.groupBy("country", "medium").agg(
+            ratio(F.sum(metric), F.max(f"{metric}_country")).alias(value))
     return d.groupBy("country", "medium").agg(F.sum(value).alias(value))
 
 
