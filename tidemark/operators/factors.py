@@ -16,9 +16,12 @@ OTHER = "Other"
 
 def kept_levels(df: DataFrame, f: str, n: int, w: str | None = None,
                 with_ties: bool = True) -> DataFrame:
-    """Levels of ``f`` whose total weight (row count if ``w`` is None) ranks in
-    the top ``n``.  ``with_ties=True`` keeps every level tied at the cut (so
-    more than ``n`` may survive); otherwise ties are broken by level name."""
+    """Per level of ``f``: ``_keep`` is true when its total weight (row count
+    if ``w`` is None) ranks in the top ``n``, or when only one level would be
+    lumped (such a level is kept, the usual ``fct_lump`` rule).
+    ``with_ties=True`` keeps every level tied at the cut; otherwise ties are
+    broken by level name.  The windows run on the level table (one row per
+    category)."""
     weight = F.sum(w) if w else F.count(F.lit(1))
     totals = df.groupBy(f).agg(weight.alias("_w"))
     order = [F.col("_w").desc_nulls_last()]
@@ -26,26 +29,22 @@ def kept_levels(df: DataFrame, f: str, n: int, w: str | None = None,
         r = F.rank().over(Window.orderBy(*order))
     else:
         r = F.row_number().over(Window.orderBy(*order, F.col(f).asc_nulls_last()))
-    return totals.withColumn("_r", r).filter(F.col("_r") <= n).select(
-        f, F.lit(True).alias("_kept"))
+    ranked = totals.withColumn("_r", r)
+    over = F.sum((F.col("_r") > n).cast("int")).over(Window.partitionBy())
+    return ranked.select(f, ((over <= 1) | (F.col("_r") <= n)).alias("_keep"))
 
 
 def lump(df: DataFrame, f: str, n: int, w: str | None = None, out: str | None = None,
          other: str = OTHER, with_ties: bool = True) -> DataFrame:
     """FCT1/FCT2: keep the ``n`` heaviest levels, the rest become ``other``.
 
-    A lump that would contain a single level is not made (that level is kept),
-    matching the usual ``fct_lump`` rule.
+    A lump that would contain a single level is not made (that level is kept).
+    The kept-level table is joined back; AQE broadcasts it (one row per level).
     """
     out = out or f
-    kept = kept_levels(df, f, n, w, with_ties)
-    n_levels = df.select(F.count_distinct(f)).scalar()
-    n_kept = kept.select(F.count(F.lit(1))).scalar()
-    joined = df.join(kept, f, "left")
-    keep_all = (n_levels - n_kept) <= 1
-    lumped = (F.when(keep_all | F.col("_kept").isNotNull() | F.col(f).isNull(), F.col(f))
-              .otherwise(F.lit(other)))
-    return joined.withColumn(out, lumped).drop("_kept")
+    joined = df.join(kept_levels(df, f, n, w, with_ties), f, "left")
+    lumped = (F.when(F.col("_keep") | F.col(f).isNull(), F.col(f)).otherwise(F.lit(other)))
+    return joined.withColumn(out, lumped).drop("_keep")
 
 
 def level_order(df: DataFrame, f: str, x: str, fn: str = "median",

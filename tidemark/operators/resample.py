@@ -49,7 +49,11 @@ def bootstrap_means(df: DataFrame, stratum: str, value: str, order: Sequence[str
 
     ``order`` must make the row numbering within a stratum unique so the draw
     is reproducible."""
-    rows = number_rows(df.select(stratum, value, *order), stratum, order)
+    from tidemark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    # the numbered sample feeds the sizes, the draw generator and the join:
+    # write it once (it is as large as the input sample, not the draws)
+    rows = number_rows(df.select(stratum, value, *order), stratum, order).checkpoint(eager=True)
     sizes = stratum_sizes(rows, stratum)
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
