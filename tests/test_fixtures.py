@@ -191,3 +191,20 @@ def test_exact_quantiles_match_numpy(spark):
     got = {r.prob: r.value for r in exact_quantiles(df, "x", probs).collect()}
     for p in probs:
         assert got[p] == pytest.approx(float(np.quantile(vals, p)))
+
+
+def test_grouped_quantile_grid_match_numpy(spark):
+    import numpy as np
+    from tidemark.operators.stats import quantile_grid
+    rng = np.random.default_rng(5)
+    rows = [(g, float(rng.integers(0, 40)), float(rng.normal())) for g in ("a", "b", "c")
+            for _ in range(101 + 50 * ord(g) % 7)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(4)
+    probs = [0.0, 0.1, 0.5, 0.75, 1.0]
+    got = {(r.g, r.metric, r.prob): r.value for r in quantile_grid(df, ["x", "y"], probs, by=["g"]).collect()}
+    assert len(got) == 3 * 2 * len(probs)
+    for g in ("a", "b", "c"):
+        for m, i in (("x", 1), ("y", 2)):
+            vals = [r[i] for r in rows if r[0] == g]
+            for p in probs:
+                assert got[(g, m, p)] == pytest.approx(float(np.quantile(vals, p)))

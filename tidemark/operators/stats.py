@@ -33,88 +33,97 @@ def _percentiles(value: str, probs: Sequence[float], freq: str | None,
 
 
 def ordered_prefix(pairs: DataFrame, value: str = "value", weight: str = "n",
-                   partitions: int | None = None) -> DataFrame:
-    """Running total of ``weight`` in ``value`` order without a single-task window.
-
-    The (value, weight) pairs are range-partitioned by value; each range gets
-    its local running sum (a window partitioned by range id), and the ranges'
-    totals are prefixed on a table with one row per range.  Adds ``cum_end``
-    (inclusive running total) and ``cum_start`` (exclusive)."""
+                   by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """Running total of ``weight`` in ``value`` order (within each ``by`` group)
+    without a single-task window.
+
+    The pairs are range-partitioned by (``by``, value); each range gets its
+    local running sum (a window partitioned by range id and group), and the
+    ranges' totals are prefixed per group on a table with one row per (range,
+    group).  Adds ``cum_end`` (inclusive running total) and ``cum_start``."""
+    by = list(by)
     spark = pairs.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (pairs.repartitionByRange(parts, F.col(value).asc_nulls_last())
+    ranged = (pairs.repartitionByRange(parts, *[F.col(b).asc_nulls_last() for b in by],
+                                       F.col(value).asc_nulls_last())
               .withColumn("_rid", F.spark_partition_id()))
-    local_w = (Window.partitionBy("_rid").orderBy(F.col(value).asc_nulls_last())
+    local_w = (Window.partitionBy("_rid", *by).orderBy(F.col(value).asc_nulls_last())
                .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.withColumn("_local", F.sum(weight).over(local_w))
-    totals = ranged.groupBy("_rid").agg(F.sum(weight).alias("_t"))
+    totals = ranged.groupBy("_rid", *by).agg(F.sum(weight).alias("_t"))
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_t").over(
-        Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = local.join(offsets.select("_rid", "_off"), "_rid")
+        Window.partitionBy(*by).orderBy("_rid")
+        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = local.join(offsets.select("_rid", *by, "_off"), ["_rid", *by])
     return (out.withColumn("cum_end", F.col("_off") + F.col("_local"))
             .withColumn("cum_start", F.col("cum_end") - F.col(weight))
             .drop("_rid", "_local", "_off"))
 
 
-def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float]) -> DataFrame:
-    """Exact type-7 quantiles of one column, distributed.
+def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float],
+                    by: Sequence[str] = ()) -> DataFrame:
+    """Exact type-7 quantiles of one column (per ``by`` group), distributed.
 
-    With ``N`` values, quantile ``p`` interpolates between the order statistics
-    of 0-based rank ``floor((N-1)p)`` and ``ceil((N-1)p)``.  The (value, count)
-    pairs get their rank interval from ``ordered_prefix``; each pair checks
-    row-locally which wanted ranks it covers, so only those few rows reach the
-    final one-row aggregate.  Returns (prob, value)."""
+    With ``N`` values in a group, quantile ``p`` interpolates between the
+    order statistics of 0-based rank ``floor((N-1)p)`` and ``ceil((N-1)p)``.
+    The (value, count) pairs get their rank interval from ``ordered_prefix``;
+    each pair checks row-locally which wanted ranks it covers, so only those
+    few rows reach the final per-group aggregate.  No task holds a whole
+    group.  Returns (``by``..., prob, value)."""
     from tidemark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
-    # the pairs feed four plans (total, range sample, ranges, range totals):
-    # write them once instead of recomputing the input four times
-    pairs = (df.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("value"))
+    by = list(by)
+    # the pairs feed several plans (group sizes, range sample, ranges, range
+    # totals): write them once instead of recomputing the input each time
+    pairs = (df.filter(F.col(c).isNotNull())
+             .groupBy(*by, F.col(c).cast("double").alias("value"))
              .agg(F.count(F.lit(1)).alias("n"))).checkpoint(eager=True)
-    total = pairs.select(F.sum("n")).scalar()
-    pref = ordered_prefix(pairs, "value", "n")
+    sizes = pairs.groupBy(*by).agg(F.sum("n").alias("_N")) if by else None
+    pref = ordered_prefix(pairs, "value", "n", by)
+    if by:
+        pref = pref.join(sizes, by)
+        total = F.col("_N")
+    else:
+        total = pairs.select(F.sum("n")).scalar()
+    covers = lambda r: (F.col("cum_start") <= r) & (r < F.col("cum_end"))
     hit = []
     for k, p in enumerate(probs):
         h = (total - 1) * float(p)
-        lo, hi = F.floor(h), F.ceil(h)
-        covers = lambda r: (F.col("cum_start") <= r) & (r < F.col("cum_end"))
-        hit += [F.max(F.when(covers(lo), F.col("value"))).alias(f"_lo{k}"),
-                F.max(F.when(covers(hi), F.col("value"))).alias(f"_hi{k}")]
-    row = pref.agg(*hit)
+        hit += [F.max(F.when(covers(F.floor(h)), F.col("value"))).alias(f"_lo{k}"),
+                F.max(F.when(covers(F.ceil(h)), F.col("value"))).alias(f"_hi{k}")]
+    if by:
+        hit.append(F.first("_N").alias("_N"))
+        row = pref.groupBy(*by).agg(*hit)
+        total = F.col("_N")
+    else:
+        row = pref.agg(*hit)
     items = []
     for k, p in enumerate(probs):
         h = (total - 1) * float(p)
         q = F.col(f"_lo{k}") + (h - F.floor(h)) * (F.col(f"_hi{k}") - F.col(f"_lo{k}"))
         items.append(F.struct(F.lit(float(p)).alias("prob"), q.alias("value")))
-    return row.select(F.explode(F.array(*items)).alias("_q")).select("_q.prob", "_q.value")
+    return row.select(*by, F.explode(F.array(*items)).alias("_q")).select(
+        *by, "_q.prob", "_q.value")
 
 
 def quantile_grid(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                   by: Sequence[str] = (), approx: bool = False) -> DataFrame:
     """AGG13/AGG16: long table (``[by...]``, ``metric``, ``prob``, ``value``).
 
-    Without groups the quantiles are exact and distributed
-    (``exact_quantiles``).  With groups, one ``percentile`` aggregate per group
-    over (value, count) pairs; the arrays become rows with ``posexplode``."""
-    if not by and not approx:
-        out = None
-        for c in columns:
-            q = exact_quantiles(df, c, probs).select(F.lit(c).alias("metric"), "prob", "value")
-            out = q if out is None else out.unionByName(q)
-        return out
-    parts = []
-    for c in columns:
-        pairs = (df.filter(F.col(c).isNotNull())
-                 .groupBy(*by, F.col(c).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-        q = pairs.groupBy(*by).agg(_percentiles("_v", probs, "_n", approx).alias("_q"))
-        parts.append(q.select(
-            *by, F.lit(c).alias("metric"),
-            F.posexplode(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]), "_q"))
-        ).select(*by, "metric", F.col("col")["0"].alias("prob"),
-                 F.col("col")["_q"].alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    The metrics are unpivoted to (metric, value) rows and all quantiles come
+    from one distributed ``exact_quantiles`` pass grouped by (``by``, metric).
+    ``approx=True`` uses ``percentile_approx`` per group instead."""
+    by = list(by)
+    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        by, list(columns), "metric", "_v") if by else df.select(
+        *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        [], list(columns), "metric", "_v")
+    if approx:
+        q = long.groupBy(*by, "metric").agg(_percentiles("_v", probs, None, True).alias("_q"))
+        return q.select(*by, "metric", F.posexplode(F.arrays_zip(
+            F.array(*[F.lit(float(p)) for p in probs]), "_q"))).select(
+            *by, "metric", F.col("col")["0"].alias("prob"), F.col("col")["_q"].alias("value"))
+    return exact_quantiles(long, "_v", probs, by=[*by, "metric"])
 
 
 def summary(df: DataFrame, c: str) -> DataFrame:
