@@ -237,11 +237,6 @@ conversion_paths_raw AS (
 """
 
 
-def order_scale(spark: SparkSession, sf_dir: str) -> float:
-    """Threshold scale k = count(orders) / 15000 (1.0 at sf0.01)."""
-    return read_table(spark, sf_dir, "orders").count() / ORDERS_AT_K1
-
-
 ORDER_SCALE_SQL = "(SELECT count(*) / 15000.0 FROM orders)"
 
 
