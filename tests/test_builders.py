@@ -76,3 +76,19 @@ def test_sinks_round_trip(spark, tmp_path):
     write_csv(df, str(tmp_path / "c"))
     back = spark.read.option("header", True).schema(df.schema).csv(str(tmp_path / "c"))
     assert sorted(tuple(r) for r in back.collect()) == sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("key", ["cp14_removal_effects", "mk17_median_share_table",
+                                 "cp02_value_tail_quantiles"])
+def test_results_invariant_under_partition_count(spark, key):
+    import __spark_entry__ as entry
+    sf = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        out = []
+        for parts in ("3", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out.append(sorted(tuple(r) for r in entry.queries()[key](spark, sf).collect()))
+        assert out[0] == out[1]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
