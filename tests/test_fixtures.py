@@ -1,6 +1,5 @@
 """Hand-made fixtures (FIXTURES.md §3) and the two replayable goldens."""
 
-import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +9,6 @@ from tidemark.operators import attribution as at
 from tidemark.operators.factors import lump
 from tidemark.operators.ranking import percent_rank_desc, top_n
 from tidemark.plans import markets as mk
-from tidemark.plans import paths as pp
 
 
 def test_ties_top_n_keeps_ties(spark):

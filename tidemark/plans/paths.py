@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bin_center, cents, ratio, split_amount
-from tidemark.operators.attribution import (CONVERSION, START, heuristic_models,
+from tidemark.operators.attribution import (CONVERSION, heuristic_models,
                                             markov_model, touches, transition_matrix)
 from tidemark.operators.ranking import running_total, share_of_total, top_n, top_n_per_group
 from tidemark.operators.stats import ecdf, histogram, prob_grid, quantile_grid, summary
