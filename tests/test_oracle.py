@@ -13,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
-from check_oracle import TABLES, digest  # noqa: E402
+from check_oracle import TABLES, digest, spark_types  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 SUBSET = ["mk01_country_mart", "mk04_quantile_grid", "mk08_high_conv_high_value",
@@ -39,6 +39,8 @@ def duck():
 def test_query_matches_oracle(spark, duck, key):
     df = entry.queries()[key](spark, SF)
     srows = [tuple(r) for r in df.collect()]
+    rel = duck.sql(entry.oracle_sql()[key])
+    assert spark_types(df) == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = duck.execute(entry.oracle_sql()[key])
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()

@@ -376,7 +376,7 @@ pf_base AS (
   WHERE country IN ({top_sql("country_or", metric, n_countries, "country")})
     AND country <> '(not set)')"""
     agg = (f"CAST(sum({metric}) AS DOUBLE) / nullif(CAST(max({metric}_country) AS DOUBLE), 0)"
-           if share else f"sum({value})")
+           if share else f"sum({value})" if metric == "revenue" else f"CAST(sum({value}) AS BIGINT)")
     return msql(f"SELECT country, medium, {agg} AS {value} FROM pf GROUP BY country, medium",
                 base, lump_sql("pf", "pf_base", "medium", n_mediums, value))
 

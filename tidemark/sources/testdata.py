@@ -231,7 +231,7 @@ cp_grp AS (
   FROM cp_tag GROUP BY user_id, j),
 conversion_paths_raw AS (
   SELECT coalesce(path, '(none)') AS medium_path,
-         CASE WHEN pid % 17 = 0 THEN 3.0 ELSE 1.0 END AS conversions,
+         CAST(CASE WHEN pid % 17 = 0 THEN 3 ELSE 1 END AS DOUBLE) AS conversions,
          'EUR ' || format('{:,.2f}', round(greatest(pval - 1, 0) * 100, 2)) AS value
   FROM cp_grp WHERE has_p)
 """
