@@ -417,7 +417,7 @@ def q_mk17(spark, sf):
 @register("mk18_free_paid_classes", msql(
     "SELECT cm.country, cm.medium, mc2.class FROM cm JOIN medium_class mc2 ON cm.medium = mc2.medium"))
 def q_mk18(spark, sf):
-    return md.classify_mediums(cm(spark, sf), td.medium_class(spark, sf)).select(
+    return md.classify_mediums(cm(spark, sf), td.medium_class(mc(spark, sf))).select(
         "country", "medium", "class")
 
 
@@ -434,7 +434,7 @@ fvp AS (
 
 
 def fvp(spark, sf):
-    return md.free_vs_paid(cm(spark, sf), country_or(spark, sf), td.medium_class(spark, sf))
+    return md.free_vs_paid(cm(spark, sf), country_or(spark, sf), td.medium_class(mc(spark, sf)))
 
 
 @register("mk19_free_vs_paid", msql("SELECT * FROM fvp", _FVP_SQL),

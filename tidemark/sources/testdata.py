@@ -291,15 +291,16 @@ def tourists(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("geo").alias("country"), F.col("values").alias("tourists")))
 
 
-def medium_class(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(medium, class): segments FURNITURE/HOUSEHOLD free, AUTOMOBILE/BUILDING paid."""
-    orders = read_table(spark, sf_dir, "orders").select(
-        F.substring("o_orderpriority", 1, 1).alias("p")).distinct()
-    seg = F.array(*[F.lit(s) for s in FREE_SEGMENTS + PAID_SEGMENTS])
-    return orders.select(F.explode(seg).alias("seg"), "p").select(
-        F.concat_ws("/", "seg", "p").alias("medium"),
-        F.when(F.col("seg").isin(*FREE_SEGMENTS), F.lit("free")).otherwise(F.lit("paid"))
-        .alias("class"))
+def medium_class(mediums: DataFrame) -> DataFrame:
+    """(medium, class) for the mediums present in ``mediums`` (any table with
+    a ``medium`` column, e.g. the mart): segments FURNITURE/HOUSEHOLD are
+    free, AUTOMOBILE/BUILDING paid, the rest unclassed.  Built from the
+    already-aggregated mart, so no fact table is scanned for it."""
+    seg = F.substring_index(F.col("medium"), "/", 1)
+    return (mediums.select("medium").distinct()
+            .filter(seg.isin(*FREE_SEGMENTS, *PAID_SEGMENTS))
+            .select("medium", F.when(seg.isin(*FREE_SEGMENTS), F.lit("free"))
+                    .otherwise(F.lit("paid")).alias("class")))
 
 
 def peer_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,10 +321,9 @@ dim_nations AS (
 population AS (SELECT country, n_customers * 1000 AS population FROM dim_nations),
 tourists AS (SELECT country, CAST(n_customers * 100 AS DOUBLE) AS tourists FROM dim_nations WHERE n_regionkey <> 0),
 medium_class AS (
-  SELECT seg || '/' || p AS medium,
-         CASE WHEN seg IN ('FURNITURE', 'HOUSEHOLD') THEN 'free' ELSE 'paid' END AS class
-  FROM (SELECT DISTINCT substr(o_orderpriority, 1, 1) AS p FROM orders)
-  CROSS JOIN (VALUES ('FURNITURE'), ('HOUSEHOLD'), ('AUTOMOBILE'), ('BUILDING')) s(seg)),
+  SELECT medium, CASE WHEN split_part(medium, '/', 1) IN ('FURNITURE', 'HOUSEHOLD') THEN 'free' ELSE 'paid' END AS class
+  FROM (SELECT DISTINCT medium FROM medium_country)
+  WHERE split_part(medium, '/', 1) IN ('FURNITURE', 'HOUSEHOLD', 'AUTOMOBILE', 'BUILDING')),
 peer_pairs AS (
   SELECT country, peer_country FROM (
     SELECT country, lead(country) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS peer_country
