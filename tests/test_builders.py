@@ -92,3 +92,23 @@ def test_results_invariant_under_partition_count(spark, key):
         assert out[0] == out[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.skipif(not __import__("os").environ.get("TIDEMARK_SLOW"),
+                    reason="about 2 minutes; set TIDEMARK_SLOW=1")
+def test_iterative_markov_matches_exact_on_test_paths(spark):
+    from tidemark import catalog_paths as cpq
+    from tidemark.operators import attribution as at
+    paths = cpq.clean(spark, "/root/testdata/sf0.001")
+    exact = {r.channel_name: r for r in at.markov_model(paths).collect()}
+    chain = at.chain_counts(paths).checkpoint()
+    counts = chain.select("channel_from", "channel_to", "weight")
+    lasts = chain.filter(F.col("channel_to") == at.CONVERSION).select(
+        F.col("channel_from").alias("channel"), F.col("weight").cast("double").alias("conv"),
+        F.col("value_in").alias("val"))
+    it = {r.channel_name: r for r in at.removal_effects_iterative(counts, lasts, steps=120).collect()}
+    assert set(it) == set(exact)
+    for c in exact:
+        assert it[c].removal_effects_conversion == pytest.approx(exact[c].removal_effects_conversion, abs=1e-10)
+        assert it[c].removal_effects_conversion_value == pytest.approx(
+            exact[c].removal_effects_conversion_value, abs=1e-10)
