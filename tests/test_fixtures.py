@@ -206,3 +206,16 @@ def test_grouped_quantile_grid_match_numpy(spark):
             vals = [r[i] for r in rows if r[0] == g]
             for p in probs:
                 assert got[(g, m, p)] == pytest.approx(float(np.quantile(vals, p)))
+
+
+def test_column_helpers(spark):
+    from tidemark.operators.columns import column_range, matching, relocate, rename_with
+    df = spark.createDataFrame([(1, 2, 3, 4.0, "x")],
+                               "users long, new_users long, transactions long, revenue double, country string")
+    assert column_range(df, "new_users", "revenue") == ["new_users", "transactions", "revenue"]
+    assert matching(df, contains="users") == ["users", "new_users"]
+    assert matching(df, starts_with="new", ends_with="users") == ["new_users"]
+    assert relocate(df, "country", "users").columns[0] == "country"
+    renamed = rename_with(df, lambda c: f"{c}_country", exclude=("country",))
+    assert renamed.columns == ["users_country", "new_users_country", "transactions_country",
+                               "revenue_country", "country"]
