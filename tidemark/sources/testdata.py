@@ -263,32 +263,44 @@ TOURISM_SLICE = {"duration": "1 night or over", "c_dest": "All countries of the
                  "unit": "Number", "time": "2021-01-01"}
 
 
+def geo_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code dictionary of the tourism fact: (geo code, country label)."""
+    return _nations(spark, sf_dir).select(
+        F.format_string("G%02d", F.col("n_nationkey")).alias("geo"), "country")
+
+
 def tourism(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC6 input: a small fact (geo, duration, c_dest, unit, time, values) with
-    several slices; only nations outside region 0 appear, so the analysis's left
-    join has misses.  The analysed slice holds 100 x customers."""
+    """SRC6 input: a small coded fact (geo, duration, c_dest, unit, time,
+    values) with several slices; only nations outside region 0 appear, so the
+    analysis's left join has misses.  The analysed slice holds 100 x
+    customers; ``geo`` is a code resolved through ``geo_codes``."""
     slices = F.array(*[
         F.struct(F.lit(d).alias("duration"), F.lit(t).alias("time"), F.lit(m).alias("mult"))
         for d, t, m in (("1 night or over", "2021-01-01", 100.0),
                         ("1 night or over", "2020-01-01", 90.0),
                         ("4 nights or over", "2021-01-01", 40.0))])
     nat = _nations(spark, sf_dir).filter(F.col("n_regionkey") != 0)
-    ex = nat.select("country", "n_customers", F.explode(slices).alias("s"))
+    ex = nat.select("n_nationkey", "n_customers", F.explode(slices).alias("s"))
     return ex.select(
-        F.col("country").alias("geo"), F.col("s.duration").alias("duration"),
+        F.format_string("G%02d", F.col("n_nationkey")).alias("geo"),
+        F.col("s.duration").alias("duration"),
         F.lit("All countries of the world").alias("c_dest"), F.lit("Number").alias("unit"),
         F.to_date(F.col("s.time")).alias("time"),
         (F.col("n_customers") * F.col("s.mult")).alias("values"))
 
 
 def tourists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC6: the analysed slice as (country, tourists); the filter reaches the
-    scan of a stored fact as pushed predicates."""
+    """SRC6: the analysed slice as (country, tourists).  The slice filter is
+    applied to the fact (it reaches the scan of a stored fact as pushed
+    predicates) and the codes are replaced by labels through the dictionary,
+    broadcast behind a size check."""
     t = tourism(spark, sf_dir)
     s = TOURISM_SLICE
+    labels = broadcast_if_small(geo_codes(spark, sf_dir), 100_000)
     return (t.filter((F.col("duration") == s["duration"]) & (F.col("c_dest") == s["c_dest"])
                      & (F.col("unit") == s["unit"]) & (F.col("time") == F.to_date(F.lit(s["time"]))))
-            .select(F.col("geo").alias("country"), F.col("values").alias("tourists")))
+            .join(labels, "geo")
+            .select("country", F.col("values").alias("tourists")))
 
 
 def medium_class(mediums: DataFrame) -> DataFrame:
