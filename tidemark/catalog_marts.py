@@ -393,6 +393,10 @@ register("mk24_unknown_profile_revenue", _profile_sql("revenue", False, n_medium
          {"revenue": 2})(
     lambda spark, sf: md.profile(cm(spark, sf), country_or(spark, sf), "revenue", n_mediums=5,
                                  unknown=True))
+register("mk24_unknown_profile_revenue_share",
+         _profile_sql("revenue", True, n_mediums=6, unknown=True), {"revenue_share": 6})(
+    lambda spark, sf: md.profile(cm(spark, sf), country_or(spark, sf), "revenue", n_mediums=6,
+                                 share=True, unknown=True))
 
 
 def _median_table_sql() -> str:
