@@ -56,7 +56,12 @@ def bootstrap_means(df: DataFrame, stratum: str, value: str, order: Sequence[str
     rows = number_rows(df.select(stratum, value, *order), stratum, order).checkpoint(eager=True)
     sizes = stratum_sizes(rows, stratum)
     spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if partitions is None:
+        # spread the draws: about 200k draws per task, at most one wave of cores
+        draws_total = resamples * rows.count()
+        partitions = max(1, min(spark.sparkContext.defaultParallelism,
+                                -(-draws_total // 200_000)))
+    parts = partitions
     boots = (sizes.select("_n", "_s",
                           F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("boot_id"))
              .repartition(parts, "boot_id"))
