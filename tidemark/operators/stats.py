@@ -42,11 +42,11 @@ def ordered_prefix(pairs: DataFrame, value: str = "value", weight: str = "n",
     ranges' totals are prefixed per group on a table with one row per (range,
     group).  Adds ``cum_end`` (inclusive running total) and ``cum_start``."""
     by = list(by)
-    spark = pairs.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (pairs.repartitionByRange(parts, *[F.col(b).asc_nulls_last() for b in by],
-                                       F.col(value).asc_nulls_last())
-              .withColumn("_rid", F.spark_partition_id()))
+    keys = [*[F.col(b).asc_nulls_last() for b in by], F.col(value).asc_nulls_last()]
+    # without an explicit count AQE may coalesce adjacent ranges, which keeps
+    # them contiguous and ordered, so the range id still orders the ranges
+    ranged = (pairs.repartitionByRange(partitions, *keys) if partitions
+              else pairs.repartitionByRange(*keys)).withColumn("_rid", F.spark_partition_id())
     local_w = (Window.partitionBy("_rid", *by).orderBy(F.col(value).asc_nulls_last())
                .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.withColumn("_local", F.sum(weight).over(local_w))
