@@ -361,3 +361,11 @@ ORDER BY value ASC NULLS LAST, medium_path ASC, conversions ASC LIMIT 5"""), {"v
 # SMP1: a seeded random sample has no engine-independent oracle (rows-only)
 register("cp01_sample_rows", None)(
     lambda spark, sf: pp.sample_paths(parsed(spark, sf), 10, seed=7))
+
+register("cp20_odds_vs_best", psql("""
+SELECT channel_from, transition_probability, one_in_n,
+       one_in_n / nullif(min(one_in_n) OVER (), 0) AS ratio_to_best
+FROM (SELECT channel_from, transition_probability, 1.0 / nullif(transition_probability, 0) AS one_in_n
+      FROM cp_edges WHERE channel_to = '(conversion)')"""),
+         {"transition_probability": 6, "one_in_n": 6, "ratio_to_best": 6})(
+    lambda spark, sf: pp.odds_vs_best(at.transition_matrix(clean(spark, sf))))

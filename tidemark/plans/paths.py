@@ -228,3 +228,11 @@ def sample_paths(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """SMP1: ``n`` random rows (the limit is the sampling feature)."""
     from tidemark.operators.ranking import sample_rows
     return sample_rows(df, n, seed)
+
+
+def odds_vs_best(tm: DataFrame) -> DataFrame:
+    """CP20 comparison: each channel's "1 in N" against the best converting
+    channel (ratio of the two N; 1 for the best)."""
+    odds = conversion_odds(tm)
+    best = odds.select(F.min("one_in_n")).scalar()
+    return odds.withColumn("ratio_to_best", ratio(F.col("one_in_n"), best))
