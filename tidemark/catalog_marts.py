@@ -480,14 +480,14 @@ def _bootstrap_ctes(resamples: int = 10_000, seed: int = 0) -> list[str]:
     p = s.HASH_P
     return ["""
 bs_in AS (
-  SELECT country, medium, revenue, transactions,
+  SELECT country, medium, medium AS cell_medium, revenue, transactions,
          revenue / nullif(CAST(transactions AS DOUBLE), 0) AS revenue_per_transaction
   FROM cm WHERE revenue > 0 AND transactions > 0)""",
             lump_sql("bs_l", "bs_in", "medium", 7, "revenue_per_transaction"), f"""
 bs_rows AS (
   SELECT medium, revenue_per_transaction,
          row_number() OVER (PARTITION BY medium ORDER BY country ASC NULLS LAST,
-                            revenue_per_transaction ASC NULLS LAST) - 1 AS rn
+                            cell_medium ASC NULLS LAST) - 1 AS rn
   FROM bs_l),
 bs_sizes AS (
   SELECT medium, n, row_number() OVER (ORDER BY medium ASC NULLS LAST) + {seed} AS s

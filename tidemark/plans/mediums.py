@@ -124,9 +124,11 @@ def good_converting_low_paid(fvp: DataFrame, min_free_sessions, max_paid_session
 
 def revenue_per_transaction_rows(cm: DataFrame, n_mediums: int = 7) -> DataFrame:
     """MK21 input: cells with revenue and transactions, rev/tx, mediums
-    lumped to ``n_mediums`` by summed rev/tx."""
+    lumped to ``n_mediums`` by summed rev/tx (``cell_medium`` keeps the
+    original, so (country, cell_medium) identifies a row)."""
     d = (cm.filter((F.col("revenue") > 0) & (F.col("transactions") > 0))
-         .select("country", "medium", "revenue", "transactions")
+         .select("country", "medium", F.col("medium").alias("cell_medium"), "revenue",
+                 "transactions")
          .withColumn("revenue_per_transaction", ratio("revenue", "transactions")))
     return lump(d, "medium", n_mediums, w="revenue_per_transaction")
 
@@ -136,7 +138,7 @@ def bootstrap_revenue_per_transaction(cm: DataFrame, resamples: int = 10_000,
     """MK21: 5/50/95 percentiles of the bootstrap means of rev/tx per medium
     (stratified by medium, ``resamples`` resamples)."""
     means = bootstrap_means(revenue_per_transaction_rows(cm), "medium",
-                            "revenue_per_transaction", ["country", "revenue_per_transaction"],
+                            "revenue_per_transaction", ["country", "cell_medium"],
                             resamples, seed)
     return bootstrap_percentiles(means, "medium", "mean_revenue_per_transaction")
 
@@ -147,7 +149,7 @@ def bootstrap_welch(cm: DataFrame, resamples: int = 10_000, seed: int = 0,
     two mediums with the largest summed rev/tx (chosen inside the plan)."""
     rows = revenue_per_transaction_rows(cm)
     means = bootstrap_means(rows, "medium", "revenue_per_transaction",
-                            ["country", "revenue_per_transaction"], resamples, seed)
+                            ["country", "cell_medium"], resamples, seed)
     if first and second:
         return welch_t(means, "medium", "mean_revenue_per_transaction", first, second)
     order = (rows.groupBy("medium").agg(F.sum("revenue_per_transaction").alias("_w"))
