@@ -219,3 +219,26 @@ def test_column_helpers(spark):
     renamed = rename_with(df, lambda c: f"{c}_country", exclude=("country",))
     assert renamed.columns == ["users_country", "new_users_country", "transactions_country",
                                "revenue_country", "country"]
+
+
+def test_quantiles_with_coalesced_ranges(spark):
+    """Many ranges, some merged by AQE: the range ids must stay ordered."""
+    import numpy as np
+    from tidemark.operators.stats import exact_quantiles
+    rng = np.random.default_rng(11)
+    rows = [(g, float(v)) for g in ("a", "b") for v in rng.normal(size=20000).round(6)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions",
+                                          "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+        probs = [0.01, 0.25, 0.5, 0.9, 0.999]
+        got = {(r.g, r.prob): r.value for r in exact_quantiles(df, "x", probs, by=["g"]).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    for g in ("a", "b"):
+        vals = [v for gg, v in rows if gg == g]
+        for p in probs:
+            assert got[(g, p)] == pytest.approx(float(np.quantile(vals, p)))
