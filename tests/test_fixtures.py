@@ -242,3 +242,25 @@ def test_quantiles_with_coalesced_ranges(spark):
         vals = [v for gg, v in rows if gg == g]
         for p in probs:
             assert got[(g, p)] == pytest.approx(float(np.quantile(vals, p)))
+
+
+def test_ordered_prefix_consistent_across_branches(spark):
+    """Range ids are assigned once: every row survives and the prefix equals
+    a per-group running window (regression test for re-sampled ranges)."""
+    from pyspark.sql import Window
+    from tidemark.operators.stats import ordered_prefix
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        ev = (spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+              .select("user_id", "event_id", F.struct("ts", "event_id").alias("_ord"),
+                      (F.col("event_type") == "purchase").cast("long").alias("_p")))
+        pre = ordered_prefix(ev, "_ord", "_p", by=["user_id"])
+        w = (Window.partitionBy("user_id").orderBy("_ord")
+             .rowsBetween(Window.unboundedPreceding, -1))
+        ref = ev.select("event_id", F.coalesce(F.sum("_p").over(w), F.lit(0)).alias("j"))
+        joined = pre.join(ref, "event_id")
+        assert pre.count() == ev.count() == joined.count()
+        assert joined.filter(F.col("cum_start") != F.col("j")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)

@@ -35,7 +35,8 @@ def _percentiles(value: str, probs: Sequence[float], freq: str | None,
 def ordered_prefix(pairs: DataFrame, value: str = "value", weight: str = "n",
                    by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Running total of ``weight`` in ``value`` order (within each ``by`` group)
-    without a single-task window.
+    without a single-task window.  Meant for reduced inputs such as
+    (value, count) pairs: the range-tagged rows are written once.
 
     The pairs are range-partitioned by (``by``, value); each range gets its
     local running sum (a window partitioned by range id and group), and the
@@ -43,10 +44,18 @@ def ordered_prefix(pairs: DataFrame, value: str = "value", weight: str = "n",
     group).  Adds ``cum_end`` (inclusive running total) and ``cum_start``."""
     by = list(by)
     keys = [*[F.col(b).asc_nulls_last() for b in by], F.col(value).asc_nulls_last()]
-    # without an explicit count AQE may coalesce adjacent ranges, which keeps
-    # them contiguous and ordered, so the range id still orders the ranges
+    # The range id is a physical partition id: it is only meaningful for the
+    # one execution that assigned it.  The local sums and the range totals
+    # are two branches of the plan, and Spark would range-partition each on
+    # its own (with its own sample and its own coalescing), so the tagged rows
+    # are written once with checkpoint() and both branches read the same ids.
+    # Without an explicit count AQE may coalesce adjacent ranges, which keeps
+    # them contiguous and ordered.
+    from tidemark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(pairs.sparkSession)
     ranged = (pairs.repartitionByRange(partitions, *keys) if partitions
-              else pairs.repartitionByRange(*keys)).withColumn("_rid", F.spark_partition_id())
+              else pairs.repartitionByRange(*keys)).withColumn(
+        "_rid", F.spark_partition_id()).checkpoint(eager=True)
     local_w = (Window.partitionBy("_rid", *by).orderBy(F.col(value).asc_nulls_last())
                .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.withColumn("_local", F.sum(weight).over(local_w))
