@@ -48,8 +48,9 @@ def test_conversion_paths_builder_matches_brute_force(spark, tmp_path):
     d = tmp_path / "sf"
     d.mkdir()
     spark.createDataFrame(ev).write.parquet(str(d / "events.parquet"))
-    for bucket in (86_400, 3_600, 7 * 86_400):
-        got = sorted(tuple(r) for r in td.conversion_paths_raw(spark, str(d), bucket).collect())
+    for bucket, max_rows in ((86_400, 2_000_000), (3_600, 2_000_000), (7 * 86_400, 5), (86_400, 2)):
+        got = sorted(tuple(r) for r in td.conversion_paths_raw(
+            spark, str(d), bucket, max_bucket_rows=max_rows).collect())
         assert got == _brute(ev)
 
 

@@ -19,7 +19,8 @@ Scale notes
   purchase.  The running purchase count is a two-pass segmented scan: counts
   per (user, time bucket) are prefixed per user on the small bucket table, then
   each bucket is scanned locally, so one user with a third of all events is
-  spread over many (user, bucket) tasks.  Touches are assembled per journey
+  spread over many (user, bucket) tasks; a bucket over ``max_bucket_rows``
+  events is cut into time slices.  Touches are assembled per journey
   with ``collect_list`` + ``array_sort`` on (ts, event_id): the output row *is*
   the journey, so the group is the unit of output.
 """
@@ -170,18 +171,34 @@ medium_country AS (
 """
 
 
-def conversion_paths_raw(spark: SparkSession, sf_dir: str,
-                         bucket_seconds: int = 86_400) -> DataFrame:
-    """Raw conversion-path export: medium_path, conversions (double), value text."""
+def conversion_paths_raw(spark: SparkSession, sf_dir: str, bucket_seconds: int = 86_400,
+                         max_bucket_rows: int = 2_000_000) -> DataFrame:
+    """Raw conversion-path export: medium_path, conversions (double), value text.
+
+    The running purchase count per user is a segmented scan over (user,
+    bucket) groups.  Buckets are ``bucket_seconds`` wide; a (user, bucket)
+    holding more than ``max_bucket_rows`` events is cut into equal time
+    slices, so no single scan group exceeds about that many rows.  The list
+    of such hot groups has at most events / ``max_bucket_rows`` rows."""
     ev = read_table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", "value", "props")
     is_p = F.col("event_type") == "purchase"
     k = F.get_json_object("props", "$.k").cast("long")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    width = bucket_seconds * 1_000_000
     ev = ev.select("user_id", "ts", "event_id", "value", is_p.alias("is_p"),
                    F.concat(F.col("event_type"), F.lit("-"), (k % 3).cast("string"))
                    .alias("channel"),
-                   F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (bucket_seconds * 1e6))
-                   .alias("bucket"))
+                   micros.alias("_us"), F.floor(micros / width).alias("_day"))
+    # hot (user, bucket) groups and how many slices each needs
+    hot = (ev.groupBy("user_id", "_day").agg(F.count(F.lit(1)).alias("_c"))
+           .filter(F.col("_c") > max_bucket_rows)
+           .select("user_id", "_day", F.ceil(F.col("_c") / max_bucket_rows).alias("_k")))
+    sub = F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
+        F.floor((F.col("_us") - F.col("_day") * width) * F.col("_k") / width))
+    ev = (ev.join(hot, ["user_id", "_day"], "left")
+          .withColumn("bucket", F.struct(F.col("_day"), sub.cast("long").alias("s")))
+          .drop("_k", "_us", "_day"))
     # pass 1: purchases per (user, bucket), prefixed over the user's buckets
     per_bucket = ev.groupBy("user_id", "bucket").agg(
         F.sum(F.col("is_p").cast("int")).alias("bp"))
