@@ -9,7 +9,7 @@ Sub-packages:
                 path attribution)
 * ``plans``     the analyses composed from the operators (country mart,
                 country x medium mart, candidate markets, path attribution)
-* ``streaming`` micro-batch adapters that re-run a batch plan per trigger
+* ``streaming`` nothing: the analyses are batch-only (see its docstring)
 """
 
 __version__ = "0.1.0"
