@@ -272,12 +272,15 @@ register("cp15_heuristics", psql("SELECT * FROM heur", HEUR_SQL), _HEUR_DIGITS)(
     lambda spark, sf: at.heuristic_models(clean(spark, sf)))
 
 register("cp16_model_comparison", psql("""
-SELECT channel_name, model, value FROM (
-  SELECT m.channel_name, m.total_conversions AS markov, h.first_touch_conversions AS first,
-         h.last_touch_conversions AS last, h.linear_touch_conversions AS linear
-  FROM mk_result m LEFT JOIN heur h ON m.channel_name = h.channel_name
-  WHERE m.channel_name IN (SELECT channel_name FROM mk_top6))
-UNPIVOT (value FOR model IN (markov, first, last, linear))""", MARKOV_SQL, HEUR_SQL,
+SELECT channel_name, model, value,
+       dense_rank() OVER (ORDER BY chan_total DESC NULLS LAST, channel_name ASC NULLS LAST) AS channel_order
+FROM (SELECT *, sum(value) OVER (PARTITION BY channel_name) AS chan_total FROM (
+  SELECT channel_name, model, value FROM (
+    SELECT m.channel_name, m.total_conversions AS markov, h.first_touch_conversions AS first,
+           h.last_touch_conversions AS last, h.linear_touch_conversions AS linear
+    FROM mk_result m LEFT JOIN heur h ON m.channel_name = h.channel_name
+    WHERE m.channel_name IN (SELECT channel_name FROM mk_top6))
+  UNPIVOT (value FOR model IN (markov, first, last, linear))))""", MARKOV_SQL, HEUR_SQL,
     "mk_top6 AS (" + _top_sql("mk_result", "total_conversions", 6, "channel_name") + ")",
     recursive=True), {"value": 4})(
     lambda spark, sf: pp.model_comparison(clean(spark, sf)))

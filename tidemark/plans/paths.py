@@ -142,7 +142,8 @@ def clean_paths(raw: DataFrame) -> DataFrame:
 
 def model_comparison(paths: DataFrame, n: int = 6) -> DataFrame:
     """CP16: Markov and heuristic conversions for the top ``n`` channels by
-    Markov conversions, long form (channel_name, model, value)."""
+    Markov conversions, long form (channel_name, model, value), with the
+    channels' display order (``channel_order``)."""
     markov = markov_model(paths).select(
         "channel_name", F.col("total_conversions").alias("markov_conversions"))
     heur = heuristic_models(paths)
@@ -153,8 +154,11 @@ def model_comparison(paths: DataFrame, n: int = 6) -> DataFrame:
     conv_cols = [c for c in both.columns if c.endswith("conversions")]
     both = both.select("channel_name", *conv_cols).withColumnsRenamed(
         {c: c.replace("_conversions", "", 1) for c in conv_cols})
-    return both.unpivot("channel_name", [c.replace("_conversions", "", 1) for c in conv_cols],
+    long = both.unpivot("channel_name", [c.replace("_conversions", "", 1) for c in conv_cols],
                         "model", "value")
+    # FCT3: channels ordered by their summed credit over the models, largest first
+    from tidemark.operators.factors import level_order
+    return level_order(long, "channel_name", "value", "sum", out="channel_order", desc=True)
 
 
 def top_transitions(paths: DataFrame, n_channels: int = 11, n_targets: int = 4) -> DataFrame:
