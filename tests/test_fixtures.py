@@ -264,3 +264,34 @@ def test_ordered_prefix_consistent_across_branches(spark):
         assert joined.filter(F.col("cum_start") != F.col("j")).count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_free_vs_paid_wide_drops_missing_paid_side(spark):
+    from tidemark.plans.mediums import good_converting_low_paid
+    fvp = spark.createDataFrame(
+        [("A", "free", 5000, 0.05), ("A", "paid", 10, 0.01),
+         ("B", "free", 9000, 0.09),                      # no paid rows: NULL paid side
+         ("C", "free", 100, 0.20), ("C", "paid", 5, 0.02),
+         ("(not set)", "free", 9999, 0.5), ("(not set)", "paid", 1, 0.5)],
+        "country string, medium string, sessions long, mean_conv_rate double")
+    out = good_converting_low_paid(fvp, 1000, 100).collect()
+    assert [r.country for r in out] == ["A"]
+    assert set(out[0].asDict()) == {"country", "sessions_free", "mean_conv_rate_free",
+                                    "sessions_paid", "mean_conv_rate_paid"}
+
+
+def test_high_conversion_high_value_rules(spark):
+    from tidemark.plans.markets import high_conversion_high_value
+    mart = spark.createDataFrame(
+        [("A", 0.020, 100.0, 50), ("B", 0.010, 300.0, 50), ("C", 0.030, 301.0, 50),
+         ("D", 0.001, 500.0, 50), ("E", 0.025, 900.0, 5), ("(not set)", 0.9, 900.0, 50)],
+        "country string, ecommerce_conversion_rate double, revenue_per_transaction double, "
+        "transactions long").selectExpr("*", "1L AS users", "1L AS new_users", "1.0 AS revenue",
+                                       "1L AS sessions")
+    out = {r.country for r in high_conversion_high_value(mart, 10).collect()}
+    # mean rev/tx over A-D (E is under the floor, "(not set)" dropped) = 300.25:
+    # C (301) is above by 0.75, which truncates to 0 -> not "above average" (Q5)
+    assert out == set()
+    out = {r.country for r in high_conversion_high_value(mart, 1).collect()}
+    # with E included the mean is 420.2: only E is above, and E converts in the top half
+    assert out == {"E"}
