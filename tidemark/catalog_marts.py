@@ -785,3 +785,23 @@ def q_mk08_display(spark, sf):
     return hv.select("country",
                      percent_text("ecommerce_conversion_rate", 2).alias("ecommerce_conversion_rate_text"),
                      number_text("revenue", 0, suffix="€").alias("revenue_text"))
+
+
+@register("mk15_medium_order_max_sessions", msql("""
+SELECT medium, row_number() OVER (ORDER BY k ASC NULLS LAST, medium ASC NULLS LAST) AS medium_order
+FROM (SELECT medium, max(sessions) AS k FROM cm GROUP BY medium)"""))
+def q_mk15_order_max(spark, sf):
+    """FCT3: medium levels ordered by their largest cell sessions (ascending)."""
+    from tidemark.operators.factors import level_order
+    return level_order(cm(spark, sf).select("medium", "sessions"), "medium", "sessions", "max",
+                       out="medium_order").select("medium", "medium_order").distinct()
+
+
+@register("mk23_medium_order_median_users", msql("""
+SELECT medium, row_number() OVER (ORDER BY k ASC NULLS LAST, medium ASC NULLS LAST) AS medium_order
+FROM (SELECT medium, median(users) AS k FROM cm GROUP BY medium)"""))
+def q_mk23_order_median(spark, sf):
+    """FCT3 default: medium levels ordered by the median of users (ascending)."""
+    from tidemark.operators.factors import level_order
+    return level_order(cm(spark, sf).select("medium", "users"), "medium", "users", "median",
+                       out="medium_order").select("medium", "medium_order").distinct()
