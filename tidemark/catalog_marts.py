@@ -549,15 +549,22 @@ wt AS (
   FROM wt_stats)""")
 
 
+def boot_means(spark, sf):
+    """The 10,000 stratified resample means, computed once and shared by the
+    percentile view (MK21) and the t test (MK22)."""
+    return shared(spark, sf, "bootstrap_means",
+                  lambda: md.revenue_per_transaction_means(cm(spark, sf)))
+
+
 @register("mk21_bootstrap_rev_per_tx", _bootstrap_sql(),
           {"boot_mean_05": 4, "boot_mean_50": 4, "boot_mean_95": 4})
 def q_mk21(spark, sf):
-    return md.bootstrap_revenue_per_transaction(cm(spark, sf))
+    return md.bootstrap_revenue_per_transaction(cm(spark, sf), means=boot_means(spark, sf))
 
 
 register("mk22_welch_bootstrap", _welch_sql(),
          {"mean_1": 4, "mean_2": 4, "t": 6, "df": 4, "p_value": 6})(
-    lambda spark, sf: md.bootstrap_welch(cm(spark, sf)))
+    lambda spark, sf: md.bootstrap_welch(cm(spark, sf), means=boot_means(spark, sf)))
 
 
 def _share_dist_sql(metric: str) -> str:

@@ -133,23 +133,34 @@ def revenue_per_transaction_rows(cm: DataFrame, n_mediums: int = 7) -> DataFrame
     return lump(d, "medium", n_mediums, w="revenue_per_transaction")
 
 
+def revenue_per_transaction_means(cm: DataFrame, resamples: int = 10_000,
+                                  seed: int = 0) -> DataFrame:
+    """MK21/MK22 input: bootstrap means of rev/tx per (resample, medium),
+    stratified by medium."""
+    return bootstrap_means(revenue_per_transaction_rows(cm), "medium",
+                           "revenue_per_transaction", ["country", "cell_medium"],
+                           resamples, seed)
+
+
 def bootstrap_revenue_per_transaction(cm: DataFrame, resamples: int = 10_000,
-                                      seed: int = 0) -> DataFrame:
+                                      seed: int = 0, means: DataFrame | None = None
+                                      ) -> DataFrame:
     """MK21: 5/50/95 percentiles of the bootstrap means of rev/tx per medium
-    (stratified by medium, ``resamples`` resamples)."""
-    means = bootstrap_means(revenue_per_transaction_rows(cm), "medium",
-                            "revenue_per_transaction", ["country", "cell_medium"],
-                            resamples, seed)
+    (stratified by medium, ``resamples`` resamples; ``means`` reuses a
+    computed ``revenue_per_transaction_means``)."""
+    if means is None:
+        means = revenue_per_transaction_means(cm, resamples, seed)
     return bootstrap_percentiles(means, "medium", "mean_revenue_per_transaction")
 
 
 def bootstrap_welch(cm: DataFrame, resamples: int = 10_000, seed: int = 0,
-                    first: str | None = None, second: str | None = None) -> DataFrame:
+                    first: str | None = None, second: str | None = None,
+                    means: DataFrame | None = None) -> DataFrame:
     """MK22: Welch test on the bootstrap means of two mediums; by default the
     two mediums with the largest summed rev/tx (chosen inside the plan)."""
     rows = revenue_per_transaction_rows(cm)
-    means = bootstrap_means(rows, "medium", "revenue_per_transaction",
-                            ["country", "cell_medium"], resamples, seed)
+    if means is None:
+        means = revenue_per_transaction_means(cm, resamples, seed)
     if first and second:
         return welch_t(means, "medium", "mean_revenue_per_transaction", first, second)
     order = (rows.groupBy("medium").agg(F.sum("revenue_per_transaction").alias("_w"))
