@@ -190,18 +190,25 @@ def conversion_paths_raw(spark: SparkSession, sf_dir: str, bucket_seconds: int =
                    F.concat(F.col("event_type"), F.lit("-"), (k % 3).cast("string"))
                    .alias("channel"),
                    micros.alias("_us"), F.floor(micros / width).alias("_day"))
-    # hot (user, bucket) groups and how many slices each needs
-    hot = (ev.groupBy("user_id", "_day").agg(F.count(F.lit(1)).alias("_c"))
-           .filter(F.col("_c") > max_bucket_rows)
+    # pass 1: events and purchases per (user, day) in one aggregate; days over
+    # max_bucket_rows events are hot and get cut into _k time slices
+    days = ev.groupBy("user_id", "_day").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(F.col("is_p").cast("long")).alias("_bp"))
+    hot = (days.filter(F.col("_c") > max_bucket_rows)
            .select("user_id", "_day", F.ceil(F.col("_c") / max_bucket_rows).alias("_k")))
     sub = F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
         F.floor((F.col("_us") - F.col("_day") * width) * F.col("_k") / width))
     ev = (ev.join(hot, ["user_id", "_day"], "left")
-          .withColumn("bucket", F.struct(F.col("_day"), sub.cast("long").alias("s")))
-          .drop("_k", "_us", "_day"))
-    # pass 1: purchases per (user, bucket), prefixed over the user's buckets
-    per_bucket = ev.groupBy("user_id", "bucket").agg(
-        F.sum(F.col("is_p").cast("int")).alias("bp"))
+          .withColumn("bucket", F.struct(F.col("_day"), sub.cast("long").alias("s"))))
+    # purchases per (user, bucket): normal days straight from the day
+    # aggregate, only the rows of hot days aggregated again by slice
+    cold_buckets = days.filter(F.col("_c") <= max_bucket_rows).select(
+        "user_id", F.struct(F.col("_day"), F.lit(0).cast("long").alias("s")).alias("bucket"),
+        F.col("_bp").alias("bp"))
+    hot_buckets = (ev.filter(F.col("_k").isNotNull()).groupBy("user_id", "bucket")
+                   .agg(F.sum(F.col("is_p").cast("long")).alias("bp")))
+    per_bucket = cold_buckets.unionByName(hot_buckets)
+    ev = ev.drop("_k", "_us", "_day")
     prior = Window.partitionBy("user_id").orderBy("bucket").rowsBetween(
         Window.unboundedPreceding, -1)
     offsets = per_bucket.select("user_id", "bucket",
