@@ -18,7 +18,8 @@ from check_oracle import TABLES, digest, spark_types  # noqa: E402
 SF = "/root/testdata/sf0.01"
 SUBSET = ["mk01_country_mart", "mk04_quantile_grid", "mk08_high_conv_high_value",
           "mk12_country_medium_mart", "mk14_mediums_per_country", "mk17_median_share_table",
-          "mk20_good_conv_low_paid", "mk21_bootstrap_rev_per_tx", "mk34_candidate_score",
+          "mk20_good_conv_low_paid", "mk21_bootstrap_rev_per_tx", "mk22_welch_bootstrap",
+          "mk34_candidate_score", "cp16_model_comparison", "cp00_conversion_paths_raw",
           "cp01_parse_value", "cp09_value_by_length", "cp12_transitions", "cp13_markov",
           "cp14_removal_effects", "cp15_heuristics", "cp17_top_transitions",
           "cp21_order2_transitions"]
