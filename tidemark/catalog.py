@@ -90,7 +90,11 @@ def shared(spark: SparkSession, sf_dir: str, name: str,
     (shared storage on a cluster), so later plans read the stored rows instead
     of re-aggregating the fact tables, and a lost executor costs no rebuild.
     """
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        app = id(spark)
+    key = (app, sf_dir.rstrip("/"), name)
     df = _SHARED.get(key)
     if df is None:
         from tidemark.session import ensure_checkpoint_dir

@@ -59,8 +59,11 @@ def bootstrap_means(df: DataFrame, stratum: str, value: str, order: Sequence[str
     if partitions is None:
         # spread the draws: about 200k draws per task, at most one wave of cores
         draws_total = resamples * rows.count()
-        partitions = max(1, min(spark.sparkContext.defaultParallelism,
-                                -(-draws_total // 200_000)))
+        try:
+            slots = spark.sparkContext.defaultParallelism
+        except Exception:  # noqa: BLE001 - Spark Connect
+            slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(1, min(slots, -(-draws_total // 200_000)))
     parts = partitions
     boots = (sizes.select("_n", "_s",
                           F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("boot_id"))

@@ -44,14 +44,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = spark.conf.get("spark.checkpoint.dir", None)
     except Exception:  # noqa: BLE001
         current = None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
+        return current or ""
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        sc.setCheckpointDir(current)
         return current
-    existing = spark.sparkContext.getCheckpointDir()
+    existing = sc.getCheckpointDir()
     if existing:
         return existing
     path = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     try:
         spark.conf.set("spark.checkpoint.dir", path)
     except Exception:  # noqa: BLE001 - some deployments reject core confs at runtime
