@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import op2_packing, op3_sharding, op9_language
-from tidemark.llm.common import documents, fold
+from tidemark.llm import (
+    op2_packing, op3_sharding, op5_surrogates, op6_decontamination, op7_rollup, op8_quality,
+    op9_language)
+from tidemark.llm.common import documents, fold, shared_folder, text_or_empty, written
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -25,6 +29,86 @@ def op3_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: stands for a secret that a deployment keeps elsewhere
+SURROGATE_KEY = "documents"
+
+
+def op5_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_surrogates.replace(documents(spark, sf_dir).select("doc_id", "text"),
+                                  SURROGATE_KEY, count="n_replaced")
+
+
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_decontamination.report(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_rollup_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over ``documents``: all are loaded under two
+    tokenizer versions, the load is replayed, later copies of a text are
+    deleted, and counts are revised where licence lines go."""
+    def counted(text: Column) -> Column:
+        return F.array(
+            F.struct(F.lit("words@1").alias("tokenizer"),
+                     F.regexp_count(text, F.lit(op7_rollup.WORDS_1)).alias("tokens")),
+            F.struct(F.lit("words@2").alias("tokenizer"),
+                     F.regexp_count(text, F.lit(op7_rollup.WORDS_2)).alias("tokens")))
+
+    text = text_or_empty()
+    shorter = F.regexp_replace(text, op7_rollup.LICENCE, "")
+    counts = written(documents(spark, sf_dir).select(
+        "doc_id", "source", "lang", F.sha2(text.cast("binary"), 256).alias("key"),
+        counted(text).alias("counts"),
+        F.when(shorter != text, counted(shorter)).alias("revised")), "rollup-counts")
+    first = written(counts.groupBy("key").agg(F.min("doc_id").alias("first")), "rollup-first")
+    rows = counts.join(first, "key")
+    rollup = op7_rollup.TokenRollup(
+        spark, f"{shared_folder(spark)}/llm-rollup-{uuid.uuid4().hex}")
+    column = F.col
+
+    def each(df: DataFrame, op: str) -> DataFrame:
+        df = df.select("source", "lang", F.explode("counts").alias("c"))
+        return op7_rollup.change(df, op, column("source"), column("lang"),
+                                 column("c.tokenizer"), column("c.tokens"))
+
+    revised = (rows.filter("doc_id = first and revised is not null")
+               .select("source", "lang", F.explode(F.arrays_zip("counts", "revised")).alias("c")))
+    rollup.commit("load", each(counts, "insert"))
+    rollup.commit("load", each(counts, "insert"))
+    rollup.commit("copies", each(rows.filter("doc_id > first"), "delete"))
+    rollup.commit("licences", op7_rollup.change(
+        revised, "revise", column("source"), column("lang"), column("c.counts.tokenizer"),
+        column("c.revised.tokens"), column("c.counts.tokens")))
+    return rollup.totals()
+
+
+ORACLE_SQL["op7_rollup_totals"] = r"""
+WITH kept AS (
+  SELECT source, lang,
+         regexp_replace(coalesce(text, ''),
+           '(?m)^(Licensed under|This work is licensed under)[^\n]*\n?', '', 'g') AS t
+  FROM (SELECT *, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents)
+  WHERE doc_id = first),
+counted AS (
+  SELECT source, lang, 'words@1' AS tokenizer,
+         len(regexp_extract_all(t, '[^ \t\n\r\f\x0B]+')) AS tokens FROM kept
+  UNION ALL
+  SELECT source, lang, 'words@2',
+         len(regexp_extract_all(t, '[A-Za-z0-9]+|[^A-Za-z0-9 \t\n\r\f\x0B]')) FROM kept)
+SELECT source, lang, tokenizer, count(*) AS documents, CAST(sum(tokens) AS BIGINT) AS tokens
+FROM counted GROUP BY ALL
+"""
+
+
+def op8_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = op8_quality.fit(docs, labels.filter(fold("doc_id", 5) != 0))
+    return (op8_quality.score(docs.select("doc_id", "text", "n_chars"), model)
+            .select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score",
+                    (F.col("score") >= 0.3).cast("int").alias("predicted")))
+
+
 def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = op9_language.fit(docs.filter(fold("doc_id", 4) != 2))
@@ -33,4 +117,6 @@ def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_two_fit, op3_karmarkar_karp, op9_cross_parsing)}
+QUERIES = {f.__name__: f for f in (
+    op2_best_two_fit, op3_karmarkar_karp, op5_keyed_surrogates, op6_spaced_seeds, op7_rollup_totals,
+    op8_factorisation_machine, op9_cross_parsing)}
