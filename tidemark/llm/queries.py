@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    op2_packing, op3_sharding, op5_surrogates, op6_decontamination, op7_rollup, op8_quality,
-    op9_language)
+    op1_order_minhash, op2_packing, op3_sharding, op5_surrogates, op6_decontamination,
+    op7_rollup, op8_quality, op9_language)
 from tidemark.llm.common import documents, fold, shared_folder, text_or_empty, written
 
 ORACLE_SQL: dict[str, str] = {}
 
 
+def op1_order_minhash_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_order_minhash.compare_with_edits(documents(spark, sf_dir))
+
+
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = op2_packing.pieces(documents(spark, sf_dir),
                              public_tokenizers.path("word_bpe_49k.json"))
@@ -118,5 +122,5 @@ def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_best_two_fit, op3_karmarkar_karp, op5_keyed_surrogates, op6_spaced_seeds, op7_rollup_totals,
+    op1_order_minhash_edits, op2_best_two_fit, op3_karmarkar_karp, op5_keyed_surrogates, op6_spaced_seeds, op7_rollup_totals,
     op8_factorisation_machine, op9_cross_parsing)}
