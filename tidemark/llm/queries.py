@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
-    op1_order_minhash, op2_packing, op3_sharding, op5_surrogates, op6_decontamination,
-    op7_rollup, op8_quality, op9_language)
+    op1_order_minhash, op2_packing, op3_sharding, op4_jaccard_join, op5_surrogates,
+    op6_decontamination, op7_rollup, op8_quality, op9_language, op10_repeats)
 from tidemark.llm.common import documents, fold, shared_folder, text_or_empty, written
 
 ORACLE_SQL: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op3_karmarkar_karp(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_t_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_jaccard_join.join(documents(spark, sf_dir)).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 #: stands for a secret that a deployment keeps elsewhere
 SURROGATE_KEY = "documents"
 
@@ -121,6 +126,11 @@ def op9_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "held_out", "lang_pred", "score"))
 
 
+def op10_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_repeats.cut(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_order_minhash_edits, op2_best_two_fit, op3_karmarkar_karp, op5_keyed_surrogates, op6_spaced_seeds, op7_rollup_totals,
-    op8_factorisation_machine, op9_cross_parsing)}
+    op1_order_minhash_edits, op2_best_two_fit, op3_karmarkar_karp, op4_t_occurrence,
+    op5_keyed_surrogates, op6_spaced_seeds, op7_rollup_totals, op8_factorisation_machine,
+    op9_cross_parsing, op10_prefix_free_parsing)}
