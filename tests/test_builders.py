@@ -48,12 +48,32 @@ def test_conversion_paths_builder_matches_brute_force(spark, tmp_path):
     d = tmp_path / "sf"
     d.mkdir()
     spark.createDataFrame(ev).write.parquet(str(d / "events.parquet"))
-    for bucket, max_rows in ((86_400, 2_000_000), (3_600, 2_000_000), (7 * 86_400, 5), (86_400, 2)):
-        got = sorted(tuple(r) for r in td.conversion_paths_raw(
-            spark, str(d), bucket, max_bucket_rows=max_rows).collect())
+    for ranges in (None, 1, 3, 40):
+        got = sorted(tuple(r) for r in td.conversion_paths_raw(spark, str(d), ranges).collect())
         assert got == _brute(ev)
 
 
+def test_hot_users_without_purchases_and_bursts(spark, tmp_path):
+    """A user who never buys, a tail after the last purchase, and a burst of
+    events in one second: nothing that is not in a journey is assembled."""
+    ev = _events()
+    t0 = dt.datetime(2024, 3, 1)
+    rows, eid = [], int(ev["event_id"].max()) + 1
+    for k in range(400):
+        rows.append((eid + k, t0, 9, "view" if k % 50 else "purchase", float(k), f'{{"k": {k}}}'))
+    for k in range(300):
+        rows.append((eid + 400 + k, t0 + dt.timedelta(seconds=k // 100), 8, "click", 1.0, '{"k": 1}'))
+    ev = pd.concat([ev, pd.DataFrame(rows, columns=ev.columns)], ignore_index=True)
+    d = tmp_path / "sf"
+    d.mkdir()
+    spark.createDataFrame(ev).write.parquet(str(d / "events.parquet"))
+    paths = td.conversion_paths_raw(spark, str(d), 16)
+    assert sorted(tuple(r) for r in paths.collect()) == _brute(ev)
+    plan = paths._jdf.queryExecution().optimizedPlan().toString()
+    # the filter on journeys with a purchase stands below the collect
+    assert plan.index("collect_list") < plan.index("< total")
+
+
 def test_country_shares_sum_to_one_before_dropping(spark):
     from tidemark import catalog_marts as cmk
     sf = "/root/testdata/sf0.01"
@@ -83,33 +103,15 @@ def test_sinks_round_trip(spark, tmp_path):
                                  "cp02_value_tail_quantiles"])
 def test_results_invariant_under_partition_count(spark, key):
     import __spark_entry__ as entry
+    from tidemark import catalog
     sf = "/root/testdata/sf0.001"
     before = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         out = []
         for parts in ("3", "11"):
             spark.conf.set("spark.sql.shuffle.partitions", parts)
+            catalog.forget(spark, sf)       # else the second run reads the first one's tables
             out.append(sorted(tuple(r) for r in entry.queries()[key](spark, sf).collect()))
         assert out[0] == out[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-
-
-@pytest.mark.skipif(not __import__("os").environ.get("TIDEMARK_SLOW"),
-                    reason="about 2 minutes; set TIDEMARK_SLOW=1")
-def test_iterative_markov_matches_exact_on_test_paths(spark):
-    from tidemark import catalog_paths as cpq
-    from tidemark.operators import attribution as at
-    paths = cpq.clean(spark, "/root/testdata/sf0.001")
-    exact = {r.channel_name: r for r in at.markov_model(paths).collect()}
-    chain = at.chain_counts(paths).checkpoint()
-    counts = chain.select("channel_from", "channel_to", "weight")
-    lasts = chain.filter(F.col("channel_to") == at.CONVERSION).select(
-        F.col("channel_from").alias("channel"), F.col("weight").cast("double").alias("conv"),
-        F.col("value_in").alias("val"))
-    it = {r.channel_name: r for r in at.removal_effects_iterative(counts, lasts, steps=120).collect()}
-    assert set(it) == set(exact)
-    for c in exact:
-        assert it[c].removal_effects_conversion == pytest.approx(exact[c].removal_effects_conversion, abs=1e-10)
-        assert it[c].removal_effects_conversion_value == pytest.approx(
-            exact[c].removal_effects_conversion_value, abs=1e-10)

@@ -78,16 +78,8 @@ def test_linear_path_removal_effects(spark):
         assert res[ch].total_conversion_value == pytest.approx(50.0)
 
 
-def test_markov_exact_matches_iterative(spark, paths_basic):
+def test_markov_credits_add_up(spark, paths_basic):
     exact = {r.channel_name: r for r in at.markov_model(paths_basic).collect()}
-    counts = at.transition_counts(paths_basic)
-    lasts = at.last_touch_values(paths_basic)
-    it = {r.channel_name: r for r in at.removal_effects_iterative(counts, lasts, steps=80, checkpoint_every=20).collect()}
-    assert set(exact) == set(it)
-    for ch in exact:
-        assert exact[ch].removal_effects_conversion == pytest.approx(it[ch].removal_effects_conversion, abs=1e-9)
-        assert exact[ch].removal_effects_conversion_value == pytest.approx(
-            it[ch].removal_effects_conversion_value, abs=1e-9)
     assert sum(r.total_conversions for r in exact.values()) == pytest.approx(4)
     assert sum(r.total_conversion_value for r in exact.values()) == pytest.approx(60)
     assert all(0 <= r.removal_effects_conversion <= 1 + 1e-12 for r in exact.values())

@@ -9,7 +9,6 @@ Sub-packages:
                 attribution, joins, column helpers)
 * ``plans``     the analyses composed from the operators (country mart,
                 country x medium mart, candidate markets, path attribution)
-* ``streaming`` nothing: the analyses are batch-only (see its docstring)
 """
 
 __version__ = "0.1.0"

@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import testdata as td
 from tidemark.sources.files import read_table
 
@@ -78,34 +79,30 @@ def k_scale(spark: SparkSession, sf_dir: str) -> Column:
 
 K_SQL = "(SELECT count(*) / 15000.0 FROM orders)"
 
-_SHARED: dict[tuple, DataFrame] = {}
-
-
 def shared(spark: SparkSession, sf_dir: str, name: str,
            build: Callable[[], DataFrame]) -> DataFrame:
-    """Build a derived table once per session and scale factor and reuse it.
+    """Build a derived table once per session and folder and reuse it.
 
     The marts and the cleaned path table feed dozens of analyses; each is
     written once with ``checkpoint()`` into the session's checkpoint folder
     (shared storage on a cluster), so later plans read the stored rows instead
     of re-aggregating the fact tables, and a lost executor costs no rebuild.
+    The tables belong to the session object; ``forget`` drops them, for
+    instance after the input was rewritten.
     """
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
-        app = id(spark)
-    key = (app, sf_dir.rstrip("/"), name)
-    df = _SHARED.get(key)
-    if df is None:
-        from tidemark.session import ensure_checkpoint_dir
+    key = (sf_dir.rstrip("/"), name)
+    kept = spark.__dict__.setdefault("_tidemark_shared", {})
+    if key not in kept:
         ensure_checkpoint_dir(spark)
-        df = build().checkpoint(eager=True)
-        _SHARED[key] = df
-    return df
+        kept[key] = build().checkpoint(eager=True)
+    return kept[key]
 
 
-def with_sql(*parts: str, body: str) -> str:
-    return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n" + body
+def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Drop the session's shared tables (of one folder)."""
+    kept = spark.__dict__.get("_tidemark_shared", {})
+    for key in [k for k in kept if sf_dir is None or k[0] == sf_dir.rstrip("/")]:
+        del kept[key]
 
 
 from tidemark.catalog_marts import *  # noqa: E402,F401,F403

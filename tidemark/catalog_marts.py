@@ -11,7 +11,8 @@ from tidemark.plans import marts
 from tidemark.plans import mediums as md
 from tidemark.sources import testdata as td
 from tidemark.sources.files import read_table
-from tidemark.operators.stats import prob_grid
+from tidemark.operators.resample import replicates_not_greater
+from tidemark.operators.stats import exact_quantiles, prob_grid
 
 # --- thresholds at k = 1 -------------
 KEEP = dict(revenue=45e6, users=230, transactions=185)
@@ -295,6 +296,21 @@ def q_mk10(spark, sf):
     return penetration(spark, sf)
 
 
+@register("mk10_penetration_all", msql(f"""
+SELECT c.country, c.customers, CAST(p.population AS BIGINT) AS population,
+       round_even(t.tourists, 0) AS tourists,
+       CAST(floor(1.0 / nullif(c.customers / t.tourists, 0)) AS BIGINT) AS one_in_n_tourists_has_transacted,
+       round(c.customers / t.tourists, 5) AS customers_share,
+       round_even(c.revenue, 0) AS revenue,
+       round_even(c.revenue_per_transaction, 0) AS revenue_per_transaction
+FROM pen_cust c LEFT JOIN population p ON c.country = p.country
+     LEFT JOIN tourists t ON c.country = t.country""", _PEN_SQL), {"customers_share": 6})
+def q_mk10_all(spark, sf):
+    """MK10 before the matched-only cut, with the population."""
+    return mk.market_penetration(country_and(spark, sf), td.population(spark, sf),
+                                 td.tourists(spark, sf), matched_only=False)
+
+
 _UPLIFT_SQL = """
 uplift AS (
   SELECT pp.peer_country, pp.country, me.customers, me.tourists, me.customers_share, me.revenue,
@@ -362,6 +378,23 @@ def q_mk14(spark, sf):
     return marts.mediums_per_country(cm_flag(spark, sf))
 
 
+@register("mk14_flag_order", msql("""
+SELECT country, is_low_volume_medium, n_mediums, n_mediums_total,
+       CASE WHEN is_low_volume_medium THEN 1 ELSE 2 END AS flag_order
+FROM mpc_l WHERE country_lumped <> 'Other'""", """
+mpc AS (
+  SELECT country, is_low_volume_medium, n_mediums,
+         CAST(sum(n_mediums) OVER (PARTITION BY country) AS BIGINT) AS n_mediums_total
+  FROM (SELECT country, is_low_volume_medium, count(DISTINCT medium) AS n_mediums
+        FROM cm_flag GROUP BY 1, 2))""", lump_sql("mpc_l", "mpc", "country", 20, "n_mediums_total",
+                                                   out="country_lumped", ties=False)))
+def q_mk14_order(spark, sf):
+    """FCT4: the flag as an ordered level, TRUE first."""
+    from tidemark.operators.factors import bool_level_order
+    return marts.mediums_per_country(cm_flag(spark, sf)).withColumn(
+        "flag_order", bool_level_order("is_low_volume_medium"))
+
+
 # ==================================================================================
 # MK15-MK33 medium profiles (country x medium document: OR-kept country mart)
 # ==================================================================================
@@ -490,12 +523,12 @@ bs_rows AS (
                             cell_medium ASC NULLS LAST) - 1 AS rn
   FROM bs_l),
 bs_sizes AS (
-  SELECT medium, n, row_number() OVER (ORDER BY medium ASC NULLS LAST) + {seed} AS s
+  SELECT medium, n, row_number() OVER (ORDER BY medium ASC NULLS LAST) AS s
   FROM (SELECT medium, count(*) AS n FROM bs_rows GROUP BY medium)),
 bs_draw AS (
   SELECT medium, b, i, n, s FROM bs_sizes,
          range(0, {resamples}) r1(b), LATERAL (SELECT unnest(range(0, n)) AS i)),
-bs_h1 AS (SELECT medium, b, i, n, s, (b * {s.HASH_A} + i * {s.HASH_B} + s * {s.HASH_C} + {s.HASH_D}) % {p} AS x FROM bs_draw),
+bs_h1 AS (SELECT medium, b, i, n, s, (b * {s.HASH_A} + i * {s.HASH_B} + s * {s.HASH_C} + {s.HASH_D + seed % p * s.HASH_S % p}) % {p} AS x FROM bs_draw),
 bs_h2 AS (SELECT medium, b, i, n, s, (x * x + b) % {p} AS x FROM bs_h1),
 bs_h3 AS (SELECT medium, b, i, n, s, (x * {s.HASH_E} + i) % {p} AS x FROM bs_h2),
 bs_h4 AS (SELECT medium, b, i, n, s, (x * x + s) % {p} AS x FROM bs_h3),
@@ -526,14 +559,18 @@ def _erfc_sql(x: str) -> str:
     return f"(CASE WHEN {x} >= 0 THEN {ans} ELSE 2 - {ans} END)"
 
 
-def _welch_sql() -> str:
+def _welch_select(*stats: str) -> str:
+    """The test on the one row of ``wt``, which the last CTE makes."""
     return msql(f"""
 SELECT medium1 AS group_1, medium2 AS group_2, n1 AS n_1, n2 AS n_2, m1 AS mean_1, m2 AS mean_2,
        t, dof AS df, 0.5 * {_erfc_sql("(t * (1 - 1 / (4 * dof)) / sqrt(1 + t * t / (2 * dof))) / sqrt(2.0)")}
          AS p_value
 FROM (SELECT *, (m1 - m2) / sqrt(v1 / n1 + v2 / n2) AS t,
              (v1 / n1 + v2 / n2) ^ 2 / ((v1 / n1) ^ 2 / (n1 - 1) + (v2 / n2) ^ 2 / (n2 - 1)) AS dof
-      FROM wt)""", *_bootstrap_ctes(), """
+      FROM wt)""", *_bootstrap_ctes(), *stats)
+
+
+_TOP_TWO_SQL = """
 wt_order AS (
   SELECT medium, row_number() OVER (ORDER BY w DESC NULLS LAST, medium ASC NULLS LAST) AS r
   FROM (SELECT medium, sum(revenue_per_transaction) AS w FROM bs_l GROUP BY medium)),
@@ -546,7 +583,7 @@ wt AS (
          max(CASE WHEN r = 1 THEN m END) AS m1, max(CASE WHEN r = 1 THEN v END) AS v1,
          max(CASE WHEN r = 2 THEN medium END) AS medium2, max(CASE WHEN r = 2 THEN n END) AS n2,
          max(CASE WHEN r = 2 THEN m END) AS m2, max(CASE WHEN r = 2 THEN v END) AS v2
-  FROM wt_stats)""")
+  FROM wt_stats)"""
 
 
 def boot_means(spark, sf):
@@ -562,11 +599,43 @@ def q_mk21(spark, sf):
     return md.bootstrap_revenue_per_transaction(cm(spark, sf), means=boot_means(spark, sf))
 
 
-register("mk22_welch_bootstrap", _welch_sql(),
+register("mk22_welch_bootstrap", _welch_select(_TOP_TWO_SQL),
          {"mean_1": 4, "mean_2": 4, "t": 6, "df": 4, "p_value": 6})(
     lambda spark, sf: md.bootstrap_welch(cm(spark, sf), means=boot_means(spark, sf)))
 
 
+# fixed values: two mediums that the test tables keep through the lumping
+WELCH_PAIR = ("BUILDING/2", "MACHINERY/3")
+_PAIR_SQL = f"""
+wt AS (
+  SELECT a.medium AS medium1, a.n AS n1, a.m AS m1, a.v AS v1,
+         b.medium AS medium2, b.n AS n2, b.m AS m2, b.v AS v2
+  FROM wt_all a JOIN wt_all b ON a.medium = '{WELCH_PAIR[0]}' AND b.medium = '{WELCH_PAIR[1]}')"""
+_ALL_SQL = """
+wt_all AS (SELECT medium, count(*) AS n, avg(m) AS m, var_samp(m) AS v FROM bs_means GROUP BY medium)"""
+
+register("mk22_welch_named", _welch_select(_ALL_SQL, _PAIR_SQL),
+         {"mean_1": 4, "mean_2": 4, "t": 6, "df": 4, "p_value": 6})(
+    lambda spark, sf: md.bootstrap_welch(cm(spark, sf), first=WELCH_PAIR[0], second=WELCH_PAIR[1],
+                                         means=boot_means(spark, sf)))
+
+register("mk22_replicates_not_greater", msql(f"""
+SELECT count(*) AS n, avg(CASE WHEN a.m - b.m <= 0 THEN 1.0 ELSE 0.0 END) AS share_not_greater
+FROM bs_means a JOIN bs_means b ON a.b = b.b
+WHERE a.medium = '{WELCH_PAIR[0]}' AND b.medium = '{WELCH_PAIR[1]}'""", *_bootstrap_ctes()),
+         {"share_not_greater": 6})(
+    lambda spark, sf: replicates_not_greater(boot_means(spark, sf), "medium",
+                                             "mean_revenue_per_transaction", *WELCH_PAIR))
+
+BOOT_PROBS = (0.05, 0.5, 0.95)
+register("mk21_bootstrap_long", msql("\nUNION ALL\n".join(
+    f"SELECT medium, CAST({q!r} AS DOUBLE) AS prob, quantile_cont(m, {q!r}) AS value "
+    f"FROM bs_means GROUP BY medium" for q in BOOT_PROBS), *_bootstrap_ctes()),
+         {"prob": 6, "value": 4})(
+    lambda spark, sf: exact_quantiles(boot_means(spark, sf), "mean_revenue_per_transaction",
+                                      BOOT_PROBS, by=["medium"]))
+
+
 def _share_dist_sql(metric: str) -> str:
     return msql(f"""
 SELECT medium, floor(({metric}_share + 0.0075) / 0.015) * 0.015 AS bin, count(*) AS n
@@ -652,9 +721,15 @@ SELECT medium, count(*) AS n FROM (
   FROM tm) WHERE r <= 1 GROUP BY medium""", _UNK_CELLS, lump_sql("tm", "unk_cells", "medium", 7, metric))
 
 
-for _m in ("new_users", "users"):
-    register(f"mk30_top_medium_{_m}_share", _top_medium_sql(_m))(
-        (lambda m: lambda spark, sf: md.top_medium_tally(cells(spark, sf), m))(_m))
+register("mk30_top_medium_new_users_share", _top_medium_sql("new_users"))(
+    lambda spark, sf: md.top_medium_tally(cells(spark, sf), "new_users"))
+
+# the users variant keeps the mart's rank over all mediums of the country
+register("mk30_top_medium_users_share", msql("""
+SELECT medium, count(*) AS n FROM tm
+WHERE users_channel_within_country_rank = 1 GROUP BY medium""",
+    _UNK_CELLS, lump_sql("tm", "unk_cells", "medium", 7, "users")))(
+    lambda spark, sf: md.top_medium_tally(cells(spark, sf), "users", by_mart_rank=True))
 
 
 @register("mk31_monetisation_ratio", msql("""
@@ -688,6 +763,22 @@ def q_mk33(spark, sf):
     return md.funnel_what_if(cells(spark, sf))
 
 
+@register("mk33_potential_funnel", msql("""
+SELECT country, medium, 10000 AS n_potential_incoming_visitors, ecommerce_conversion_rate, revenue,
+       transactions, rpt AS revenue_per_transaction, pot AS potential_revenue,
+       dense_rank() OVER (PARTITION BY country ORDER BY revenue DESC NULLS LAST) AS revenue_rank,
+       dense_rank() OVER (PARTITION BY country ORDER BY rpt DESC NULLS LAST) AS revenue_per_transaction_rank,
+       dense_rank() OVER (PARTITION BY country ORDER BY pot DESC NULLS LAST) AS potential_revenue_rank
+FROM (SELECT *, revenue / nullif(CAST(transactions AS DOUBLE), 0) AS rpt,
+             10000 * ecommerce_conversion_rate * (revenue / nullif(CAST(transactions AS DOUBLE), 0)) AS pot
+      FROM cells)"""),
+          {"ecommerce_conversion_rate": 6, "revenue": 2, "revenue_per_transaction": 4,
+           "potential_revenue": 2})
+def q_mk33_all(spark, sf):
+    """MK33 before the filter; PRJ5 puts the visitors before the rate."""
+    return md.potential_funnel(cells(spark, sf))
+
+
 # --- MK34 candidate score over three derived lists --------------------------------
 
 @register("mk34_candidate_score", msql("""
@@ -709,6 +800,34 @@ def q_mk34(spark, sf):
     })
 
 
+# fixed values: written-out lists over the test tables' countries
+LITERAL_LISTS = {
+    "good_conversion_and_high_value": ("NATION_1", "NATION_4", "NATION_9"),
+    "good_converting_low_free_traffic": ("NATION_4", "NATION_17"),
+    "potential_marketing_scaling": ("NATION_4", "NATION_9", "NATION_99"),
+}
+
+
+def _literal_sql() -> str:
+    lists = [f"l{k} AS (SELECT unnest([{', '.join(repr(c) for c in v)}]) AS country)"
+             for k, v in enumerate(LITERAL_LISTS.values())]
+    flags = ", ".join(f"l{k}.country IS NOT NULL OR NULL AS {n}" for k, n in enumerate(LITERAL_LISTS))
+    score = " + ".join(f"CAST(l{k}.country IS NOT NULL AS INT)" for k in range(3))
+    return msql(f"""
+SELECT a.country, {flags}, CAST({score} AS BIGINT) AS total_score, m.users, m.revenue
+FROM (SELECT country FROM l0 UNION SELECT country FROM l1 UNION SELECT country FROM l2) a
+LEFT JOIN l0 ON a.country = l0.country LEFT JOIN l1 ON a.country = l1.country
+LEFT JOIN l2 ON a.country = l2.country LEFT JOIN country_all m ON a.country = m.country""", *lists)
+
+
+@register("mk34_literal_lists", _literal_sql(), {"revenue": 2})
+def q_mk34_literal(spark, sf):
+    """SRC4/MK34: candidate lists written out in the analysis, joined to the mart."""
+    scored = mk.candidate_score({n: mk.literal_list(spark, v) for n, v in LITERAL_LISTS.items()})
+    return scored.join(country_all(spark, sf).select("country", "users", "revenue"), "country",
+                       "left").orderBy(F.desc("total_score"), "country")
+
+
 # ==================================================================================
 # primitives not exercised by the analyses above
 # ==================================================================================
@@ -724,7 +843,7 @@ def q_mk03_list(spark, sf):
     k = k_scale(spark, sf)
     low = country_all(spark, sf).filter(marts.low_volume_rule(
         KEEP["revenue"] * k, KEEP["users"] * k, KEEP["transactions"] * k))
-    return select_range(low, "users", "revenue", "country").orderBy(F.col("revenue").desc())
+    return select_range(low, "users", "revenue", "country").orderBy(F.col("revenue").desc(), "country")
 
 
 @register("mk00_n_countries", msql(

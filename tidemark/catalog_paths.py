@@ -37,6 +37,11 @@ def clean(spark, sf):
     return shared(spark, sf, "conversion_paths", lambda: pp.merge_paths(nonzero(spark, sf)))
 
 
+def model(spark, sf):
+    """The Markov model (a row for each channel), solved once."""
+    return shared(spark, sf, "markov_model", lambda: at.markov_model(clean(spark, sf)))
+
+
 PATHS_SQL = """
 cp_parsed AS (
   SELECT medium_path, CAST(trunc(conversions) AS BIGINT) AS conversions,
@@ -253,7 +258,7 @@ register("cp12_transitions", psql("SELECT * FROM cp_edges"), {"transition_probab
 register("cp13_markov", psql(
     "SELECT channel_name, total_conversions, total_conversion_value FROM mk_result",
     MARKOV_SQL, recursive=True), {"total_conversions": 4, "total_conversion_value": 2})(
-    lambda spark, sf: at.markov_model(clean(spark, sf)).select(
+    lambda spark, sf: model(spark, sf).select(
         "channel_name", "total_conversions", "total_conversion_value"))
 
 register("cp14_removal_effects", psql("""
@@ -261,10 +266,10 @@ SELECT channel_name, removal_effects_conversion, removal_effects_conversion_valu
 WHERE removal_effects_conversion_value > 0 ORDER BY removal_effects_conversion_value DESC""",
     MARKOV_SQL, recursive=True),
          {"removal_effects_conversion": 6, "removal_effects_conversion_value": 6})(
-    lambda spark, sf: at.markov_model(clean(spark, sf))
+    lambda spark, sf: model(spark, sf)
     .select("channel_name", "removal_effects_conversion", "removal_effects_conversion_value")
     .filter(F.col("removal_effects_conversion_value") > 0)
-    .orderBy(F.col("removal_effects_conversion_value").desc()))
+    .orderBy(F.col("removal_effects_conversion_value").desc(), "channel_name"))
 
 _HEUR_DIGITS = {f"{m}_touch_{k}": (4 if k == "conversions" else 2)
                 for m in ("first", "last", "linear") for k in ("conversions", "value")}
@@ -283,7 +288,7 @@ FROM (SELECT *, sum(value) OVER (PARTITION BY channel_name) AS chan_total FROM (
   UNPIVOT (value FOR model IN (markov, first, last, linear))))""", MARKOV_SQL, HEUR_SQL,
     "mk_top6 AS (" + _top_sql("mk_result", "total_conversions", 6, "channel_name") + ")",
     recursive=True), {"value": 4})(
-    lambda spark, sf: pp.model_comparison(clean(spark, sf)))
+    lambda spark, sf: pp.model_comparison(clean(spark, sf), model=model(spark, sf)))
 
 register("cp17_top_transitions", psql("""
 SELECT channel_from, channel_to, weight, transition_probability FROM (
@@ -292,7 +297,7 @@ SELECT channel_from, channel_to, weight, transition_probability FROM (
   FROM cp_edges WHERE channel_from IN (SELECT channel_name FROM mk_top11)) WHERE r <= 4""",
     MARKOV_SQL, "mk_top11 AS (" + _top_sql("mk_result", "total_conversions", 11, "channel_name") + ")",
     recursive=True), {"transition_probability": 6})(
-    lambda spark, sf: pp.top_transitions(clean(spark, sf)))
+    lambda spark, sf: pp.top_transitions(clean(spark, sf), model=model(spark, sf)))
 
 _NODES_SQL = ", ".join(f"'{n}'" for n in SUBNET_NODES)
 _CLASS_SQL = " ".join(f"WHEN name = '{k}' THEN '{v}'" for k, v in SUBNET_CLASSES.items())
@@ -348,7 +353,7 @@ register("cp22_path_search", psql(
 register("cp13_channel_index", psql(
     "SELECT channel_name, row_number() OVER (ORDER BY channel_name) AS channel_index FROM mk_result",
     MARKOV_SQL, recursive=True))(
-    lambda spark, sf: pp.channel_index(at.markov_model(clean(spark, sf))))
+    lambda spark, sf: pp.channel_index(model(spark, sf)))
 
 register("cp06_path_touches_long", psql("""
 SELECT medium_path, CAST(generate_subscripts(a, 1) AS BIGINT) AS position, unnest(a) AS medium
@@ -361,8 +366,14 @@ ORDER BY value ASC NULLS LAST, medium_path ASC, conversions ASC LIMIT 5"""), {"v
     lambda spark, sf: pp.tail_rows(pp.path_search(parsed(spark, sf), SEARCH_FRAGMENT),
                                    ["value", "medium_path", "conversions"], 5))
 
-# SMP1: a seeded random sample has no engine-independent oracle (rows-only)
-register("cp01_sample_rows", None)(
+# SMP1: the seeded sample is ordered by a text hash, which SQL can repeat
+register("cp01_sample_rows", psql("""
+SELECT medium_path, conversions, currency, value FROM (
+  SELECT *, CAST(floor(value * 100 + 0.5) AS BIGINT) AS cents FROM cp_parsed)
+ORDER BY md5('7|' || coalesce(medium_path, '') || '|' || coalesce(CAST(conversions AS VARCHAR), '')
+             || '|' || coalesce(currency, '') || '|' || coalesce(CAST(cents AS VARCHAR), '')),
+         medium_path, conversions, currency, cents
+LIMIT 10"""), {"value": 2})(
     lambda spark, sf: pp.sample_paths(parsed(spark, sf), 10, seed=7))
 
 register("cp20_odds_vs_best", psql("""

@@ -81,46 +81,20 @@ HASH_D = 12345
 HASH_E = 48271
 HASH_F = 69621
 HASH_G = 7
+HASH_S = 16807
 # ------------------------------------------------------------------------------
 
 
-def resample_index(b: ColumnOrName, i: ColumnOrName, s: ColumnOrName,
-                   n: ColumnOrName) -> Column:
-    """Index in ``[0, n)`` of draw ``i`` of resample ``b`` in stratum ``s``.
-
-    A mixing polynomial hash mod a Mersenne prime: deterministic, seedable (add
-    the seed to ``s``) and identical in any SQL engine with 64-bit integers.
-    """
-    p = F.lit(HASH_P)
-    b, i, s = col(b).cast("long"), col(i).cast("long"), col(s).cast("long")
-    x1 = (b * HASH_A + i * HASH_B + s * HASH_C + HASH_D) % p
-    x2 = (x1 * x1 + b) % p
-    x3 = (x2 * HASH_E + i) % p
-    x4 = (x3 * x3 + s) % p
-    return ((x4 * HASH_F + HASH_G) % p) % col(n).cast("long")
-
-
-def with_resample_index(df, b: str, i: str, s: ColumnOrName, n: str, out: str = "_row"):
-    """``resample_index`` computed step by step in its own projections, so each
-    intermediate is evaluated once (the one-expression form repeats the inner
-    terms when squaring)."""
+def with_resample_index(df, b: str, i: str, s: str, n: str, out: str = "_row", seed: int = 0):
+    """Index in ``[0, n)`` of draw ``i`` of resample ``b`` in stratum ``s``: a
+    mixing polynomial hash modulo a Mersenne prime, identical in any SQL engine
+    with 64-bit integers.  The seed is a term of its own.  Each step has its own
+    projection, so that it is evaluated once."""
     p = F.lit(HASH_P)
-    bl, il = F.col(b).cast("long"), F.col(i).cast("long")
-    d = df.withColumn("_hs", col(s).cast("long"))
-    sl = F.col("_hs")
-    d = d.withColumn("_h", (bl * HASH_A + il * HASH_B + sl * HASH_C + HASH_D) % p)
+    bl, il, sl = (F.col(c).cast("long") for c in (b, i, s))
+    first = HASH_D + seed % HASH_P * HASH_S % HASH_P
+    d = df.withColumn("_h", (bl * HASH_A + il * HASH_B + sl * HASH_C + first) % p)
     d = d.withColumn("_h", (F.col("_h") * F.col("_h") + bl) % p)
     d = d.withColumn("_h", (F.col("_h") * HASH_E + il) % p)
     d = d.withColumn("_h", (F.col("_h") * F.col("_h") + sl) % p)
-    return d.withColumn(out, ((F.col("_h") * HASH_F + HASH_G) % p) % F.col(n).cast("long")
-                        ).drop("_h", "_hs")
-
-
-def resample_index_sql(b: str, i: str, s: str, n: str) -> str:
-    """The same index as DuckDB/ANSI SQL text (used by the oracle checks)."""
-    p = HASH_P
-    x1 = f"(({b}) * {HASH_A} + ({i}) * {HASH_B} + ({s}) * {HASH_C} + {HASH_D}) % {p}"
-    x2 = f"(({x1}) * ({x1}) + ({b})) % {p}"
-    x3 = f"(({x2}) * {HASH_E} + ({i})) % {p}"
-    x4 = f"(({x3}) * ({x3}) + ({s})) % {p}"
-    return f"((({x4}) * {HASH_F} + {HASH_G}) % {p}) % ({n})"
+    return d.withColumn(out, ((F.col("_h") * HASH_F + HASH_G) % p) % F.col(n).cast("long")).drop("_h")

@@ -21,33 +21,23 @@ states (channels plus ``(start)``):
   ``u = P(. -> conversion) * V``, the expected value is ``E = (N u)[s]`` and
   removing ``r`` loses ``h_r * (N u)[r]``.
 
-The solve runs in one ``cogroup.applyInPandas`` call over that bounded chain
-(``max_states`` is checked before the solve).  Above the bound
-``removal_effects_iterative`` propagates the probability mass with DataFrame
-joins instead, all removal scenarios at once, checkpointing the loop.
+``N`` is summed as ``I + Q + Q^2 + ...`` by doubling: ``N <- N + N S`` and
+``S <- S S`` from ``N = I``, ``S = Q``, as joins of (row, column, value) entries
+spread by hash over all tasks.  Self-loops are dropped and the rows normalised
+first; that changes none of the quantities above.  The loop ends when the
+largest row sum of ``S`` (the mass that has not arrived after all those steps) is
+below ``TOLERANCE``; it needs about log2 of the steps that a walk takes, and
+every path ends in a conversion, so it does end.  The entries number at most
+``k^2``; each round is written with ``checkpoint()``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from tidemark.functions.scalar import ratio
 
-# The grouped solve below runs in Python workers.  Pickle this module's
-# functions by value so executors need no installed copy of the package
-# (on a cluster it may still be shipped with --py-files; both work).
-try:
-    import sys as _sys
-    from pyspark import cloudpickle as _cp
-    _cp.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # pragma: no cover - older cloudpickle
-    pass
-
 # --- fixed values: state labels of the path model ----------------------------
 START = "(start)"
 CONVERSION = "(conversion)"
@@ -55,6 +45,9 @@ PATH_SEPARATOR = " > "
 # ------------------------------------------------------------------------------
 
 
+TOLERANCE = 1e-14
+
+
 def touches(path: Column | str, sep: str = PATH_SEPARATOR) -> Column:
     """STR2/ARR1: path text -> array of touches (``split`` is regex-based; the
     separator is escaped)."""
@@ -104,69 +97,6 @@ def transition_matrix(paths: DataFrame, path: str = "medium_path",
         "transition_probability", ratio(F.col("weight"), F.sum("weight").over(w)))
 
 
-def last_touch_values(paths: DataFrame, path: str = "medium_path",
-                      conv: str = "conversions", value: str = "value") -> DataFrame:
-    """Per last touch: summed conversions and value (for ``V(c)``)."""
-    return paths.groupBy(F.element_at(touches(path), -1).alias("channel")).agg(
-        F.sum(conv).cast("double").alias("conv"), F.sum(value).cast("double").alias("val"))
-
-
-_SOLVED = T.StructType([
-    T.StructField("channel_name", T.StringType()),
-    T.StructField("removal_effects_conversion", T.DoubleType()),
-    T.StructField("removal_effects_conversion_value", T.DoubleType()),
-    T.StructField("total_conversions", T.DoubleType()),
-    T.StructField("total_conversion_value", T.DoubleType()),
-])
-
-
-def _solve_chain(edges: pd.DataFrame, lasts: pd.DataFrame) -> pd.DataFrame:
-    """Dense solve of the absorbing chain (runs inside one task)."""
-    if edges.empty:
-        return pd.DataFrame(columns=[f.name for f in _SOLVED.fields])
-    channels = sorted((set(edges["channel_from"]) | set(edges["channel_to"]))
-                      - {START, CONVERSION})
-    states = [START] + channels
-    idx = {s: i for i, s in enumerate(states)}
-    k = len(states)
-    w = np.zeros((k, k))
-    to_conv = np.zeros(k)
-    for f, t, x in zip(edges["channel_from"], edges["channel_to"], edges["weight"]):
-        if t == CONVERSION:
-            to_conv[idx[f]] += x
-        elif t != START:
-            w[idx[f], idx[t]] += x
-    out = w.sum(axis=1) + to_conv
-    out[out == 0] = 1.0
-    q = w / out[:, None]
-    c = to_conv / out
-    vals = lasts.set_index("channel")
-    v = np.array([
-        (vals.at[s, "val"] / vals.at[s, "conv"]) if s in vals.index and vals.at[s, "conv"] else 0.0
-        for s in states])
-    n_mat = np.linalg.inv(np.eye(k) - q)
-    conv_from = n_mat @ c            # conversion probability from each state
-    value_from = n_mat @ (c * v)     # expected value from each state
-    p_full = conv_from[0]
-    e_full = value_from[0]
-    re_conv, re_val = [], []
-    for ch in channels:
-        r = idx[ch]
-        h = n_mat[0, r] / n_mat[r, r]
-        re_conv.append(h * conv_from[r] / p_full if p_full else 0.0)
-        re_val.append(h * value_from[r] / e_full if e_full else 0.0)
-    re_conv, re_val = np.array(re_conv), np.array(re_val)
-    total_conv = float(to_conv.sum())
-    total_val = float(lasts["val"].sum())
-    return pd.DataFrame({
-        "channel_name": channels,
-        "removal_effects_conversion": re_conv,
-        "removal_effects_conversion_value": re_val,
-        "total_conversions": total_conv * re_conv / re_conv.sum() if re_conv.sum() else 0.0,
-        "total_conversion_value": total_val * re_val / re_val.sum() if re_val.sum() else 0.0,
-    })
-
-
 def chain_counts(paths: DataFrame, path: str = "medium_path", conv: str = "conversions",
                  value: str = "value") -> DataFrame:
     """One pass over the paths: per edge the summed conversions, and for edges
@@ -185,96 +115,77 @@ def chain_counts(paths: DataFrame, path: str = "medium_path", conv: str = "conve
         F.sum(F.when(into_conv, F.col("_v"))).alias("value_in"))
 
 
+def expected_visits(moves: DataFrame) -> DataFrame:
+    """The fundamental matrix of the transient chain ``moves`` (i, j, v):
+    entries (i, j, v) with the expected visits to ``j`` of a walk from ``i``."""
+    from tidemark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(moves.sparkSession)
+    nodes = moves.select("i").union(moves.select("j")).distinct()
+    zero = F.lit(0)
+    # kind 0: the sum so far; kind 1: the power of Q
+    state = (nodes.select(zero.alias("kind"), "i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
+             .unionByName(moves.select(F.lit(1).alias("kind"), "i", "j", "v"))
+             .checkpoint(eager=True))
+    while True:
+        power = state.filter("kind = 1")
+        left = power.groupBy("i").agg(F.sum("v").alias("m")).agg(F.max("m")).first()[0]
+        if left is None or left < TOLERANCE:
+            return state.filter("kind = 0").select("i", "j", "v")
+        step = power.select(F.col("i").alias("j"), F.col("j").alias("to"), F.col("v").alias("w"))
+        products = state.join(step, "j").select("kind", "i", F.col("to").alias("j"),
+                                                (F.col("v") * F.col("w")).alias("v"))
+        state = (state.filter("kind = 0").unionByName(products)
+                 .groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).checkpoint(eager=True))
+
+
 def markov_model(paths: DataFrame, path: str = "medium_path", conv: str = "conversions",
-                 value: str = "value", max_states: int = 2000) -> DataFrame:
+                 value: str = "value") -> DataFrame:
     """CP13/CP14: exact order-1 Markov attribution.
 
     Returns ``channel_name, removal_effects_conversion,
     removal_effects_conversion_value, total_conversions, total_conversion_value``.
-    The paths are read once (``chain_counts``); the small chain is written
-    with ``checkpoint()`` and then checked (at most ``max_states`` states)
-    and solved.  Larger chains go to ``removal_effects_iterative``.
+    The paths are read once (``chain_counts``); the chain is written with
+    ``checkpoint()`` and solved by ``expected_visits``.  Runs jobs when called.
     """
     from tidemark.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(paths.sparkSession)
     chain = chain_counts(paths, path, conv, value).checkpoint(eager=True)
-    counts = chain.select("channel_from", "channel_to", "weight")
-    lasts = chain.filter(F.col("channel_to") == CONVERSION).select(
-        F.col("channel_from").alias("channel"), F.col("weight").cast("double").alias("conv"),
-        F.col("value_in").alias("val"))
-    n_states = (counts.select(F.col("channel_from").alias("s"))
-                .union(counts.select(F.col("channel_to").alias("s")))
-                .distinct().limit(max_states + 3).count())
-    if n_states > max_states + 2:
-        return removal_effects_iterative(counts, lasts)
-    one = F.lit(0).alias("_model")
-    return (counts.select(one, "channel_from", "channel_to", F.col("weight").cast("double"))
-            .groupBy("_model")
-            .cogroup(lasts.select(one, "channel", "conv", "val").groupBy("_model"))
-            .applyInPandas(lambda e, l: _solve_chain(e.drop(columns="_model"),
-                                                     l.drop(columns="_model")), _SOLVED))
-
-
-def removal_effects_iterative(counts: DataFrame, lasts: DataFrame, steps: int = 400,
-                              checkpoint_every: int = 20) -> DataFrame:
-    """Distributed mass propagation for chains too large for a dense solve.
-
-    State ``(removed, node, mass)`` for every removal scenario at once (plus
-    the full model, ``removed = NULL``); each step joins the edge table and
-    sums by target; mass entering the removed channel is dropped, mass
-    entering ``(conversion)`` is accumulated with its value.  Lineage is cut
-    with ``checkpoint()`` into the session's checkpoint folder.
-    """
-    w = Window.partitionBy("channel_from")
-    edges = counts.withColumn("p", F.col("weight") / F.sum("weight").over(w))
-    v = lasts.select(F.col("channel").alias("channel_from"),
-                     (F.col("val") / F.col("conv")).alias("v"))
-    exits = (edges.filter(F.col("channel_to") == CONVERSION)
-             .join(v, "channel_from", "left")
-             .select("channel_from", F.col("p").alias("pc"),
-                     (F.col("p") * F.coalesce("v", F.lit(0.0))).alias("pv")))
-    moves = edges.filter(F.col("channel_to") != CONVERSION).select(
-        "channel_from", "channel_to", "p")
-    channels = (edges.select(F.col("channel_from").alias("removed"))
-                .filter(F.col("removed") != START).distinct())
-    spark = counts.sparkSession
-    from tidemark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    scenarios = channels.union(
-        spark.range(1).select(F.lit(None).cast("string").alias("removed")))
-    mass = scenarios.select("removed", F.lit(START).alias("node"), F.lit(1.0).alias("m"))
-    # every scenario starts with nothing absorbed (a channel on every path
-    # never lets mass reach the conversion once removed)
-    absorbed = scenarios.select("removed", F.lit(0.0).alias("c"), F.lit(0.0).alias("e"))
-    for step in range(steps):
-        gain = (mass.join(exits, F.col("node") == F.col("channel_from"))
-                .groupBy("removed").agg(F.sum(F.col("m") * F.col("pc")).alias("c"),
-                                        F.sum(F.col("m") * F.col("pv")).alias("e")))
-        absorbed = absorbed.unionByName(gain).groupBy("removed").agg(
-            F.sum("c").alias("c"), F.sum("e").alias("e"))
-        mass = (mass.join(moves, F.col("node") == F.col("channel_from"))
-                .filter(F.col("removed").isNull() | (F.col("channel_to") != F.col("removed")))
-                .groupBy("removed", F.col("channel_to").alias("node"))
-                .agg(F.sum(F.col("m") * F.col("p")).alias("m")))
-        if (step + 1) % checkpoint_every == 0:
-            mass = mass.checkpoint()
-            absorbed = absorbed.checkpoint()
-            left = mass.agg(F.max("m")).first()[0]
-            if left is None or left < 1e-13:
-                break
-    full = absorbed.filter(F.col("removed").isNull())
-    c0, e0 = full.select("c").scalar(), full.select("e").scalar()
-    res = (absorbed.filter(F.col("removed").isNotNull())
-           .select(F.col("removed").alias("channel_name"),
-                   (1 - F.col("c") / c0).alias("removal_effects_conversion"),
-                   (1 - F.col("e") / e0).alias("removal_effects_conversion_value")))
-    tot_c = lasts.select(F.sum("conv")).scalar()
-    tot_v = lasts.select(F.sum("val")).scalar()
-    s_c = res.select(F.sum("removal_effects_conversion")).scalar()
-    s_v = res.select(F.sum("removal_effects_conversion_value")).scalar()
-    return res.select(
-        "*", (tot_c * F.col("removal_effects_conversion") / s_c).alias("total_conversions"),
-        (tot_v * F.col("removal_effects_conversion_value") / s_v).alias("total_conversion_value"))
+    leaving = F.col("channel_from") != F.col("channel_to")
+    out = chain.filter(leaving).groupBy("channel_from").agg(F.sum("weight").alias("out"))
+    edges = chain.filter(leaving).join(out, "channel_from")
+    ends = F.col("channel_to") == CONVERSION
+    visits = expected_visits(edges.filter(~ends).select(
+        F.col("channel_from").alias("i"), F.col("channel_to").alias("j"),
+        (F.col("weight") / F.col("out")).alias("v"))).checkpoint(eager=True)
+    exits = edges.filter(ends).select(F.col("channel_from").alias("j"),
+                                      (F.col("weight") / F.col("out")).alias("c"),
+                                      (F.col("value_in") / F.col("out")).alias("e"))
+    # conversion probability and expected value of a walk from each state
+    worth = visits.join(exits, "j").groupBy("i").agg(
+        F.sum(F.col("v") * F.col("c")).alias("c"), F.sum(F.col("v") * F.col("e")).alias("e"))
+    start = worth.filter(F.col("i") == START)
+    c0, e0 = start.select("c").scalar(), start.select("e").scalar()
+    reach = visits.filter((F.col("i") == START) & (F.col("j") != START)).select(
+        "j", F.col("v").alias("from_start"))
+    again = visits.filter(F.col("i") == F.col("j")).select("j", F.col("v").alias("again"))
+    share = F.coalesce(F.col("from_start") / F.col("again"), F.lit(0.0))
+    effects = (again.filter(F.col("j") != START).join(reach, "j", "left")
+               .join(worth.withColumnRenamed("i", "j"), "j", "left")
+               .select(F.col("j").alias("channel_name"),
+                       F.coalesce(ratio(share * F.col("c"), c0), F.lit(0.0))
+                       .alias("removal_effects_conversion"),
+                       F.coalesce(ratio(share * F.col("e"), e0), F.lit(0.0))
+                       .alias("removal_effects_conversion_value"))
+               .checkpoint(eager=True))
+    total = chain.filter(ends).select(F.sum("weight")).scalar()
+    total_value = chain.filter(ends).select(F.sum("value_in")).scalar()
+
+    def credit(effect: str, total: Column) -> Column:
+        whole = effects.select(F.sum(effect)).scalar()
+        return F.coalesce(ratio(total * F.col(effect), whole), F.lit(0.0))
+    return effects.select(
+        "*", credit("removal_effects_conversion", total).alias("total_conversions"),
+        credit("removal_effects_conversion_value", total_value).alias("total_conversion_value"))
 
 
 def heuristic_models(paths: DataFrame, path: str = "medium_path",

@@ -1,11 +1,7 @@
 """Join helpers.
 
-``broadcast_if_small`` hints a broadcast only after a bounded row count proves
-the side small; above the bound the plain DataFrame is returned and Spark
-(with AQE's runtime statistics) picks a shuffle join.  Derived sides (top-n
-lists, aggregates) are not hinted at all: AQE converts them to broadcast joins
-at runtime when their measured shuffle output is under
-``spark.sql.adaptive.autoBroadcastJoinThreshold``.
+No join is hinted: Spark broadcasts a side by its measured size (file size at
+planning, shuffle output at run time under AQE) and shuffles otherwise.
 """
 
 from __future__ import annotations
@@ -13,13 +9,6 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast hint behind a size check (reads at most ``max_rows + 1`` rows)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
 
 
 def left_join_all(frames: list[DataFrame], on: str | list[str]) -> DataFrame:
@@ -27,11 +16,6 @@ def left_join_all(frames: list[DataFrame], on: str | list[str]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, on, "left"), frames)
 
 
-def semi_join(df: DataFrame, keys: DataFrame, on) -> DataFrame:
-    """JN3/JN4: keep rows of ``df`` that have a match in ``keys``."""
-    return df.join(keys, on, "left_semi")
-
-
 def unmatched(df: DataFrame, dim: DataFrame, on) -> DataFrame:
     """JN9 report: rows of ``df`` with no partner in ``dim``."""
     return df.join(dim, on, "left_anti")

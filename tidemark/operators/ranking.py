@@ -127,13 +127,16 @@ def head_sorted(df: DataFrame, order: Sequence, n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """SMP1: ``n`` random rows, reproducible under a seed (sampling operator;
-    the limit is the feature)."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, by: Sequence, seed: int = 42) -> DataFrame:
+    """SMP1: ``n`` random rows (the limit is the feature): the first by the md5
+    of the seed and the columns ``by``.  The sample depends on the rows and the
+    seed only, not on their layout; rows that agree in ``by`` come together."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(col(c).cast("string"), F.lit(""))
+                                               for c in by])
+    return df.orderBy(F.md5(text), *by).limit(n)
 
 
 def rank_one_tally(df: DataFrame, rank_col: str, key: str) -> DataFrame:
     """WIN10: rows ranked 1, counted by ``key``, sorted by count."""
     return (df.filter(F.col(rank_col) == 1).groupBy(key).count()
-            .withColumnRenamed("count", "n"))
+            .withColumnRenamed("count", "n").orderBy(F.desc("n"), key))

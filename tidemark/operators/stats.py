@@ -201,30 +201,31 @@ def fit_line(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
-def welch_t(df: DataFrame, group: str, value: str, first: str, second: str
-            ) -> DataFrame:
-    """MK22: one-sided Welch t test, H1: mean(first) > mean(second).
-
-    One aggregate per group, pivoted to a single row; t and the
-    Welch-Satterthwaite df are column expressions; the p-value maps t to a
-    normal deviate and takes the upper tail, all JVM-side."""
-    s = (df.filter(F.col(group).isin(first, second))
-         .groupBy().pivot(group, [first, second])
-         .agg(F.count(value).alias("n"), F.avg(value).alias("m"),
-              F.var_samp(value).alias("v")))
-    n1, m1, v1 = F.col(f"{first}_n"), F.col(f"{first}_m"), F.col(f"{first}_v")
-    n2, m2, v2 = F.col(f"{second}_n"), F.col(f"{second}_m"), F.col(f"{second}_v")
+def welch(n1, m1, v1, n2, m2, v2) -> dict:
+    """Columns t, df and p_value of the one-sided Welch test (H1: mean 1 > mean
+    2) from counts, means and variances.  The p-value maps t to a normal
+    deviate (Abramowitz & Stegun 26.7.8) and takes the upper tail."""
     se1, se2 = v1 / n1, v2 / n2
     t = (m1 - m2) / F.sqrt(se1 + se2)
     dof = (se1 + se2) ** 2 / (se1 ** 2 / (n1 - 1) + se2 ** 2 / (n2 - 1))
-    # t -> z (Abramowitz & Stegun 26.7.8), then the upper normal tail
     z = t * (1 - 1 / (4 * dof)) / F.sqrt(1 + t * t / (2 * dof))
-    p = 0.5 * _erfc(z / F.sqrt(F.lit(2.0)))
+    return {"t": t, "df": dof, "p_value": 0.5 * _erfc(z / F.sqrt(F.lit(2.0)))}
+
+
+def welch_t(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
+    """MK22: one-sided Welch t test, H1: mean(first) > mean(second).  The groups
+    are names or scalar subqueries; one aggregate, all JVM-side."""
+    one, two = (g if not isinstance(g, str) else F.lit(g) for g in (first, second))
+    s = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"),
+                              F.var_samp(value).alias("v")).agg(*[
+        F.max(F.when(F.col(group) == g, F.col(c))).alias(f"{c}{k}")
+        for k, g in ((1, one), (2, two)) for c in (group, "n", "m", "v")])
+    test = welch(*(F.col(f"{c}{k}") for k in (1, 2) for c in ("n", "m", "v")))
     return s.select(
-        F.lit(first).alias("group_1"), F.lit(second).alias("group_2"),
-        n1.cast("long").alias("n_1"), n2.cast("long").alias("n_2"),
-        m1.alias("mean_1"), m2.alias("mean_2"),
-        t.alias("t"), dof.alias("df"), p.alias("p_value"))
+        F.col(f"{group}1").alias("group_1"), F.col(f"{group}2").alias("group_2"),
+        F.col("n1").cast("long").alias("n_1"), F.col("n2").cast("long").alias("n_2"),
+        F.col("m1").alias("mean_1"), F.col("m2").alias("mean_2"),
+        *[c.alias(k) for k, c in test.items()])
 
 
 def _erfc(x):

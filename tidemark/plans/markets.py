@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import int_trunc, ratio
-from tidemark.operators.ranking import ntile_of, percent_rank_desc, top_n
+from tidemark.operators.joins import left_join_all
+from tidemark.operators.ranking import head_sorted, ntile_of, percent_rank_desc, top_n
 from tidemark.operators.stats import prob_grid, quantile_grid
 
 NOT_SET = "(not set)"
@@ -46,7 +47,7 @@ def head_of_market(mart: DataFrame, n: int = 12) -> DataFrame:
     """MK7: largest markets by revenue, users, conversion rate, transactions."""
     order = [F.col(c).desc_nulls_last() for c in
              ("revenue", "users", "ecommerce_conversion_rate", "transactions")]
-    return mart.filter(F.col("country") != NOT_SET).orderBy(*order, "country").limit(n)
+    return head_sorted(mart.filter(F.col("country") != NOT_SET), [*order, "country"], n)
 
 
 def _conversion_view(mart: DataFrame, min_transactions) -> DataFrame:
@@ -75,7 +76,8 @@ def high_conversion_high_value(mart: DataFrame, min_transactions) -> DataFrame:
         "is_rev_per_trans_higher_than_avg": F.col("diff_to_mean_revenue_per_transaction") > 0,
     }).drop("_pr")
     return v.filter(F.col("is_top_converting_country")
-                    & F.col("is_rev_per_trans_higher_than_avg"))
+                    & F.col("is_rev_per_trans_higher_than_avg")).orderBy(
+        F.desc("ecommerce_conversion_rate"), F.desc("revenue_per_transaction"), "country")
 
 
 def low_conversion_high_traffic(mart: DataFrame, min_transactions, n: int = 3) -> DataFrame:
@@ -100,7 +102,7 @@ def market_penetration(mart: DataFrame, population: DataFrame, tourists: DataFra
     cust = top_n(mart.filter(F.col("country") != NOT_SET)
                  .select("country", "transactions", "revenue", "revenue_per_transaction"),
                  "transactions", n).withColumnRenamed("transactions", "customers")
-    pen = (cust.join(population, "country", "left").join(tourists, "country", "left")
+    pen = (left_join_all([cust, population, tourists], "country")
            .withColumn("_share", ratio("customers", "tourists")))
     pen = pen.select(
         "country", "customers", F.bround("population", 0).cast("long").alias("population"),
@@ -111,7 +113,7 @@ def market_penetration(mart: DataFrame, population: DataFrame, tourists: DataFra
         F.bround("revenue_per_transaction", 0).alias("revenue_per_transaction"))
     if matched_only:
         pen = pen.filter(F.col("one_in_n_tourists_has_transacted").isNotNull()).drop("population")
-    return pen
+    return pen.orderBy(F.col("customers_share").desc_nulls_last(), "country")
 
 
 def uplift_columns(current_revenue, revenue_per_customer, tourists, target_share):
@@ -143,7 +145,8 @@ def uplift(penetration: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def one_country(df: DataFrame, country: str) -> DataFrame:
     """MK35: one country's rows, largest revenue first."""
-    return df.filter(F.col("country") == country).orderBy(F.col("revenue").desc_nulls_last())
+    order = [F.col("revenue").desc_nulls_last(), *(c for c in ("medium",) if c in df.columns)]
+    return df.filter(F.col("country") == country).orderBy(*order)
 
 
 def candidate_score(lists: dict[str, DataFrame]) -> DataFrame:
@@ -154,8 +157,16 @@ def candidate_score(lists: dict[str, DataFrame]) -> DataFrame:
     for df in lists.values():
         c = df.select("country")
         allc = c if allc is None else allc.union(c)
-    out = allc.distinct()
-    for name, df in lists.items():
-        out = out.join(df.select("country", F.lit(True).alias(name)).distinct(), "country", "left")
+    out = left_join_all([allc.distinct(), *(
+        df.select("country", F.lit(True).alias(name)).distinct() for name, df in lists.items())],
+        "country")
     score = sum((F.coalesce(F.col(n).cast("int"), F.lit(0)) for n in names), F.lit(0))
-    return out.withColumn("total_score", score.cast("long"))
+    return out.withColumn("total_score", score.cast("long")).orderBy(
+        F.desc("total_score"), "country")
+
+
+def literal_list(spark: SparkSession, countries: Sequence[str]) -> DataFrame:
+    """SRC4: a list written out in the analysis, as a table of countries."""
+    values = F.explode(F.array(*map(F.lit, countries)) if countries
+                       else F.array().cast("array<string>"))
+    return spark.range(1).select(values.alias("country"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import cents, ratio
+from tidemark.operators.columns import rename_with
 from tidemark.operators.ranking import dense_rank_within, share_of_total
 
 VOLUME = ("users", "new_users", "sessions", "transactions", "revenue")
@@ -70,7 +71,7 @@ def low_volume_impact(mart: DataFrame, revenue, users, transactions) -> DataFram
 
 def with_suffix(df: DataFrame, suffix: str, keep: Sequence[str] = ("country",)) -> DataFrame:
     """PRJ7: rename every column but ``keep`` to ``<name><suffix>``."""
-    return df.withColumnsRenamed({c: f"{c}{suffix}" for c in df.columns if c not in keep})
+    return rename_with(df, lambda c: f"{c}{suffix}", exclude=tuple(keep))
 
 
 def country_medium_mart(mc: DataFrame, by_country: DataFrame) -> DataFrame:

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import ratio
 from tidemark.operators.factors import level_order, lump, recode
-from tidemark.operators.ranking import (dense_rank_within, rank_one_tally, share_of_total,
-                                        share_within, top_n, top_n_per_group)
+from tidemark.operators.columns import matching, relocate
+from tidemark.operators.ranking import (dense_rank_within, rank_one_tally, row_number_by,
+                                        share_of_total, share_within, top_n, top_n_per_group)
 from tidemark.operators.stats import fit_line, histogram
 from tidemark.operators.resample import bootstrap_means, bootstrap_percentiles
 from tidemark.operators.stats import welch_t
@@ -119,7 +120,7 @@ def good_converting_low_paid(fvp: DataFrame, min_free_sessions, max_paid_session
                                     for v in ("sessions", "mean_conv_rate")})
     return (wide.filter((F.col("sessions_free") > min_free_sessions)
                         & (F.col("sessions_paid") < max_paid_sessions))
-            .orderBy(F.col("mean_conv_rate_free").desc_nulls_last()))
+            .orderBy(F.col("mean_conv_rate_free").desc_nulls_last(), "country"))
 
 
 def revenue_per_transaction_rows(cm: DataFrame, n_mediums: int = 7) -> DataFrame:
@@ -158,31 +159,14 @@ def bootstrap_welch(cm: DataFrame, resamples: int = 10_000, seed: int = 0,
                     means: DataFrame | None = None) -> DataFrame:
     """MK22: Welch test on the bootstrap means of two mediums; by default the
     two mediums with the largest summed rev/tx (chosen inside the plan)."""
-    rows = revenue_per_transaction_rows(cm)
     if means is None:
         means = revenue_per_transaction_means(cm, resamples, seed)
-    if first and second:
-        return welch_t(means, "medium", "mean_revenue_per_transaction", first, second)
-    order = (rows.groupBy("medium").agg(F.sum("revenue_per_transaction").alias("_w"))
-             .withColumn("_r", F.row_number().over(
-                 Window.orderBy(F.col("_w").desc_nulls_last(), "medium"))))
-    stats = (means.groupBy("medium").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("mean_revenue_per_transaction").alias("m"),
-        F.var_samp("mean_revenue_per_transaction").alias("v"))
-        .join(order.filter(F.col("_r") <= 2), "medium"))
-    pick = lambda r, c: F.max(F.when(F.col("_r") == r, F.col(c)))
-    one = stats.agg(*[pick(r, c).alias(f"{c}{r}") for r in (1, 2)
-                      for c in ("medium", "n", "m", "v")])
-    se1, se2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
-    t = (F.col("m1") - F.col("m2")) / F.sqrt(se1 + se2)
-    dof = (se1 + se2) ** 2 / (se1 ** 2 / (F.col("n1") - 1) + se2 ** 2 / (F.col("n2") - 1))
-    from tidemark.operators.stats import _erfc
-    z = t * (1 - 1 / (4 * dof)) / F.sqrt(1 + t * t / (2 * dof))
-    return one.select(
-        F.col("medium1").alias("group_1"), F.col("medium2").alias("group_2"),
-        F.col("n1").cast("long").alias("n_1"), F.col("n2").cast("long").alias("n_2"),
-        F.col("m1").alias("mean_1"), F.col("m2").alias("mean_2"), t.alias("t"),
-        dof.alias("df"), (0.5 * _erfc(z / F.sqrt(F.lit(2.0)))).alias("p_value"))
+    if not (first and second):
+        top = top_n(revenue_per_transaction_rows(cm).groupBy("medium").agg(
+            F.sum("revenue_per_transaction").alias("w")), "w", 2, with_ties=False, tie="medium")
+        ranked = row_number_by(top, [F.col("w").desc_nulls_last(), "medium"], "r")
+        first, second = (ranked.filter(F.col("r") == r).select("medium").scalar() for r in (1, 2))
+    return welch_t(means, "medium", "mean_revenue_per_transaction", first, second)
 
 
 def share_distribution(cm: DataFrame, bc: DataFrame, metric: str, n_countries: int = 200,
@@ -215,14 +199,16 @@ def rpt_ranks(cells: DataFrame, n_mediums: int = 6) -> DataFrame:
     d = cells.select("country", "medium", "revenue", "transactions").withColumn(
         "revenue_per_transaction", ratio("revenue", "transactions"))
     d = dense_rank_within(d, ["revenue_per_transaction"], "country")
-    return lump(d, "medium", n_mediums, w="revenue_per_transaction", out="medium_lumped")
+    return lump(d, "medium", n_mediums, w="revenue_per_transaction", out="medium_lumped").orderBy(
+        "country", "revenue_per_transaction_rank", "medium")
 
 
 def rpt_winners(cells: DataFrame, n_mediums: int = 6) -> DataFrame:
     """MK27: lumped mediums ranked first on rev/tx in a country, with share."""
     r = rpt_ranks(cells, n_mediums)
     t = rank_one_tally(r, "revenue_per_transaction_rank", "medium_lumped")
-    return share_of_total(t, "n", "perc").withColumnRenamed("medium_lumped", "medium")
+    return (share_of_total(t, "n", "perc").withColumnRenamed("medium_lumped", "medium")
+            .orderBy(F.desc("n"), "medium"))
 
 
 def rpt_spread(cells: DataFrame, n_mediums: int = 6) -> DataFrame:
@@ -233,7 +219,8 @@ def rpt_spread(cells: DataFrame, n_mediums: int = 6) -> DataFrame:
         F.median("revenue_per_transaction").alias("median_revenue_per_transaction"),
         q.alias("_q")).select(
         "medium", "median_revenue_per_transaction",
-        (F.col("_q")[1] - F.col("_q")[0]).alias("iqr_revenue_per_transaction"))
+        (F.col("_q")[1] - F.col("_q")[0]).alias("iqr_revenue_per_transaction")).orderBy(
+        F.col("median_revenue_per_transaction").desc_nulls_last(), "medium")
 
 
 def share_fit(cells: DataFrame, n_mediums: int = 7) -> DataFrame:
@@ -244,11 +231,19 @@ def share_fit(cells: DataFrame, n_mediums: int = 7) -> DataFrame:
         "correlation", "revenue_new_users_share_corr")
 
 
-def top_medium_tally(cells: DataFrame, metric: str, n_mediums: int = 7) -> DataFrame:
+def top_medium_tally(cells: DataFrame, metric: str, n_mediums: int = 7,
+                     by_mart_rank: bool = False) -> DataFrame:
     """MK30: lumped (by ``metric``) medium with the largest ``metric_share``
-    in each country (ties kept), counted."""
+    in each country (ties kept), counted.
+
+    ``by_mart_rank`` keeps the rank that the mart gave among all mediums of
+    the country instead: a country whose best medium is not in ``cells`` has
+    no winner then (the users variant of the scripts)."""
     d = lump(unknown_recode(cells), "medium", n_mediums, w=metric)
-    best = top_n_per_group(d, f"{metric}_share", 1, "country")
+    if by_mart_rank:
+        best = d.filter(F.col(f"{metric}_channel_within_country_rank") == 1)
+    else:
+        best = top_n_per_group(d, f"{metric}_share", 1, "country")
     return best.groupBy("medium").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -257,7 +252,7 @@ def monetisation_ratio(cells: DataFrame) -> DataFrame:
     d = cells.select("country", "medium", "users_share", "revenue_share").withColumn(
         "revenue_to_users_share_ratio", ratio("revenue_share", "users_share"))
     return d.filter(F.col("revenue_to_users_share_ratio") > 1).orderBy(
-        F.col("revenue_to_users_share_ratio").desc_nulls_last())
+        F.col("revenue_to_users_share_ratio").desc_nulls_last(), "country", "medium")
 
 
 def best_converting_tally(cells: DataFrame) -> DataFrame:
@@ -267,21 +262,27 @@ def best_converting_tally(cells: DataFrame) -> DataFrame:
     return rank_one_tally(d, "ecommerce_conversion_rate_within_country_rank", "medium")
 
 
-def funnel_what_if(cells: DataFrame, visitors: int = 10_000,
-                   country: str | None = None) -> DataFrame:
+def potential_funnel(cells: DataFrame, visitors: int = 10_000) -> DataFrame:
     """MK33: revenue of ``visitors`` visitors at the cell's conversion rate and
-    rev/tx; dense ranks within the country of every revenue column; cells
-    whose potential rank beats their revenue rank."""
+    rev/tx, with dense ranks within the country of every revenue column; the
+    visitors stand in front of the conversion rate."""
     d = cells.select("country", "medium", "ecommerce_conversion_rate", "revenue",
                      "transactions").withColumn(
         "revenue_per_transaction", ratio("revenue", "transactions"))
-    d = d.withColumn("potential_revenue", F.lit(visitors) * F.col("ecommerce_conversion_rate")
-                     * F.col("revenue_per_transaction"))
-    revenue_cols = [c for c in d.columns if "revenue" in c]
-    d = dense_rank_within(d, revenue_cols, "country")
+    d = relocate(d.withColumn("n_potential_incoming_visitors", F.lit(visitors)),
+                 "n_potential_incoming_visitors", "ecommerce_conversion_rate")
+    d = d.withColumn("potential_revenue", F.col("n_potential_incoming_visitors")
+                     * F.col("ecommerce_conversion_rate") * F.col("revenue_per_transaction"))
+    return dense_rank_within(d, matching(d, contains="revenue"), "country")
+
+
+def funnel_what_if(cells: DataFrame, visitors: int = 10_000,
+                   country: str | None = None) -> DataFrame:
+    """MK33: cells whose potential rank beats their revenue rank."""
+    d = potential_funnel(cells, visitors)
     if country:
         d = d.filter(F.col("country") == country)
-    return d.select("country", "medium", *[c for c in d.columns if c.endswith("_rank")]).filter(
+    return d.select("country", "medium", *matching(d, ends_with="_rank")).filter(
         F.col("potential_revenue_rank") < F.col("revenue_rank"))
 
 

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bin_center, cents, ratio, split_amount
 from tidemark.operators.attribution import (CONVERSION, heuristic_models,
                                             markov_model, touches, transition_matrix)
-from tidemark.operators.ranking import running_total, share_of_total, top_n, top_n_per_group
+from tidemark.operators.ranking import (head_sorted, row_number_by, running_total, sample_rows,
+                                        share_of_total, top_n, top_n_per_group)
 from tidemark.operators.stats import ecdf, histogram, prob_grid, quantile_grid, summary
 
 
@@ -83,7 +84,8 @@ def drop_zero_value(parsed: DataFrame) -> DataFrame:
 
 def medium_vocabulary(parsed: DataFrame) -> DataFrame:
     """CP6: the sorted distinct touches over all paths."""
-    return parsed.select(F.explode(touches("medium_path")).alias("medium")).distinct()
+    return (parsed.select(F.explode(touches("medium_path")).alias("medium")).distinct()
+            .orderBy("medium"))
 
 
 def path_features(parsed: DataFrame) -> DataFrame:
@@ -116,9 +118,9 @@ def value_by_length(feat: DataFrame, max_length: int | None = None) -> DataFrame
 
 
 def first_touch_frequency(feat: DataFrame) -> DataFrame:
-    """CP10: paths per first touch and share."""
+    """CP10: paths per first touch and share, most frequent first."""
     g = feat.groupBy("first_touchpoint_medium").agg(F.count(F.lit(1)).alias("n"))
-    return share_of_total(g, "n", "perc")
+    return share_of_total(g, "n", "perc").orderBy(F.desc("n"), "first_touchpoint_medium")
 
 
 def duplicate_paths(parsed: DataFrame) -> DataFrame:
@@ -140,11 +142,12 @@ def clean_paths(raw: DataFrame) -> DataFrame:
     return merge_paths(drop_zero_value(parse_paths(raw)))
 
 
-def model_comparison(paths: DataFrame, n: int = 6) -> DataFrame:
+def model_comparison(paths: DataFrame, n: int = 6, model: DataFrame | None = None) -> DataFrame:
     """CP16: Markov and heuristic conversions for the top ``n`` channels by
     Markov conversions, long form (channel_name, model, value), with the
-    channels' display order (``channel_order``)."""
-    markov = markov_model(paths).select(
+    channels' display order (``channel_order``).  ``model`` reuses a computed
+    ``markov_model``."""
+    markov = (model if model is not None else markov_model(paths)).select(
         "channel_name", F.col("total_conversions").alias("markov_conversions"))
     heur = heuristic_models(paths)
     heur = heur.withColumnsRenamed({c: c.replace("touch_", "", 1) for c in heur.columns
@@ -161,12 +164,14 @@ def model_comparison(paths: DataFrame, n: int = 6) -> DataFrame:
     return level_order(long, "channel_name", "value", "sum", out="channel_order", desc=True)
 
 
-def top_transitions(paths: DataFrame, n_channels: int = 11, n_targets: int = 4) -> DataFrame:
+def top_transitions(paths: DataFrame, n_channels: int = 11, n_targets: int = 4,
+                    model: DataFrame | None = None) -> DataFrame:
     """CP17: for the top channels by Markov conversions, their ``n_targets``
-    most likely next states (no ties)."""
+    most likely next states (no ties).  ``model`` reuses a computed
+    ``markov_model``."""
     tm = transition_matrix(paths)
-    top = top_n(markov_model(paths).select("channel_name", "total_conversions"),
-                "total_conversions", n_channels)
+    model = model if model is not None else markov_model(paths)
+    top = top_n(model.select("channel_name", "total_conversions"), "total_conversions", n_channels)
     kept = tm.join(top, tm["channel_from"] == top["channel_name"], "left_semi")
     return top_n_per_group(kept, "transition_probability", n_targets, "channel_from",
                            with_ties=False, tie="channel_to")
@@ -211,8 +216,7 @@ def path_search(parsed: DataFrame, fragment: str) -> DataFrame:
 def channel_index(result: DataFrame) -> DataFrame:
     """WIN11: 1-based channel index by name (the index<->name dictionary of a
     model result)."""
-    return result.select("channel_name").withColumn(
-        "channel_index", F.row_number().over(Window.orderBy("channel_name")).cast("long"))
+    return row_number_by(result.select("channel_name"), ["channel_name"], "channel_index")
 
 
 def touches_long(paths: DataFrame) -> DataFrame:
@@ -225,13 +229,13 @@ def touches_long(paths: DataFrame) -> DataFrame:
 def tail_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """TOP5: the last ``n`` rows of ``df`` sorted descending by ``order`` —
     i.e. the first ``n`` in ascending order (TakeOrderedAndProject)."""
-    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(n)
+    return head_sorted(df, [F.col(c).asc_nulls_last() for c in order], n)
 
 
 def sample_paths(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """SMP1: ``n`` random rows (the limit is the sampling feature)."""
-    from tidemark.operators.ranking import sample_rows
-    return sample_rows(df, n, seed)
+    """SMP1: ``n`` random path rows (the limit is the sampling feature)."""
+    cents = F.floor(F.col("value") * 100 + 0.5).cast("long")
+    return sample_rows(df, n, ["medium_path", "conversions", "currency", cents], seed)
 
 
 def odds_vs_best(tm: DataFrame) -> DataFrame:

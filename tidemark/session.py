@@ -7,6 +7,7 @@ exists for tests and ``bench.py`` only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,32 +36,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only if unset.
+    """The folder for checkpoints, set on the context once.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is left
-    alone.  Only an unset value (tests, local runs) gets a fresh temp folder.
+    ``spark.checkpoint.dir`` names it; on a cluster it must be a folder that
+    all executors share, so an unset value is an error there.  A local master
+    (tests) gets a scratch folder.
     """
-    try:
-        current = spark.conf.get("spark.checkpoint.dir", None)
-    except Exception:  # noqa: BLE001
-        current = None
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: the server owns the folder
-        return current or ""
-    if current:
-        sc.setCheckpointDir(current)
-        return current
+        return folder or ""
     existing = sc.getCheckpointDir()
     if existing:
         return existing
-    path = tempfile.mkdtemp(prefix="tidemark-ckpt-")
-    sc.setCheckpointDir(path)
-    try:
-        spark.conf.set("spark.checkpoint.dir", path)
-    except Exception:  # noqa: BLE001 - some deployments reject core confs at runtime
-        pass
-    return path
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidemark-ckpt-")
+    sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
 
 
 def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:

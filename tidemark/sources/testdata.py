@@ -10,19 +10,16 @@ Scale notes
 -----------
 * ``medium_country``: lineitem (the largest table) is pre-aggregated per order
   with a partial + final hash aggregate before it meets orders, so only one row
-  per order crosses the join.  A customer's first order is a ``min_by`` aggregate
-  (partial results per task, so a hot customer does not land in one task) and
-  is matched back on the unique order key; orders, lines and first orders all
-  meet on ``o_orderkey``.  nation is a fixed 25-row dimension broadcast behind a
-  row-count check.
+  per order crosses the join.  Orders are folded to (cell, customer) rows; the
+  customer's first order is the smallest of these rows' first orders.
 * ``conversion_paths_raw``: each user's events are cut into journeys at every
-  purchase.  The running purchase count is a two-pass segmented scan: counts
-  per (user, time bucket) are prefixed per user on the small bucket table, then
-  each bucket is scanned locally, so one user with a third of all events is
-  spread over many (user, bucket) tasks; a bucket over ``max_bucket_rows``
-  events is cut into time slices.  Touches are assembled per journey
-  with ``collect_list`` + ``array_sort`` on (ts, event_id): the output row *is*
-  the journey, so the group is the unit of output.
+  purchase.  The events are laid out in ranges of (user, ts, event_id), which
+  follow the data, so one user with a third of all events spreads over many
+  ranges and a burst in one second does too.  Purchases are numbered inside a
+  range and prefixed over the ranges.  What follows a user's last purchase (all
+  events of a user who never buys) is dropped before touches are assembled with
+  ``collect_list`` + ``array_sort`` on (ts, event_id): the output row *is* the
+  journey, so the group is the unit of output.
 """
 
 from __future__ import annotations
@@ -32,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import cents, ratio
 from tidemark.sources.files import read_table
-from tidemark.operators.joins import broadcast_if_small
+from tidemark.session import ensure_checkpoint_dir
 
 # --- fixed values of the test-table mapping (FIXTURES.md §2) -----------------
 NOT_SET = "(not set)"
@@ -62,8 +59,7 @@ def medium_country(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderdate", "o_orderpriority")
     customer = read_table(spark, sf_dir, "customer").select(
         "c_custkey", "c_nationkey", "c_mktsegment")
-    nation = broadcast_if_small(
-        read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000)
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
     # one row per order from lineitem; the day difference needs o_orderdate,
     # so it is summed after the join from per-line ship dates pre-aggregated
@@ -75,24 +71,15 @@ def medium_country(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(day_no.cast("long")).alias("ship_days"),
     )
     o_day = F.datediff(F.to_date("o_orderdate"), F.lit("1970-01-01").cast("date"))
-    # each customer's first order by (o_orderdate, o_orderkey): ``min_by`` is
-    # an aggregate with map-side partial results, so a customer with
-    # a third of all orders is still folded inside every task; the flag goes
-    # back by the unique order key, which cannot skew
-    first = orders.groupBy("o_custkey").agg(
-        F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("first_orderkey"))
     enriched = (
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .join(first.select("first_orderkey"), F.col("o_orderkey") == F.col("first_orderkey"),
-              "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             _recode(F.col("n_name"), COUNTRY_RECODE).alias("country"),
             _recode(F.concat_ws("/", "c_mktsegment", F.substring("o_orderpriority", 1, 1)),
                     MEDIUM_RECODE).alias("medium"),
-            "o_custkey", F.col("first_orderkey").isNotNull().alias("is_first"),
-            "o_orderstatus", "o_totalprice",
+            "o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus", "o_totalprice",
             F.coalesce("n_lines", F.lit(0)).alias("n"),
             F.coalesce("qty", F.lit(0.0)).alias("q"),
             (F.col("ship_days") / F.col("n_lines") - o_day).alias("dd"),
@@ -105,7 +92,7 @@ def medium_country(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a sum or count, so both levels fold map-side and a hot customer or cell
     # is pre-aggregated inside each task.
     per_customer = enriched.groupBy("country", "medium", "o_custkey").agg(
-        F.max(F.col("is_first").cast("int")).alias("first"),
+        F.min(F.struct("o_orderdate", "o_orderkey")).alias("earliest"),
         F.count(F.lit(1)).alias("orders"),
         F.sum("n").alias("n"),
         F.sum(F.when(done, F.lit(1)).otherwise(F.lit(0))).alias("tx"),
@@ -115,6 +102,10 @@ def medium_country(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("dd").alias("dd_sum"),
         F.count("dd").alias("dd_n"),
     )
+    # a customer has one row for each cell: the first order is in one of them
+    mine = Window.partitionBy("o_custkey")
+    per_customer = per_customer.withColumn(
+        "first", (F.col("earliest") == F.min("earliest").over(mine)).cast("int"))
     agg = per_customer.groupBy("country", "medium").agg(
         F.count(F.lit(1)).alias("users"),
         F.sum("first").alias("new_users"),
@@ -171,62 +162,41 @@ medium_country AS (
 """
 
 
-def conversion_paths_raw(spark: SparkSession, sf_dir: str, bucket_seconds: int = 86_400,
-                         max_bucket_rows: int = 2_000_000) -> DataFrame:
+def conversion_paths_raw(spark: SparkSession, sf_dir: str,
+                         ranges: int | None = None) -> DataFrame:
     """Raw conversion-path export: medium_path, conversions (double), value text.
 
-    The running purchase count per user is a segmented scan over (user,
-    bucket) groups.  Buckets are ``bucket_seconds`` wide; a (user, bucket)
-    holding more than ``max_bucket_rows`` events is cut into equal time
-    slices, so no single scan group exceeds about that many rows.  The list
-    of such hot groups has at most events / ``max_bucket_rows`` rows."""
+    The narrow events are written once, laid out in ranges (``ranges`` of them,
+    else as many as Spark's shuffle has partitions); runs a job when called."""
+    ensure_checkpoint_dir(spark)
     ev = read_table(spark, sf_dir, "events").select(
         "event_id", "ts", "user_id", "event_type", "value", "props")
     is_p = F.col("event_type") == "purchase"
     k = F.get_json_object("props", "$.k").cast("long")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    width = bucket_seconds * 1_000_000
     ev = ev.select("user_id", "ts", "event_id", "value", is_p.alias("is_p"),
                    F.concat(F.col("event_type"), F.lit("-"), (k % 3).cast("string"))
-                   .alias("channel"),
-                   micros.alias("_us"), F.floor(micros / width).alias("_day"))
-    # pass 1: events and purchases per (user, day) in one aggregate; days over
-    # max_bucket_rows events are hot and get cut into _k time slices
-    days = ev.groupBy("user_id", "_day").agg(
-        F.count(F.lit(1)).alias("_c"), F.sum(F.col("is_p").cast("long")).alias("_bp"))
-    hot = (days.filter(F.col("_c") > max_bucket_rows)
-           .select("user_id", "_day", F.ceil(F.col("_c") / max_bucket_rows).alias("_k")))
-    sub = F.when(F.col("_k").isNull(), F.lit(0)).otherwise(
-        F.floor((F.col("_us") - F.col("_day") * width) * F.col("_k") / width))
-    ev = (ev.join(hot, ["user_id", "_day"], "left")
-          .withColumn("bucket", F.struct(F.col("_day"), sub.cast("long").alias("s"))))
-    # purchases per (user, bucket): normal days straight from the day
-    # aggregate, only the rows of hot days aggregated again by slice
-    cold_buckets = days.filter(F.col("_c") <= max_bucket_rows).select(
-        "user_id", F.struct(F.col("_day"), F.lit(0).cast("long").alias("s")).alias("bucket"),
-        F.col("_bp").alias("bp"))
-    hot_buckets = (ev.filter(F.col("_k").isNotNull()).groupBy("user_id", "bucket")
-                   .agg(F.sum(F.col("is_p").cast("long")).alias("bp")))
-    per_bucket = cold_buckets.unionByName(hot_buckets)
-    ev = ev.drop("_k", "_us", "_day")
-    prior = Window.partitionBy("user_id").orderBy("bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = per_bucket.select("user_id", "bucket",
-                                F.coalesce(F.sum("bp").over(prior), F.lit(0)).alias("off"))
-    # pass 2: running count inside the bucket, plus the bucket's offset
-    before = (Window.partitionBy("user_id", "bucket").orderBy("ts", "event_id")
+                   .alias("channel"))
+    order = ["user_id", "ts", "event_id"]
+    laid = ev.repartitionByRange(ranges, *order) if ranges else ev.repartitionByRange(*order)
+    # the range id is a physical partition id: written with the rows, so that
+    # both uses below read the same one
+    ev = laid.withColumn("part", F.spark_partition_id()).checkpoint(eager=True)
+    purchases = ev.groupBy("user_id", "part").agg(F.sum(F.col("is_p").cast("long")).alias("bp"))
+    whole = Window.partitionBy("user_id")
+    prior = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = purchases.select("user_id", "part", F.sum("bp").over(whole).alias("total"),
+                               F.coalesce(F.sum("bp").over(prior), F.lit(0)).alias("off"))
+    before = (Window.partitionBy("user_id", "part").orderBy("ts", "event_id")
               .rowsBetween(Window.unboundedPreceding, -1))
-    tagged = (ev.withColumn("local", F.coalesce(F.sum(F.col("is_p").cast("int")).over(before),
-                                                F.lit(0)))
-              .join(offsets, ["user_id", "bucket"])
-              .withColumn("j", F.col("off") + F.col("local")))
+    tagged = (ev.join(offsets.filter("total > 0"), ["user_id", "part"])
+              .withColumn("j", F.col("off") + F.coalesce(
+                  F.sum(F.col("is_p").cast("int")).over(before), F.lit(0)))
+              .filter("j < total"))
     journeys = tagged.groupBy("user_id", "j").agg(
         F.array_sort(F.collect_list(F.when(~F.col("is_p"), F.struct(
             "ts", "event_id", "channel")))).alias("touches"),
         F.max(F.when(F.col("is_p"), F.col("event_id"))).alias("pid"),
-        F.max(F.when(F.col("is_p"), F.col("value"))).alias("pval"),
-        F.max(F.col("is_p").cast("int")).alias("has_p"),
-    ).filter(F.col("has_p") == 1)
+        F.max(F.when(F.col("is_p"), F.col("value"))).alias("pval"))
     path = F.array_join(F.transform("touches", lambda t: t["channel"]), " > ")
     amount = F.round(F.greatest(F.col("pval") - 1, F.lit(0.0)) * 100, 2)
     return journeys.select(
@@ -316,11 +286,10 @@ def tourism(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tourists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC6: the analysed slice as (country, tourists).  The slice filter is
     applied to the fact (it reaches the scan of a stored fact as pushed
-    predicates) and the codes are replaced by labels through the dictionary,
-    broadcast behind a size check."""
+    predicates) and the codes are replaced by labels through the dictionary."""
     t = tourism(spark, sf_dir)
     s = TOURISM_SLICE
-    labels = broadcast_if_small(geo_codes(spark, sf_dir), 100_000)
+    labels = geo_codes(spark, sf_dir)
     return (t.filter((F.col("duration") == s["duration"]) & (F.col("c_dest") == s["c_dest"])
                      & (F.col("unit") == s["unit"]) & (F.col("time") == F.to_date(F.lit(s["time"]))))
             .join(labels, "geo")
