@@ -250,22 +250,22 @@ def replace(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     whole = rendered.groupBy("doc_id", "text_key", "pos").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))),
                                  lambda x: x["new"]), " ").alias("new"))
-    news = whole.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
+    news = whole.groupBy(F.col("doc_id").alias("_tidemark_id"), F.col("text_key").alias("_tidemark_key")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "new"))),
-                    lambda x: x["new"]).alias("_news"))
+                    lambda x: x["new"]).alias("_tidemark_news"))
 
     names = docs.columns
     gaps = F.split(text, ANY, -1)
     joined = docs.filter(maybe).join(
-        news, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
-    joined = joined.withColumn("_gaps", F.when(F.col("_news").isNotNull(), gaps))
-    new = F.concat(F.col("_gaps")[0], F.array_join(F.zip_with(
-        F.col("_news"), F.slice("_gaps", F.lit(2), F.size("_news")),
+        news, F.col("doc_id").eqNullSafe(F.col("_tidemark_id")) & (F.xxhash64("text") == F.col("_tidemark_key")), "left")
+    joined = joined.withColumn("_tidemark_gaps", F.when(F.col("_tidemark_news").isNotNull(), gaps))
+    new = F.concat(F.col("_tidemark_gaps")[0], F.array_join(F.zip_with(
+        F.col("_tidemark_news"), F.slice("_tidemark_gaps", F.lit(2), F.size("_tidemark_news")),
         lambda r, g: F.concat(r, g)), ""))
     changed = joined.withColumn("text", F.coalesce(new, text))
-    extra = [F.coalesce(F.size("_news"), F.lit(0)).cast("long").alias(count)] if count else []
+    extra = [F.coalesce(F.size("_tidemark_news"), F.lit(0)).cast("long").alias(count)] if count else []
     same = [F.lit(0).cast("long").alias(count)] if count else []
     if "n_chars" in names:      # the declared length follows the text
         changed = changed.withColumn("n_chars", F.when(
-            F.col("_news").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+            F.col("_tidemark_news").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return changed.select(*names, *extra).unionByName(docs.filter(~maybe).select(*names, *same))

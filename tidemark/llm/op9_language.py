@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 LANE = 1024
 BLOCK = 2_000_000
-BREAK = 1 << 30
+COUNT = 29             # a table entry is a state and, from this bit on, the phrases that end
 SPACE, OTHER = 0, 1
 _LETTERS: list[np.ndarray] = []
 
@@ -55,8 +55,8 @@ def normalised(text: str) -> str:
 
 def automaton(symbols: list[int], width: int) -> np.ndarray:
     """Suffix automaton as a table [state, symbol] -> next state.  Where the
-    state has no such edge, a phrase ends: the entry is the state after that
-    symbol from the start, plus ``BREAK``."""
+    state has no such edge, its phrase ends and the entry is the state after
+    that symbol from the start; a symbol that the text lacks is a phrase too."""
     nxt: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in symbols:
@@ -86,8 +86,10 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
     for s, edges in enumerate(nxt):
         for c, to in edges.items():
             table[s, c] = to
-    restart = np.where(table[0] < 0, 0, table[0]) | BREAK
-    return np.where(table < 0, restart, table)
+    unknown = table[0] < 0
+    restart = np.where(unknown, 2 << COUNT, table[0] | (1 << COUNT))
+    table[0] = np.where(unknown, 1 << COUNT, table[0])
+    return np.where(table < 0, restart, table).astype(np.int32)
 
 
 @dataclass
@@ -109,8 +111,8 @@ class CrossParser:
         for name in sorted(texts):
             text = " ".join(texts[name])[:train_letters]
             table = automaton([code.get(c, OTHER) for c in text], width)
-            flag = table & BREAK
-            tables.append((((table ^ flag) * width) + at * width) | flag)
+            to = table & ((1 << COUNT) - 1)
+            tables.append((table - to) | ((to + at) * width))
             names.append(name)
             starts.append(at * width)
             bits.append(math.log2(len(text) + 2))
@@ -155,11 +157,12 @@ class CrossParser:
             s = state[:, :n]
             s += sym[start[:n] + t]
             got = self.tables.take(s)
-            count[:, :n] += got >> 30
-            np.bitwise_and(got, BREAK - 1, out=s)
+            count[:, :n] += got >> COUNT
+            np.bitwise_and(got, (1 << COUNT) - 1, out=s)
+        count += state != self.starts[:, None]      # the phrases that are open
         out = np.zeros((len(texts), langs))
         for k in range(langs):
-            out[:, k] = np.bincount(owner, weights=count[k] + 1, minlength=len(texts))
+            out[:, k] = np.bincount(owner, weights=count[k], minlength=len(texts))
         return out, n_letters
 
     def predict(self, texts: list[str], code: np.ndarray) -> tuple[list[str], np.ndarray]:
