@@ -1,6 +1,60 @@
-STAGES = []
+"""The corpus pipeline: quality, near duplicates, decontamination, personal data,
+packing.  Each stage takes (spark, docs, sf_dir) and works on all that its
+predecessor kept; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import (
+    op2_packing, op4_jaccard_join, op5_surrogates, op6_decontamination, op8_quality)
+from tidemark.llm.common import documents, written
+from tidemark.llm.queries import SURROGATE_KEY
+
+LEAST_SCORE = 0.3
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine does not reject."""
+    model = op8_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    score = "_tidemark_quality"
+    return (op8_quality.score(docs, model, score).filter(f"{score} >= {LEAST_SCORE}")
+            .select(*docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the n-gram Jaccard join."""
+    return op4_jaccard_join.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages."""
+    return op6_decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for personal data."""
+    return op5_surrogates.replace(docs, SURROGATE_KEY)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces and their places in sequences of 2048 tokens."""
+    return op2_packing.pack(op2_packing.pieces(
+        docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates),
+          ("decontamination", decontamination), ("personal_data", personal_data),
+          ("packing", packing)]
+
+#: neither the model nor the surrogates nor the tokenizer can be said in SQL
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
