@@ -1,11 +1,10 @@
 """Distribution operators (AGG13-AGG21, WIN12, AGG17-18, MK22).
 
-Exact quantiles use Spark's ``percentile`` (linear interpolation between order
-statistics, R's default type 7).  The input is first reduced to
-``(value, count)`` pairs with a distributed ``groupBy`` and the percentile is
-taken with the frequency argument, so the final single-group aggregate holds
-one entry per *distinct* value instead of one per row.  ``approx=True``
-switches to ``percentile_approx`` for unbounded distinct counts.
+Exact quantiles (linear interpolation between order statistics, R's default
+type 7) and the ECDF are distributed: the input is reduced to (value, count)
+pairs with a ``groupBy``, the pairs are laid out in ranges and written once, and
+a running count over the ranges gives every pair its ranks.  ``approx=True``
+switches to ``percentile_approx``.
 """
 
 from __future__ import annotations
@@ -24,38 +23,38 @@ def prob_grid(start: float, stop: float, step: float) -> list[float]:
     return [round(start + i * step, 10) for i in range(n + 1)]
 
 
-def _percentiles(value: str, probs: Sequence[float], freq: str | None,
-                 approx: bool, accuracy: int = 100000):
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if approx:
-        return F.percentile_approx(value, arr, accuracy)
-    return F.percentile(value, arr, F.col(freq)) if freq else F.percentile(value, arr)
+def ordered_ranges(pairs: DataFrame, value: str = "value", by: Sequence[str] = (),
+                   partitions: int | None = None) -> DataFrame:
+    """``pairs`` laid out in ranges of (``by``, value), with the range id
+    ``_rid``, written once.
+
+    The range id is a physical partition id: it is only meaningful for the one
+    execution that assigned it, and later branches must all read the same
+    ids.  Without an explicit count AQE may coalesce adjacent ranges, which
+    keeps them contiguous and ordered."""
+    from tidemark.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(pairs.sparkSession)
+    keys = [*[F.col(b).asc_nulls_last() for b in by], F.col(value).asc_nulls_last()]
+    laid = (pairs.repartitionByRange(partitions, *keys) if partitions
+            else pairs.repartitionByRange(*keys))
+    return laid.withColumn("_rid", F.spark_partition_id()).checkpoint(eager=True)
 
 
 def ordered_prefix(pairs: DataFrame, value: str = "value", weight: str = "n",
                    by: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
     """Running total of ``weight`` in ``value`` order (within each ``by`` group)
-    without a single-task window.  Meant for reduced inputs such as
-    (value, count) pairs: the range-tagged rows are written once.
+    without a single-task window.  Adds ``cum_end`` (inclusive running total) and
+    ``cum_start``.  Runs a job when called (``ordered_ranges``)."""
+    return prefix_of_ranges(ordered_ranges(pairs, value, by, partitions), value, weight, by)
+
 
-    The pairs are range-partitioned by (``by``, value); each range gets its
+def prefix_of_ranges(ranged: DataFrame, value: str = "value", weight: str = "n",
+                     by: Sequence[str] = ()) -> DataFrame:
+    """``ordered_prefix`` of ranges that are laid out already: each range gets its
     local running sum (a window partitioned by range id and group), and the
     ranges' totals are prefixed per group on a table with one row per (range,
-    group).  Adds ``cum_end`` (inclusive running total) and ``cum_start``."""
+    group)."""
     by = list(by)
-    keys = [*[F.col(b).asc_nulls_last() for b in by], F.col(value).asc_nulls_last()]
-    # The range id is a physical partition id: it is only meaningful for the
-    # one execution that assigned it.  The local sums and the range totals
-    # are two branches of the plan, and Spark would range-partition each on
-    # its own (with its own sample and its own coalescing), so the tagged rows
-    # are written once with checkpoint() and both branches read the same ids.
-    # Without an explicit count AQE may coalesce adjacent ranges, which keeps
-    # them contiguous and ordered.
-    from tidemark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(pairs.sparkSession)
-    ranged = (pairs.repartitionByRange(partitions, *keys) if partitions
-              else pairs.repartitionByRange(*keys)).withColumn(
-        "_rid", F.spark_partition_id()).checkpoint(eager=True)
     local_w = (Window.partitionBy("_rid", *by).orderBy(F.col(value).asc_nulls_last())
                .rowsBetween(Window.unboundedPreceding, 0))
     local = ranged.withColumn("_local", F.sum(weight).over(local_w))
@@ -79,16 +78,14 @@ def exact_quantiles(df: DataFrame, c: str, probs: Sequence[float],
     each pair checks row-locally which wanted ranks it covers, so only those
     few rows reach the final per-group aggregate.  No task holds a whole
     group.  Returns (``by``..., prob, value)."""
-    from tidemark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
     by = list(by)
-    # the pairs feed several plans (group sizes, range sample, ranges, range
-    # totals): write them once instead of recomputing the input each time
-    pairs = (df.filter(F.col(c).isNotNull())
-             .groupBy(*by, F.col(c).cast("double").alias("value"))
-             .agg(F.count(F.lit(1)).alias("n"))).checkpoint(eager=True)
+    # the pairs feed several branches (group sizes, ranges, range totals):
+    # laid out and written once
+    pairs = ordered_ranges(df.filter(F.col(c).isNotNull())
+                           .groupBy(*by, F.col(c).cast("double").alias("value"))
+                           .agg(F.count(F.lit(1)).alias("n")), by=by)
     sizes = pairs.groupBy(*by).agg(F.sum("n").alias("_N")) if by else None
-    pref = ordered_prefix(pairs, "value", "n", by)
+    pref = prefix_of_ranges(pairs, by=by)
     if by:
         pref = pref.join(sizes, by)
         total = F.col("_N")
@@ -128,7 +125,8 @@ def quantile_grid(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
         *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], list(columns), "metric", "_v")
     if approx:
-        q = long.groupBy(*by, "metric").agg(_percentiles("_v", probs, None, True).alias("_q"))
+        q = long.groupBy(*by, "metric").agg(F.percentile_approx(
+            "_v", [float(p) for p in probs], 100_000).alias("_q"))
         return q.select(*by, "metric", F.posexplode(F.arrays_zip(
             F.array(*[F.lit(float(p)) for p in probs]), "_q"))).select(
             *by, "metric", F.col("col")["0"].alias("prob"), F.col("col")["_q"].alias("value"))
@@ -179,14 +177,12 @@ def histogram_bins(df: DataFrame, c: str, bins: int = 30, by: Sequence[str] = ()
 
 def ecdf(df: DataFrame, c: str) -> DataFrame:
     """WIN12: empirical CDF at each distinct value.  Pre-aggregated to
-    (value, count); the running count is ``ordered_prefix`` (range-partitioned),
-    not a single-task window."""
-    from tidemark.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    pairs = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(
-        F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    (value, count); the running count is taken over ranges of the values, not
+    in a single-task window."""
+    pairs = ordered_ranges(df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value"))
+                           .agg(F.count(F.lit(1)).alias("n")))
     total = pairs.select(F.sum("n")).scalar()
-    return ordered_prefix(pairs, "value", "n").select(
+    return prefix_of_ranges(pairs).select(
         "value", "n", (F.col("cum_end") / total).alias("ecdf"))
 
 
