@@ -10,9 +10,9 @@ side.  A text is contaminated if a stretch has at least ``min_matches`` equal
 tokens, or 0.8 of the item's tokens if that is less.
 
 The benchmark's seeds are broadcast only while the table has at most
-``broadcast_rows`` seeds (checked); beyond that Spark joins by shuffle, with the
-same result.  Texts are never shuffled: hits carry their verified stretch only,
-and repeated hits of a stretch are folded before the shuffle.
+``broadcast_rows`` seeds (checked); then texts are not shuffled, and hits carry the
+tokens of their diagonal only.  Beyond that the seeds are joined by shuffle, and
+the tokens of texts with hits are joined back, with the same result.
 
 Null texts have no tokens.  Items with fewer than ``SPAN`` tokens have no seeds
 and never match.  A repeated row gives one stretch (rows are told apart by
@@ -70,36 +70,50 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13,
     """Stretches of benchmark items in texts: doc_id, text_key, item_id, start
     (token of the text), length and matches."""
     items = benchmark.select(F.col("item_id"), tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-    seeds = _seeds(items, ["item_id"]).select(
-        "item_id", F.col("toks").alias("item"), F.col("at").alias("item_at"), "seed")
-    if seeds.count() <= broadcast_rows:
-        seeds = F.broadcast(seeds)
+    seeds = _seeds(items, ["item_id"])
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                        tokens(F.coalesce("text", F.lit(""))).alias("toks"))
-    hits = _seeds(rows, ["doc_id", "text_key"]).join(seeds, "seed")
-
+    places = _seeds(rows, ["doc_id", "text_key"])
+    if seeds.count() <= broadcast_rows:
+        # the texts' tokens go through the join by reference, in one scan
+        hits = places.join(F.broadcast(seeds.select(
+            "item_id", F.col("toks").alias("item"), F.col("at").alias("item_at"), "seed")), "seed")
+    else:
+        # only seeds are shuffled; the tokens come back for texts with hits
+        found = places.drop("toks").join(seeds.select("seed", "item_id", F.col("at").alias("item_at")), "seed")
+        mine = rows.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), "toks")
+        hits = (found.join(items.select("item_id", F.col("toks").alias("item")), "item_id")
+                .join(mine, F.col("doc_id").eqNullSafe(F.col("id"))
+                      & (F.col("text_key") == F.col("key"))))
+
+    # only what lies on the hit's diagonal leaves the scan's generated code
     first = F.col("at") - F.col("item_at")          # where the item would begin
     skip = F.greatest(F.lit(0), -first)             # its tokens before the text
-    size = F.least(F.size("item") - skip, F.size("toks") - F.greatest(F.lit(0), first))
+    begin = F.greatest(F.lit(0), first)
+    size = F.least(F.size("item") - skip, F.size("toks") - begin)
     aligned = hits.select(
         "doc_id", "text_key", "item_id", F.size("item").alias("item_size"),
-        (F.greatest(F.lit(0), first)).alias("from"), (F.col("item_at") - skip).alias("seed_at"),
-        F.zip_with(F.slice("toks", F.greatest(F.lit(0), first) + 1, size),
-                   F.slice("item", skip + 1, size), lambda a, b: a == b).alias("same"))
-    grown = aligned.select(
-        "doc_id", "text_key", "item_id", "item_size", "from", "seed_at",
-        _growth(F.slice("same", F.col("seed_at") + 1,
-                        F.size("same") - F.col("seed_at"))).alias("right"),
-        _growth(F.reverse(F.slice("same", F.lit(1), F.col("seed_at")))).alias("left"))
+        begin.alias("begin"), (F.col("item_at") - skip).alias("seed_at"),
+        F.slice("toks", begin + 1, size).alias("mine"), F.slice("item", skip + 1, size).alias("theirs"))
+    # the hits of one diagonal are compared together, once
+    aligned = aligned.groupBy("doc_id", "text_key", "item_id", "item_size", "begin", "mine",
+                              "theirs").agg(F.collect_set("seed_at").alias("seeds"))
+    same = aligned.select("doc_id", "text_key", "item_id", "item_size", "begin", "seeds", F.zip_with(
+        "mine", "theirs", lambda a, b: a == b).alias("same"))
+    grown = same.select(
+        "doc_id", "text_key", "item_id", "item_size", "begin",
+        F.explode(F.transform("seeds", lambda at: F.struct(
+            at.alias("at"),
+            _growth(F.slice("same", at + 1, F.size("same") - at)).alias("right"),
+            _growth(F.reverse(F.slice("same", F.lit(1), at))).alias("left")))).alias("g"))
     found = grown.select(
         "doc_id", "text_key", "item_id", "item_size",
-        (F.col("from") + F.col("seed_at") - F.col("left.length")).alias("start"),
-        (F.col("left.length") + F.col("right.length")).alias("length"),
-        (F.col("left.equal") + F.col("right.equal")).alias("matches"))
+        (F.col("begin") + F.col("g.at") - F.col("g.left.length")).alias("start"),
+        (F.col("g.left.length") + F.col("g.right.length")).alias("length"),
+        (F.col("g.left.equal") + F.col("g.right.equal")).alias("matches"))
     needed = F.least(F.lit(min_matches), F.ceil(F.col("item_size") * 0.8))
-    return (found.filter(F.col("matches") >= needed)
-            .groupBy("doc_id", "text_key", "item_id", "start", "length")
-            .agg(F.max("matches").alias("matches")))
+    return (found.distinct().filter(F.col("matches") >= needed)
+            .select("doc_id", "text_key", "item_id", "start", "length", "matches"))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -110,18 +124,16 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
         F.array_sort(F.collect_set(F.struct("start", "length", "item_id"))).alias("ranges"))
     return (docs.select("doc_id").distinct()
             .join(found, F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
-            .select("doc_id", F.col("found_id").isNotNull().alias("hit"),
-                    F.col("n_items").isNotNull().alias("contaminated"),
+            .select("doc_id", F.col("n_items").isNotNull().alias("contaminated"),
                     F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
                     F.coalesce("matches", F.lit(0)).alias("matches"),
                     F.coalesce("ranges", F.array().cast(
-                        "array<struct<start:int,length:int,item_id:bigint>>")).alias("ranges"))
-            .drop("hit"))
+                        "array<struct<start:int,length:int,item_id:bigint>>")).alias("ranges")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose text no benchmark item contaminates."""
     found = overlaps(docs, benchmark, **options).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id"))
-                     & (F.xxhash64("text") == F.col("_key")), "left_anti")
+        F.col("doc_id").alias("_tidemark_id"), F.col("text_key").alias("_tidemark_key")).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_tidemark_id"))
+                     & (F.xxhash64("text") == F.col("_tidemark_key")), "left_anti")
