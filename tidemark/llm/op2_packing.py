@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import written
 
 GROUP_ROWS = 20_000
+STOPS = (".", ",")
 _TOKENIZERS: dict[str, "SpacedTokenizer"] = {}
 
 
@@ -38,10 +39,12 @@ class SpacedTokenizer:
 
     Such a tokenizer never joins what a space separates, so the ids of a text
     are the ids of its parts between spaces.  Each distinct part is encoded
-    once and kept in a bounded table.
+    once and kept in a bounded table.  It also lowers case and parts words from
+    punctuation; so Latin-1 texts (whose case has no exceptions) are lowered
+    first, and a stop or comma after a word is encoded by itself.
     """
 
-    def __init__(self, path: str, keep_chars: int = 8_000_000):
+    def __init__(self, path: str, keep_chars: int = 14_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,6 +55,13 @@ class SpacedTokenizer:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         kept = self.kept
+        text = text.replace("\n", " ")
+        if "<|" not in text:            # a special token is told by its case
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
         parts = text.split(" ")
         new = [p for p in dict.fromkeys(parts) if p not in kept]
         if new:
@@ -59,8 +69,15 @@ class SpacedTokenizer:
                 kept.clear()
                 self.chars = 0
                 new = list(dict.fromkeys(parts))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                kept[p] = np.asarray(e.ids, dtype="<u4").tobytes()
+            ended = [p for p in new if p[-1:] in STOPS and p[-2:-1].isalnum()]
+            words = dict.fromkeys(p[:-1] for p in ended)
+            words.update(dict.fromkeys(set(new).difference(ended)))
+            words.update(dict.fromkeys(STOPS))
+            words = [w for w in words if w not in kept]
+            for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False)):
+                kept[w] = np.asarray(e.ids, dtype="<u4").tobytes()
+            for p in ended:
+                kept[p] = kept[p[:-1]] + kept[p[-1]]
             self.chars += sum(map(len, new))
         return b"".join(map(kept.__getitem__, parts))
 
