@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
     op2_packing, op4_jaccard_join, op5_surrogates, op6_decontamination, op8_quality)
-from tidemark.llm.common import documents, written
+from tidemark.llm.common import documents, importable, written
 from tidemark.llm.queries import SURROGATE_KEY
 
 LEAST_SCORE = 0.3
@@ -18,6 +18,7 @@ LEAST_SCORE = 0.3
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine does not reject."""
+    importable(spark)
     model = op8_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = "_tidemark_quality"
     return (op8_quality.score(docs, model, score).filter(f"{score} >= {LEAST_SCORE}")
@@ -26,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the n-gram Jaccard join."""
+    importable(spark)
     return op4_jaccard_join.one_of_each(docs)
 
 
@@ -41,6 +43,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences of 2048 tokens."""
+    importable(spark)
     return op2_packing.pack(op2_packing.pieces(
         docs, public_tokenizers.path("word_bpe_49k.json")))
 

@@ -3,6 +3,7 @@ tables, and the columns of ``documents``."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -37,9 +38,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough for a local master and for clusters where the path is the same on
+    all machines; elsewhere the package is shipped with ``--py-files``."""
+    try:
+        environment = spark.sparkContext.environment
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's environment holds
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
