@@ -10,17 +10,18 @@ aside: whoever occurs T times occurs in one of the n - T + 1 short lists too.
 2. All sets put their shingles in one order in which frequent shingles come
    last (a bounded list of the most frequent ones, found by counting), so that
    the first n - T + 1 lists are the short ones.  Only these are built.
-3. Short lists are merged: pairs of classes with the number of short lists that
-   they share.  With c of them, the overlap is at most c + max(ceil(0.8 n),
-   ceil(0.8 m)) - 1, and pairs that can't reach the required overlap are left.
+3. Short lists are merged.  With c common short lists the overlap is at most
+   c + max(ceil(0.8 n), ceil(0.8 m)) - 1; classes and pairs that can't reach the
+   required overlap with that are left.
 4. For the rest the long lists are probed: the overlap of the whole sets (the
    probe is a hash lookup in the candidate's set).  The exact test decides.
 
 Large groups of similar documents are not expanded into all pairs.  Every class
-first tries its best partners among the leaders of its lists (step A); then
-only lists with members in different components are merged, and only pairs
-across components are tried (step B).  A link inside a component cannot change
-the components, so these come out whole.  Lists with equal members are merged
+first tries its best partners among the leaders of its lists, a few times (step
+A); then all pairs that are left across components are tried (step B), with
+DivideSkip again: a class needs so many common short lists that its longest
+ones can be set aside.  A link inside a component cannot change the
+components, so these come out whole.  Lists with equal members are merged
 once, with their number.
 
 No list meets in one task beyond ``SPLIT`` entries: a list that the count
@@ -40,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import written
@@ -51,7 +52,11 @@ FREQUENT = 16           # a frequent shingle is in so many short lists at least
 FREQUENT_ROWS = 200_000  # bound of the list of frequent shingles
 SPLIT = 20_000
 BROADCAST_ROWS = 200_000
-KEEP_WORDS = 500_000
+TURNS = 2               # step A: so often, each class tries so many partners
+TRIES = 2
+#: step B: sizes of partners, in slices of the own size
+RATIOS = (0.8, 0.85, 0.9, 0.95, 1.0, 1.06, 1.12, 1.18, 1.25)
+KEEP_WORDS = 300_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FACTORS = [np.uint64(int.from_bytes(hashlib.sha256(f"word {i}".encode()).digest()[:8], "big") | 1)
@@ -99,6 +104,12 @@ def class_id(found: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(found), digest_size=8).digest(), "big", signed=True)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def short(n: int) -> int:
     """Number of short lists of a set of n shingles: n - T + 1."""
     return n + (-80 * n // 100) + 1
@@ -109,7 +120,7 @@ def classes(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids, sizes = [], []
             for text in batch["text"].to_pylist():
                 found = words(text)
@@ -125,11 +136,12 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def postings(docs: DataFrame, frequent: np.ndarray, lengths: np.ndarray) -> DataFrame:
     """The short lists: shingle, salt, cls, n.  ``frequent``: sorted shingles
-    that come last in the order; ``lengths``: their lists' lengths."""
+    that come last in the order; ``lengths``: their lists' lengths.  ``salt`` is
+    the part of a list that is split, else -1."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches):
             keys, owners, sizes, salts = [], [], [], []
             for text in batch.column(0).to_pylist():
                 found = words(text)
@@ -141,11 +153,12 @@ def postings(docs: DataFrame, frequent: np.ndarray, lengths: np.ndarray) -> Data
                 seen.add(cls)
                 mine = shingles(found)
                 n = len(mine)
-                salt = np.zeros(n, dtype=np.int32)
+                salt = np.full(n, -1, dtype=np.int32)
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, mine), len(frequent) - 1)
                     often = frequent[at] == mine
-                    salt[often] = abs(cls) % (1 + lengths[at[often]] // SPLIT)
+                    parts = 1 + lengths[at[often]] // SPLIT
+                    salt[often] = np.where(parts > 1, abs(cls) % parts, -1)
                     order = np.argsort(often, kind="stable")[:short(n)]
                 else:
                     order = np.arange(short(n))
@@ -188,22 +201,29 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def _lists(docs: DataFrame) -> DataFrame:
     """Short lists of two classes or more: list, times (lists with the same
-    members), cls, n."""
+    members), k (members), lo and hi (their sizes), cls, n."""
     frequent, lengths = _frequent(docs)
     part = Window.partitionBy("shingle", "salt")
+    once = Window.partitionBy("shingle", "salt", "cls").orderBy("n")
     shared = written(
-        postings(docs, frequent, lengths)
-        .withColumn("k", F.count(F.lit(1)).over(part)).filter("k > 1 or salt > 0")
-        .select("shingle", "cls", "n"), "postings")
-    shared = written(shared.distinct(), "lists")
-    members = shared.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("k"), F.bit_xor("cls").alias("x"),
-        F.bit_xor(F.xxhash64("cls")).alias("y")).filter("k > 1")
-    chosen = written(members.groupBy("k", "x", "y").agg(
-        F.min("shingle").alias("shingle"), F.count(F.lit(1)).alias("times"))
-        .select("shingle", "times"), "chosen")
-    return written(shared.join(chosen, "shingle")
-                   .select(F.col("shingle").alias("list"), "times", "cls", "n"), "short-lists")
+        postings(docs, frequent, lengths).repartition("shingle", "salt")
+        .withColumn("copy", F.row_number().over(once)).filter("copy = 1")
+        .withColumns({"k": F.count(F.lit(1)).over(part), "x": F.bit_xor("cls").over(part),
+                      "y": F.bit_xor(F.xxhash64("cls")).over(part),
+                      "lo": F.min("n").over(part), "hi": F.max("n").over(part)})
+        .filter("k > 1 or salt >= 0").drop("copy"), "postings")
+    # of the lists with the same members one stays; x and y tell members
+    members = Window.partitionBy("k", "x", "y")
+    columns = ("list", "times", "k", "lo", "hi", "cls", "n")
+    whole = (shared.filter("salt < 0")
+             .withColumns({"list": F.min("shingle").over(members),
+                           "times": (F.count(F.lit(1)).over(members) / F.col("k")).cast("long")})
+             .filter("shingle = list").select(*columns))
+    # lists that were split come together as rows, not in a task
+    split = shared.filter("salt >= 0").select(F.col("shingle").alias("list"), "cls", "n").distinct()
+    facts = split.groupBy("list").agg(F.lit(1).cast("long").alias("times"), F.count(F.lit(1)).alias("k"),
+                                      F.min("n").alias("lo"), F.max("n").alias("hi")).filter("k > 1")
+    return whole.unionByName(split.join(facts, "list").select(*columns))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -214,12 +234,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         ids = F.broadcast(ids)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                found = [words(t) for t in batch.column(0).slice(at, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(class_id, found), pa.int64()),
-                     pa.array(map(shingles, found), pa.list_(pa.int64()))], names=["cls", "grams"])
+        for batch in _slices(batches):
+            found = [words(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(map(class_id, found), pa.int64()),
+                 pa.array(map(shingles, found), pa.list_(pa.int64()))], names=["cls", "grams"])
 
     return written(
         docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -227,6 +246,32 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         .join(wanted.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
 
+def _needed(n: Column, m: Column) -> Column:
+    """Short lists that sets of n and m shingles must share, at least."""
+    both = F.ceil((n + m) * 80 / 180)
+    return both - F.greatest(F.ceil(n * 80 / 100), F.ceil(m * 80 / 100)) + 1
+
+
+def _viable(lists: DataFrame) -> DataFrame:
+    """The rows of ``lists`` whose class shares enough lists to link with some
+    member of the list, with ``most`` (its lists).  The need is largest for a
+    partner of its own size, so the smallest and the largest partner in the
+    list decide; 1 is for rounding."""
+    n = F.col("n")
+    lo = F.greatest("lo", F.ceil(n * 80 / 100))
+    hi = F.least("hi", F.floor(n * 100 / 80))
+    return (lists.withColumn("most", F.sum("times").over(Window.partitionBy("cls")))
+            .filter(F.col("most") >= F.least(_needed(n, lo), _needed(n, hi)) - 1)
+            .select("list", "times", "k", "cls", "n", "most"))
+
+
+def _can_link(a: str, b: str) -> Column:
+    """By size and by the number of lists: ``n`` and ``most`` with these ends."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    return ((100 * n >= 80 * m) & (100 * m >= 80 * n)
+            & (F.least(f"most{a}", f"most{b}") >= _needed(n, m)))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The links (a, b) among ``pairs`` (a, b): whole sets are compared."""
     wanted = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
@@ -236,50 +281,89 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     other = sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     either = F.size("ga") + F.size("gb") - both
-    return written(pairs.select("a", "b").join(mine, "a").join(other, "b")
+    return written(pairs.join(mine, "a").join(other, "b")
                    .filter(100 * both >= 80 * either).select("a", "b"), "verified")
 
 
+def _rooted(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``lists`` with the component of each class so far."""
+    if links is None:
+        return lists.withColumn("root", F.col("cls"))
+    root = components(links).select(F.col("node").alias("cls"), "root")
+    return lists.join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+
+
+def _leaders(rooted: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each class and its ``TRIES`` best partners: those among
+    the leaders of its lists with which it shares most lists.  A list has a
+    leader of each size band: at first the class with most lists, which has the
+    fewest shingles of its own and thus links with most others; later another
+    one each turn."""
+    banded = rooted.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))))
+    first = -F.col("most") if turn == 0 else F.xxhash64("cls", F.lit(turn))
+    leader = F.min(F.struct(first.cast("long").alias("first"), "cls", "n", "most", "root")).alias("o")
+    leaders = banded.groupBy("list", "band").agg(leader).select(
+        "list", "band", F.col("o.cls").alias("leader"), F.col("o.n").alias("n2"),
+        F.col("o.most").alias("most2"), F.col("o.root").alias("root2"))
+    best = Window.partitionBy("cls").orderBy(F.desc("score"), "leader")
+    return (banded.withColumnsRenamed({"n": "n1", "most": "most1"}).join(leaders, ["list", "band"])
+            .filter((F.col("root") != F.col("root2")) & _can_link("1", "2"))
+            .groupBy("cls", "leader").agg(
+                F.sum("times").alias("score"),
+                F.first(_needed(F.col("n1"), F.col("n2"))).alias("needed"))
+            .filter("2 * score >= needed")      # the rest is for step B
+            .withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= TRIES)
+            .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
+            .distinct())
+
+
+def _across(rooted: DataFrame) -> DataFrame:
+    """All pairs (a, b) across components that the short lists allow.
+
+    Of each list the component with most members stays; every class outside it
+    is a query.  A query must share so many lists with a partner of a given
+    size (by ``RATIOS``) that its longest lists, one less together, are set
+    aside: a partner is in one of the others too."""
+    sizes = rooted.groupBy("list", "root").agg(F.count(F.lit(1)).alias("members"))
+    main = written(sizes.groupBy("list").agg(
+        F.max_by("root", F.struct("members", "root")).alias("main"),
+        F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("list", "main"), "main")
+    mixed = written(rooted.join(main, "list"), "mixed")
+    longest = Window.partitionBy("cls").orderBy(F.desc("k"), "list").rowsBetween(
+        Window.unboundedPreceding, 0)
+    ratio = F.explode(F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
+                                for lo, hi in zip(RATIOS, RATIOS[1:])))).alias("r")
+    queries = (rooted.withColumn("aside", F.sum("times").over(longest))
+               .join(main, "list").filter("root <> main")
+               .select("list", "aside", F.col("cls").alias("a"), F.col("n").alias("n1"),
+                       F.col("most").alias("most1"), F.col("root").alias("root1"),
+                       ratio)
+               .withColumns({"from": F.floor(F.col("n1") * F.col("r.lo")),
+                             "to": F.ceil(F.col("n1") * F.col("r.hi"))})
+               .filter(F.col("aside") >= F.least(_needed(F.col("n1"), F.col("from")),
+                                                 _needed(F.col("n1"), F.col("to"))) - 1))
+    members = mixed.select("list", F.col("cls").alias("b"), F.col("n").alias("n2"),
+                           F.col("most").alias("most2"), F.col("root").alias("root2"))
+    return (queries.join(members, "list")
+            .filter((F.col("root1") != F.col("root2")) & _can_link("1", "2")
+                    & F.col("n2").between(F.col("from"), F.col("to")))
+            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Links (a, b) between classes that connect what similarity connects.
     ``reps``: cls and the doc_id that speaks for it."""
-    lists = _lists(docs)
-    # step A: the leaders of a list are its smallest sets of each size band
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25)))
-    banded = lists.withColumn("band", band)
-    leaders = banded.groupBy("list", "band").agg(F.min("cls").alias("leader"))
-    best = Window.partitionBy("cls").orderBy(F.desc("score"), "leader")
-    tried = written(
-        banded.join(leaders, ["list", "band"]).filter("leader <> cls")
-        .groupBy("cls", "n", "leader").agg(F.sum("times").alias("score"))
-        .filter(F.col("score") * 20 >= F.col("n"))
-        .withColumn("rank", F.row_number().over(best)).filter("rank <= 2")
-        .select(F.least("cls", "leader").alias("a"), F.greatest("cls", "leader").alias("b"))
-        .distinct(), "tried")
-    first = _verified(tried, docs, reps)
-    # step B: all pairs across components that the short lists allow
-    root = components(first).select(F.col("node").alias("cls"), "root")
-    rooted = written(lists.join(root, "cls", "left")
-                     .withColumn("root", F.coalesce("root", "cls")), "rooted")
-    # of each list the component with most members, and all that is not in it
-    sizes = rooted.groupBy("list", "root").agg(F.count(F.lit(1)).alias("k"))
-    main = written(sizes.groupBy("list").agg(
-        F.max_by("root", F.struct("k", "root")).alias("main"), F.count(F.lit(1)).alias("roots"))
-        .filter("roots > 1").select("list", "main"), "main")
-    open_lists = written(rooted.join(main, "list"), "open")
-    a = open_lists.filter("root <> main").select(
-        "list", "times", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = open_lists.select("list", "main", F.col("cls").alias("b"), F.col("n").alias("nb"),
-                          F.col("root").alias("rb"))
-    rest = F.greatest(F.ceil(F.col("na") * 80 / 100), F.ceil(F.col("nb") * 80 / 100)) - 1
-    across = (a.join(b, "list")
-              .filter("ra <> rb and (rb = main or a < b)"
-                      " and 100 * na >= 80 * nb and 100 * nb >= 80 * na")
-              .groupBy("a", "b", "na", "nb").agg(F.sum("times").alias("c"))
-              .filter(180 * (F.col("c") + rest) >= 80 * (F.col("na") + F.col("nb")))
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-              .join(tried, ["a", "b"], "left_anti"))
-    return first.union(_verified(written(across, "across"), docs, reps))
+    lists = written(_viable(_lists(docs)), "viable")
+    found, tried = None, None
+    for turn in range(TURNS):
+        pairs = _leaders(_rooted(lists, found), turn)
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        new = _verified(pairs, docs, reps)
+        found = new if found is None else found.union(new)
+    rooted = written(_rooted(lists, found), "rooted")
+    across = written(_across(rooted).join(tried, ["a", "b"], "left_anti"), "across")
+    return found.union(_verified(across, docs, reps))
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -306,11 +390,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     joined = written(join(docs), "joined")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     stay = (joined.filter("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("o"))
-            .select(F.col("o.doc_id").alias("_id"), F.col("o.text_key").alias("_key")))
+            .select(F.col("o.doc_id").alias("_tidemark_id"), F.col("o.text_key").alias("_tidemark_key")))
     wordless = joined.filter("n_shingles = 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+        F.col("doc_id").alias("_tidemark_id"), F.col("text_key").alias("_tidemark_key")).distinct()
     names = docs.columns
-    keyed = docs.withColumn("_key_of", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key_of") == F.col("_key"))
-    return (keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_key_of"]).select(*names)
+    keyed = docs.withColumn("_tidemark_key_of", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_tidemark_id")) & (F.col("_tidemark_key_of") == F.col("_tidemark_key"))
+    return (keyed.join(stay, same, "left_semi").dropDuplicates(["doc_id", "_tidemark_key_of"]).select(*names)
             .unionByName(keyed.join(wordless, same, "left_semi").select(*names)))
