@@ -54,8 +54,6 @@ SPLIT = 20_000
 BROADCAST_ROWS = 200_000
 TURNS = 2               # step A: so often, each class tries so many partners
 TRIES = 2
-#: step B: sizes of partners, in slices of the own size
-RATIOS = (0.8, 0.85, 0.9, 0.95, 1.0, 1.06, 1.12, 1.18, 1.25)
 KEEP_WORDS = 300_000
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -254,15 +252,15 @@ def _needed(n: Column, m: Column) -> Column:
 
 def _viable(lists: DataFrame) -> DataFrame:
     """The rows of ``lists`` whose class shares enough lists to link with some
-    member of the list, with ``most`` (its lists).  The need is largest for a
-    partner of its own size, so the smallest and the largest partner in the
-    list decide; 1 is for rounding."""
+    member of the list, with ``most`` (its lists) and ``least`` (those that it
+    must share).  The need is largest for a partner of its own size, so the
+    smallest and the largest partner in the list decide; 1 is for rounding."""
     n = F.col("n")
     lo = F.greatest("lo", F.ceil(n * 80 / 100))
     hi = F.least("hi", F.floor(n * 100 / 80))
     return (lists.withColumn("most", F.sum("times").over(Window.partitionBy("cls")))
-            .filter(F.col("most") >= F.least(_needed(n, lo), _needed(n, hi)) - 1)
-            .select("list", "times", "k", "cls", "n", "most"))
+            .withColumn("least", F.least(_needed(n, lo), _needed(n, hi)) - 1)
+            .filter("most >= least").select("list", "times", "k", "cls", "n", "most", "least"))
 
 
 def _can_link(a: str, b: str) -> Column:
@@ -295,13 +293,10 @@ def _rooted(lists: DataFrame, links: DataFrame | None) -> DataFrame:
 
 def _leaders(rooted: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of each class and its ``TRIES`` best partners: those among
-    the leaders of its lists with which it shares most lists.  A list has a
-    leader of each size band: at first the class with most lists, which has the
-    fewest shingles of its own and thus links with most others; later another
-    one each turn."""
+    the leaders of its lists, one of each size band and another each turn, with
+    which it shares most lists."""
     banded = rooted.withColumn("band", F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))))
-    first = -F.col("most") if turn == 0 else F.xxhash64("cls", F.lit(turn))
-    leader = F.min(F.struct(first.cast("long").alias("first"), "cls", "n", "most", "root")).alias("o")
+    leader = F.min(F.struct(F.xxhash64("cls", F.lit(turn)), "cls", "n", "most", "root")).alias("o")
     leaders = banded.groupBy("list", "band").agg(leader).select(
         "list", "band", F.col("o.cls").alias("leader"), F.col("o.n").alias("n2"),
         F.col("o.most").alias("most2"), F.col("o.root").alias("root2"))
@@ -321,9 +316,9 @@ def _across(rooted: DataFrame) -> DataFrame:
     """All pairs (a, b) across components that the short lists allow.
 
     Of each list the component with most members stays; every class outside it
-    is a query.  A query must share so many lists with a partner of a given
-    size (by ``RATIOS``) that its longest lists, one less together, are set
-    aside: a partner is in one of the others too."""
+    is a query.  A query must share ``least`` lists with a partner, so its
+    longest lists, ``least - 1`` together, are set aside: a partner is in one of
+    the others too."""
     sizes = rooted.groupBy("list", "root").agg(F.count(F.lit(1)).alias("members"))
     main = written(sizes.groupBy("list").agg(
         F.max_by("root", F.struct("members", "root")).alias("main"),
@@ -331,22 +326,15 @@ def _across(rooted: DataFrame) -> DataFrame:
     mixed = written(rooted.join(main, "list"), "mixed")
     longest = Window.partitionBy("cls").orderBy(F.desc("k"), "list").rowsBetween(
         Window.unboundedPreceding, 0)
-    ratio = F.explode(F.array(*(F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-                                for lo, hi in zip(RATIOS, RATIOS[1:])))).alias("r")
     queries = (rooted.withColumn("aside", F.sum("times").over(longest))
+               .filter(F.col("aside") >= F.greatest("least", F.lit(1)))
                .join(main, "list").filter("root <> main")
-               .select("list", "aside", F.col("cls").alias("a"), F.col("n").alias("n1"),
-                       F.col("most").alias("most1"), F.col("root").alias("root1"),
-                       ratio)
-               .withColumns({"from": F.floor(F.col("n1") * F.col("r.lo")),
-                             "to": F.ceil(F.col("n1") * F.col("r.hi"))})
-               .filter(F.col("aside") >= F.least(_needed(F.col("n1"), F.col("from")),
-                                                 _needed(F.col("n1"), F.col("to"))) - 1))
+               .select("list", F.col("cls").alias("a"), F.col("n").alias("n1"),
+                       F.col("most").alias("most1"), F.col("root").alias("root1")))
     members = mixed.select("list", F.col("cls").alias("b"), F.col("n").alias("n2"),
                            F.col("most").alias("most2"), F.col("root").alias("root2"))
     return (queries.join(members, "list")
-            .filter((F.col("root1") != F.col("root2")) & _can_link("1", "2")
-                    & F.col("n2").between(F.col("from"), F.col("to")))
+            .filter((F.col("root1") != F.col("root2")) & _can_link("1", "2"))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
