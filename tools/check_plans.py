@@ -18,20 +18,16 @@ FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
 def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     from tidemark.session import local_session
-    import __spark_entry__ as entry
     spark = local_session()
     bad = {}
-    python_ops = []
-    for key, fn in entry.queries().items():
+    from tidemark.catalog import spark_queries
+    for key, fn in spark_queries().items():
         df = fn(spark, sf)
         plan = df._jdf.queryExecution().executedPlan().toString()
         hits = [w for w in FORBIDDEN if w in plan]
         if hits:
             bad[key] = hits
-        if "FlatMapCoGroupsInPandas" in plan:
-            python_ops.append(key)
     print("forbidden shapes:", bad or "none")
-    print("grouped pandas solve (bounded Markov chain) in:", python_ops)
 
 
 if __name__ == "__main__":
