@@ -96,3 +96,22 @@ def test_clean_documents_stay(spark, small):
 @pytest.mark.parametrize("text", ["", None])
 def test_nothing_to_do(spark, text):
     assert _texts(spark, text) == [text]
+
+
+def test_secrets_in_any_case_and_length(spark):
+    low = "9233a8ec04dbebab91ab85687d33eeaaf9ac699e"
+    long = "eyJh.Zz9-_" * 30
+    a, b, c, d, e, f, g = _texts(
+        spark, f'token = "{low}" 1', f'TOKEN = "{low.upper()}" and {low.upper()} 1', f'Secret: "{long}" 1',
+        '{"password": "Correct-Horse1", \'api_key\' : \'it"s-me-77\', "password":"x"} 1', "ab" * 150 + " 1",
+        "key sk-" + "aB3" * 100 + " and SK-" + "AB3" * 100, "AB" * 10 + " 12 token = 'the'")
+    new = re.fullmatch('token = "([0-9a-f]{40})" 1', a)[1]
+    assert new != low and b == f'TOKEN = "{new.upper()}" and {new.upper()} 1'
+    assert re.fullmatch(r'Secret: "[a-z0-9A-Z._-]{300}" 1', c) and "eyJh" not in c
+    got = re.fullmatch(r'{"password": "([^"]+)", \'api_key\' : \'([^\']+)\', "password":"([^"]+)"} 1', d)
+    assert "orrect" not in d and "s-me-77" not in d and got[3] != "x"
+    assert re.fullmatch("[A-Z][a-z]{6}-[A-Z][a-z]{4}[0-9]", got[1])
+    assert re.fullmatch("[0-9a-f]{300} 1", e) and "abab" not in e
+    x, y = re.fullmatch("key (\\S+) and (\\S+)", f).groups()
+    assert len(x) == 303 and x.upper() == y and "aB3aB3" not in f
+    assert g == "AB" * 10 + " 12 token = 'the'"

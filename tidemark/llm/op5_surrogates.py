@@ -8,8 +8,12 @@ the same kind: a number keeps its digits' layout (a card its first digit and a
 valid check digit, an account its country and check digits), an address its
 shape, script and top-level domain, a name its script and, by its title, gender.
 
-Coreference: an entity is known by its canonical form (lower-case address, bare
-digits, single names), so all its occurrences in the corpus get the same
+Secrets are found in any letter case and at any length: hex of 32 digits or more,
+keys with a known prefix, and what stands in quotes after a keyword (6 characters or
+more; after "password" any).
+
+Coreference: an entity is known by its canonical form (lower-case address or
+secret, bare digits, single names), so all its occurrences in the corpus get the same
 surrogate, each in the layout of the occurrence; "Ms. Ada Hill" and "Ms. Hill"
 share the surname's surrogate.
 
@@ -34,6 +38,8 @@ from tidemark.llm.common import written
 
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Lady", "Госпожа")
 MALE = ("Mr", "Herr", "Herrn", "Señor", "Monsieur", "Sir", "Господин")
+#: between a keyword and its quoted value, JSON's closing quote included
+_IS = r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
 
 #: what an entity of each type looks like, and what must not stand around it;
@@ -42,10 +48,11 @@ FORMS: dict[str, tuple[str, str, str]] = {
     "mail": (r"(?<![\p{L}\p{N}._%+-])",
              r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,5}\.\p{L}{2,24}",
              ""),
-    "quoted": (r"(?<=(?:token|secret|password|api_key|api-key|apikey) ?[=:] ?[\"'])",
-               r"[^\"'\n]{6,200}", r"(?=[\"'])"),
+    # up to the same quote again, else up to any
+    "quoted": (rf"(?<=[\"'])(?:(?<=(?i:password){_IS})|(?<=(?i:token|secret|api[_-]?key){_IS})(?=(?<=\")[^\"\n]{{6}}|(?<=')[^'\n]{{6}}))",
+               r"(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|[^\"'\n]++(?=[\"']))", ""),
     "secret": (r"(?<![\p{L}\p{N}])",
-               r"(?:[0-9a-f]{32,128}|AKIA[0-9A-Z]{16}|ghp_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})",
+               r"(?:[0-9a-fA-F]{32,}+|(?i:AKIA[0-9A-Z]{16}|ghp_[0-9A-Z]{36}|sk-[0-9A-Z]{20,}+))",
                r"(?![\p{L}\p{N}])"),
     "account": (r"(?<![\p{L}\p{N}])",
                 r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?", r"(?![\p{L}\p{N}])"),
@@ -99,7 +106,7 @@ def _parts(raw: Column, kind: Column) -> Column:
         F.when(i == 0, part(w, F.lit(None).cast("string"), F.lit("")))
         .when(i == F.size(words) - 1, part(w, F.lit("surname"), F.lower(w)))
         .otherwise(part(w, given, F.lower(w)))))
-    canon = (F.when(kind == "mail", F.lower(raw))
+    canon = (F.when(kind.isin("mail", "secret"), F.lower(raw))
              .when(kind == "account", F.regexp_replace(raw, " ", ""))
              .when(kind.isin(*DIGITS), F.regexp_replace(raw, "[^0-9]", ""))
              .otherwise(raw))
@@ -161,16 +168,23 @@ def _name(seed: Column, canon: Column, kind: Column, attempt: int) -> Column:
                    .when(canon.rlike(r"^\p{IsLatin}"), of("Latin")).otherwise(other))
 
 
-def _surrogate(key: str, attempt: int) -> Column:
-    """A draw for the columns kind and canon."""
-    kind, canon = F.col("kind"), F.col("canon")
-    seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, F.lit(attempt).cast("string")), 256)
+def _seeded(entities: DataFrame, key: str, attempt: int) -> DataFrame:
+    """With what a draw needs once: for each letter it would be quadratic in a
+    long secret."""
+    seed = F.concat_ws("|", F.lit(key), "kind", "canon", F.lit(attempt).cast("string"))
+    return entities.select("kind", "canon", F.sha2(seed, 256).alias("seed"),
+                           F.col("canon").rlike("^[0-9a-f]+$").alias("hexadecimal"))
+
+
+def _surrogate(attempt: int) -> Column:
+    """A draw for the columns kind, canon, seed and hexadecimal."""
+    kind, canon, seed = F.col("kind"), F.col("canon"), F.col("seed")
     longer = [_draw(seed, F.lit(1000 + k), F.lit("0123456789")) for k in range(max(0, attempt - 2))]
     every = _other(seed, canon, F.lit(0))
     # the local part and the domain but for its last label
     mail = F.concat(*longer, _other(seed, F.regexp_replace(canon, r"\.[^.]*$", ""), F.lit(0)),
                     F.regexp_extract(canon, r"(\.[^.]*)$", 1))
-    secret = F.concat(_other(seed, canon, F.lit(0), canon.rlike("^[0-9a-f]+$")), *longer)
+    secret = F.concat(_other(seed, canon, F.lit(0), F.col("hexadecimal")), *longer)
     numbers = F.concat(_other(seed, canon, F.lit(1)), *longer)
     body = F.substring(_other(seed, canon, F.lit(1)), F.lit(1), F.length(canon) - 1)
     body = F.concat(body, *longer)
@@ -196,7 +210,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     originals = entities.select("kind", F.col("canon").alias("surrogate"))
     pending, chosen, attempt = entities, [], 0
     while True:
-        drawn = (pending.withColumn("surrogate", _surrogate(key, attempt))
+        drawn = (_seeded(pending, key, attempt).withColumn("surrogate", _surrogate(attempt))
                  .groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
                  .join(originals, ["kind", "surrogate"], "left_anti"))
         for earlier in chosen:
@@ -218,10 +232,15 @@ def _rendered(raw: Column, kind: Column, canon: Column, new: Column) -> Column:
     cased = F.when(raw == F.upper(raw), F.upper(new)).otherwise(F.initcap(new))
     mail = F.when(raw == F.lower(raw), new).when(raw == F.upper(raw), F.upper(new)).otherwise(
         F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new))))
+    # letter by letter; drawn hex may have letters where the occurrence has digits
+    secret = F.when(raw == F.lower(raw), new).when(raw == F.upper(raw), F.upper(new)).otherwise(
+        F.array_join(F.zip_with(F.split(raw, ""), F.split(new, ""), lambda r, c: F.when(
+            r != F.lower(r), F.upper(c)).otherwise(c)), ""))
     return (F.when(kind.isNull(), raw)
             .when(kind.isin(*DIGITS), laid_out("[^0-9]"))
             .when(kind == "account", laid_out("[^0-9A-Z]"))
             .when(kind == "mail", mail)
+            .when(kind == "secret", secret)
             .when(kind.isin("given_f", "given_m", "surname"), cased)
             .otherwise(new))
 
