@@ -115,3 +115,18 @@ def test_secrets_in_any_case_and_length(spark):
     x, y = re.fullmatch("key (\\S+) and (\\S+)", f).groups()
     assert len(x) == 303 and x.upper() == y and "aB3aB3" not in f
     assert g == "AB" * 10 + " 12 token = 'the'"
+
+
+def test_texts_without_digits(spark):
+    quoted, *keys = _texts(spark, "set password = 'correct-horse' now", "use sk-" + "aBcD" * 6, "ghp_" + "xYz" * 12,
+                           "AKIA" + "QWERTYUI" * 2, "sum " + "abcdefab" * 4, 'the "Token": "some-thing"')
+    assert re.fullmatch("set password = '[a-z]{7}-[a-z]{5}' now", quoted) and "correct" not in quoted
+    assert not [t for t, old in zip(keys, ("aBcD", "xYz", "QWERTY", "abcdefab", "some-thing")) if old in t]
+
+
+def test_private_addresses_leave_a_full_block(spark):
+    """Else a block with more addresses than there are to draw never ends."""
+    entities = spark.createDataFrame([("ip", f"192.168.7.{k}") for k in range(20)], "kind string, canon string")
+    for attempt, stays in ((0, True), (op.BLOCK_DRAWS, False)):
+        drawn = op._seeded(entities, "k", attempt).select(op._surrogate(attempt).alias("s")).collect()
+        assert all(r["s"].startswith("192.168.") == stays for r in drawn)

@@ -22,8 +22,9 @@ form of an entity that is in the corpus.  Of those that collide the smallest
 keeps it; the others draw again (from the fourth draw on, longer forms) until
 none is left.
 
-Only texts with a digit, an @ or a title are matched (any entity has one).
-Nothing but entities and the texts that have some is shuffled.  Null and empty texts
+Only texts with a digit, an @, a title, a keyword, a key's prefix or a run of hex
+letters are matched (any entity has one).  A private address keeps its block in
+its first draws only: a block can have more addresses than there are to draw.  Nothing but entities and the texts that have some is shuffled.  Null and empty texts
 stay as they are; repeated rows get equal texts; other columns pass through.
 """
 
@@ -38,6 +39,7 @@ from tidemark.llm.common import written
 
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Lady", "Госпожа")
 MALE = ("Mr", "Herr", "Herrn", "Señor", "Monsieur", "Sir", "Господин")
+_KEYWORDS = "token|secret|api[_-]?key"
 #: between a keyword and its quoted value, JSON's closing quote included
 _IS = r"[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,30}"
@@ -49,7 +51,7 @@ FORMS: dict[str, tuple[str, str, str]] = {
              r"[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,5}\.\p{L}{2,24}",
              ""),
     # up to the same quote again, else up to any
-    "quoted": (rf"(?<=[\"'])(?:(?<=(?i:password){_IS})|(?<=(?i:token|secret|api[_-]?key){_IS})(?=(?<=\")[^\"\n]{{6}}|(?<=')[^'\n]{{6}}))",
+    "quoted": (rf"(?<=[\"'])(?:(?<=(?i:password){_IS})|(?<=(?i:{_KEYWORDS}){_IS})(?=(?<=\")[^\"\n]{{6}}|(?<=')[^'\n]{{6}}))",
                r"(?:(?<=\")[^\"\n]++(?=\")|(?<=')[^'\n]++(?=')|[^\"'\n]++(?=[\"']))", ""),
     "secret": (r"(?<![\p{L}\p{N}])",
                r"(?:[0-9a-fA-F]{32,}+|(?i:AKIA[0-9A-Z]{16}|ghp_[0-9A-Z]{36}|sk-[0-9A-Z]{20,}+))",
@@ -67,8 +69,11 @@ FORMS: dict[str, tuple[str, str, str]] = {
     "person": (r"(?<![\p{L}\p{N}])",
                rf"(?:{'|'.join(MALE[::-1] + FEMALE)})\.? {_NAME}(?: {_NAME}){{0,2}}", ""),
 }
+#: besides a title, what a text with an entity has; keep it in step with FORMS
+SIGNS = rf"[0-9@]|[a-fA-F]{{32}}|(?i:password|{_KEYWORDS}|akia|ghp_|sk-)"
 ANY = "|".join(f"(?:{before}{form}{after})" for before, form, after in FORMS.values())
 DIGITS = ("ssn", "phone", "card")
+BLOCK_DRAWS = 4         # so many draws of a private address stay in its block
 
 #: letters and names to draw from, by script
 LETTERS = {"Latin": "àáâäèéêëìíîïòóôöùúûüñç",
@@ -194,7 +199,7 @@ def _surrogate(attempt: int) -> Column:
     rest = F.concat(F.substring(_other(seed, canon, F.lit(4)), F.lit(5), F.length(canon) - 4), *longer)
     account = F.concat(country, _account_digits(country, rest), rest)
     octets = F.split(canon, r"\.")
-    private = (F.when(octets[0] == "10", 1)
+    private = (F.when(F.lit(attempt >= BLOCK_DRAWS), 0).when(octets[0] == "10", 1)
                .when((octets[0] == "192") & (octets[1] == "168"), 2).otherwise(0))
     ip = F.array_join(F.transform(octets, lambda o, i: F.when(i < private, o).otherwise(
         (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string"))), ".")
@@ -249,7 +254,7 @@ def replace(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; with ``count``, a column of that
     name with the number of replaced entities."""
     text = F.col("text")
-    maybe = text.rlike("[0-9@]")
+    maybe = text.rlike(SIGNS)
     for title in MALE + FEMALE:
         maybe = maybe | text.contains(title + " ") | text.contains(title + ". ")
     maybe = F.coalesce(maybe, F.lit(False))
