@@ -113,3 +113,12 @@ def test_empty(empty):
 def test_short_lists(n):
     least = -(-80 * n // 100)
     assert op.short(n) == n - least + 1
+
+
+def test_components_without_an_id_of_their_own(spark):
+    """Unrelated texts with a null id or under one id all stay."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(20)) for k in "abcd")
+    rows = [(None, a), (None, b), (None, b.upper()), (5, c), (5, d), (7, d), (8, c)]
+    kept = op.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = [(r["doc_id"], r["text"].lower()) for r in kept]
+    assert sorted(left, key=str) == sorted([(None, a), (None, b), (5, c), (5, d)], key=str)

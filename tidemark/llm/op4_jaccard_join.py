@@ -354,8 +354,10 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return found.union(_verified(across, docs, reps))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id for each row of ``docs``."""
+def _joined(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, root for each row of ``docs``.
+    ``root`` is the component itself, a class; unlike its smallest doc_id no
+    other component has it.  It is null for rows without words."""
     docs = docs.select("doc_id", "text")
     rows = written(classes(docs), "classes")
     reps = written(rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id")), "reps")
@@ -363,21 +365,27 @@ def join(docs: DataFrame) -> DataFrame:
     rooted = written(reps.join(root, "cls", "left")
                      .select("cls", "doc_id", F.coalesce("root", "cls").alias("root")), "roots")
     least = written(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    of = written(rooted.join(least, "root").select("cls", "component_id"), "of")
+    of = written(rooted.join(least, "root").select("cls", "component_id", "root"), "of")
     return (rows.filter("n > 0").join(of, "cls")
-            .select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id")
+            .select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root")
             .unionByName(rows.filter("n = 0").select(
                 "doc_id", "text_key", F.col("n").alias("n_shingles"),
-                F.col("doc_id").alias("component_id"))))
+                F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id for each row of ``docs``."""
+    return _joined(docs).drop("root")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay when one row of each component stays: the
     one with the smallest doc_id, of several texts under it the one with the
-    smallest hash.  Rows without words all stay."""
-    joined = written(join(docs), "joined")
+    smallest hash.  Rows without words all stay.  Components are told apart by their
+root: several can have a null or the same component_id."""
+    joined = written(_joined(docs), "joined")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    stay = (joined.filter("n_shingles > 0").groupBy("component_id").agg(F.min(order).alias("o"))
+    stay = (joined.filter("n_shingles > 0").groupBy("root").agg(F.min(order).alias("o"))
             .select(F.col("o.doc_id").alias("_tidemark_id"), F.col("o.text_key").alias("_tidemark_key")))
     wordless = joined.filter("n_shingles = 0").select(
         F.col("doc_id").alias("_tidemark_id"), F.col("text_key").alias("_tidemark_key")).distinct()
