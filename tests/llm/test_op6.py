@@ -120,3 +120,29 @@ def test_masks():
     assert all(len(m) == op.SPAN and m[0] == m[-1] == "1" for m in op.MASKS)
     assert len({m.count("1") for m in op.MASKS}) == 1
     assert re.fullmatch("[01]+", "".join(op.MASKS))
+
+
+def test_short_items_with_substitutions_at_all_places(spark):
+    """Each choice of as many substitutions as 0.8 allows, and one more."""
+    from itertools import combinations
+    items = [_words(n, 100 + n) for n in (1, 4, 9, 10, 15, 20, 24)]
+    texts, want = [], []
+    for k, item in enumerate(items):
+        allowed = len(item) // 5
+        rng = random.Random(k)
+        every = list(combinations(range(len(item)), allowed))
+        for places in every if len(every) < 500 else rng.sample(every, 500):
+            part = [f"x{p}" if p in places else w for p, w in enumerate(item)]
+            texts.append(["pre"] * rng.randint(0, 30) + part + ["post"] * rng.randint(0, 3))
+            want.append({k})
+        less = [f"x{p}" if p % 3 == 0 else w for p, w in enumerate(item)]
+        texts.append(less)
+        want.append(set())
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").cache()
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], ITEM)
+    got = [set() for _ in texts]
+    for r in op.report(docs, bench).collect():
+        got[r["doc_id"]] = {x["item_id"] for x in r["ranges"]}
+    assert got == want
+    a = sorted(map(tuple, op.windows(docs, bench).collect()))
+    assert a == sorted(map(tuple, op.windows(docs, bench, broadcast_rows=0).collect())) and a

@@ -9,13 +9,20 @@ substitution ``-PENALTY``, and the stretch grows to the best score on either
 side.  A text is contaminated if a stretch has at least ``min_matches`` equal
 tokens, or 0.8 of the item's tokens if that is less.
 
+Items of fewer than ``SHORT`` tokens are also compared over their whole aligned
+window: a text is contaminated if 0.8 of the item's tokens stand in their places.
+No such window is lost: of an item cut into one block more than tokens may
+differ, one block is equal, and every text position is joined with the blocks.
+Items of any length are found so, also under ``SPAN`` tokens.  Longer items rely on
+the seeds, so a stretch with many substitutions can be missed.
+
 The benchmark's seeds are broadcast only while the table has at most
 ``broadcast_rows`` seeds (checked); then texts are not shuffled, and hits carry the
 tokens of their diagonal only.  Beyond that the seeds are joined by shuffle, and
 the tokens of texts with hits are joined back, with the same result.
 
-Null texts have no tokens.  Items with fewer than ``SPAN`` tokens have no seeds
-and never match.  A repeated row gives one stretch (rows are told apart by
+Null texts and items have no tokens and never match.  A run of letters of a script
+without spaces is one token.  A repeated row gives one stretch (rows are told apart by
 doc_id and text); a null doc_id is an id like any other.  With an empty
 benchmark nothing is contaminated.
 """
@@ -30,6 +37,7 @@ TOKEN = r"[\p{L}\p{N}]+"
 MASKS = ("11011001111", "11110101011", "11101100111")
 SPAN = 11
 PENALTY = 2
+SHORT = 25              # items under so many tokens are compared as a whole too
 
 
 def tokens(text: Column) -> Column:
@@ -116,10 +124,66 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13,
             .select("doc_id", "text_key", "item_id", "start", "length", "matches"))
 
 
+def _blocks(items: DataFrame) -> DataFrame:
+    """Blocks of the short items (item_id, toks): at, size and block.  With k
+    tokens that may differ, one of k + 1 blocks is equal."""
+    n = F.size("toks")
+    parts = n - F.ceil(n * 0.8).cast("int") + 1
+    size = F.floor(n / parts).cast("int")
+    return (items.filter((n > 0) & (n < SHORT))
+            .select("item_id", "toks", size.alias("size"),
+                    F.explode(F.sequence(F.lit(0), (parts - 1) * size, size)).alias("at"))
+            .withColumn("block", F.xxhash64("size", F.slice("toks", F.col("at") + 1, F.col("size")))))
+
+
+def windows(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Windows of texts in which 0.8 of a short item's tokens stand in their
+    places, with the columns of ``overlaps``; a window may pass the text's ends."""
+    items = benchmark.select("item_id", tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    blocks = _blocks(items)
+    sizes = [r["size"] for r in blocks.select("size").distinct().collect()]     # at most 4
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
+                       tokens(F.coalesce("text", F.lit(""))).alias("toks"))
+    if not sizes:
+        sizes = [1]
+    places = rows.filter(F.size("toks") > 0).select("doc_id", "text_key", "toks", F.explode(
+        F.sequence(F.lit(0), F.size("toks") - 1)).alias("at"))
+    places = places.select("*", F.explode(F.array(*(F.xxhash64(
+        F.lit(k), F.slice("toks", F.col("at") + 1, F.lit(k))) for k in sorted(sizes)))).alias("block"))
+    theirs = blocks.select("item_id", F.col("toks").alias("item"), F.col("at").alias("item_at"), "block")
+    if blocks.count() <= broadcast_rows:
+        hits = places.join(F.broadcast(theirs), "block")
+    else:
+        # only the item's window is shuffled with a place, not the text's tokens
+        before = F.least(F.col("at"), F.lit(SHORT))
+        near = F.slice("toks", F.col("at") - before + 1, before + SHORT)
+        hits = (places.select("doc_id", "text_key", F.col("at").alias("place"), before.alias("at"),
+                              near.alias("toks"), "block")
+                .join(theirs, "block"))
+        hits = hits.withColumn("shift", F.col("place") - F.col("at"))
+    shift = F.col("shift") if "shift" in hits.columns else F.lit(0)
+    first = F.col("at") - F.col("item_at")          # where the item would begin
+    skip = F.greatest(F.lit(0), -first)
+    begin = F.greatest(F.lit(0), first)
+    size = F.least(F.size("item") - skip, F.size("toks") - begin)
+    equal = F.size(F.filter(F.zip_with(F.slice("toks", begin + 1, size), F.slice("item", skip + 1, size),
+                                       lambda a, b: a == b), lambda same: same))
+    return (hits.select("doc_id", "text_key", "item_id", (shift + begin).alias("start"),
+                        size.alias("length"), equal.alias("matches"), F.size("item").alias("n"))
+            .filter(F.col("matches") >= F.ceil(F.col("n") * 0.8)).drop("n").distinct())
+
+
+def contaminations(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13,
+                   broadcast_rows: int = 2_000_000) -> DataFrame:
+    """``overlaps`` and ``windows`` together."""
+    return (overlaps(docs, benchmark, min_matches, broadcast_rows)
+            .union(windows(docs, benchmark, broadcast_rows)).distinct())
+
+
 def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row for each doc_id: contaminated, the number of items found, the
     longest stretch in equal tokens, and the token ranges with their items."""
-    found = overlaps(docs, benchmark, **options).groupBy(F.col("doc_id").alias("found_id")).agg(
+    found = contaminations(docs, benchmark, **options).groupBy(F.col("doc_id").alias("found_id")).agg(
         F.countDistinct("item_id").alias("n_items"), F.max("matches").alias("matches"),
         F.array_sort(F.collect_set(F.struct("start", "length", "item_id"))).alias("ranges"))
     return (docs.select("doc_id").distinct()
@@ -133,7 +197,7 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose text no benchmark item contaminates."""
-    found = overlaps(docs, benchmark, **options).select(
+    found = contaminations(docs, benchmark, **options).select(
         F.col("doc_id").alias("_tidemark_id"), F.col("text_key").alias("_tidemark_key")).distinct()
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_tidemark_id"))
                      & (F.xxhash64("text") == F.col("_tidemark_key")), "left_anti")
