@@ -38,6 +38,7 @@ MASKS = ("11011001111", "11110101011", "11101100111")
 SPAN = 11
 PENALTY = 2
 SHORT = 25              # items under so many tokens are compared as a whole too
+BLOCK_SIZES = sorted({n // (n // 5 + 1) for n in range(1, SHORT)})
 
 
 def tokens(text: Column) -> Column:
@@ -124,6 +125,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_matches: int = 13,
             .select("doc_id", "text_key", "item_id", "start", "length", "matches"))
 
 
+def _block(size: int) -> Column:
+    """Hash of the block of ``size`` tokens at ``at``."""
+    return F.xxhash64(F.lit(size), *(F.get("toks", F.col("at") + k) for k in range(size)))
+
+
 def _blocks(items: DataFrame) -> DataFrame:
     """Blocks of the short items (item_id, toks): at, size and block.  With k
     tokens that may differ, one of k + 1 blocks is equal."""
@@ -133,7 +139,8 @@ def _blocks(items: DataFrame) -> DataFrame:
     return (items.filter((n > 0) & (n < SHORT))
             .select("item_id", "toks", size.alias("size"),
                     F.explode(F.sequence(F.lit(0), (parts - 1) * size, size)).alias("at"))
-            .withColumn("block", F.xxhash64("size", F.slice("toks", F.col("at") + 1, F.col("size")))))
+            .withColumn("block", F.coalesce(*(F.when(F.col("size") == k, _block(k))
+                                              for k in BLOCK_SIZES))))
 
 
 def windows(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -148,8 +155,7 @@ def windows(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 2_000_0
         sizes = [1]
     places = rows.filter(F.size("toks") > 0).select("doc_id", "text_key", "toks", F.explode(
         F.sequence(F.lit(0), F.size("toks") - 1)).alias("at"))
-    places = places.select("*", F.explode(F.array(*(F.xxhash64(
-        F.lit(k), F.slice("toks", F.col("at") + 1, F.lit(k))) for k in sorted(sizes)))).alias("block"))
+    places = places.select("*", F.explode(F.array(*map(_block, sorted(sizes)))).alias("block"))
     theirs = blocks.select("item_id", F.col("toks").alias("item"), F.col("at").alias("item_at"), "block")
     if blocks.count() <= broadcast_rows:
         hits = places.join(F.broadcast(theirs), "block")
@@ -166,10 +172,17 @@ def windows(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = 2_000_0
     skip = F.greatest(F.lit(0), -first)
     begin = F.greatest(F.lit(0), first)
     size = F.least(F.size("item") - skip, F.size("toks") - begin)
-    equal = F.size(F.filter(F.zip_with(F.slice("toks", begin + 1, size), F.slice("item", skip + 1, size),
-                                       lambda a, b: a == b), lambda same: same))
-    return (hits.select("doc_id", "text_key", "item_id", (shift + begin).alias("start"),
-                        size.alias("length"), equal.alias("matches"), F.size("item").alias("n"))
+    aligned = hits.select(
+        "doc_id", "text_key", "item_id", (shift + first).alias("first"), (shift + begin).alias("start"),
+        F.size("item").alias("n"), F.slice("toks", begin + 1, size).alias("mine"),
+        F.slice("item", skip + 1, size).alias("theirs"))
+    # one comparison for the hits of a diagonal, and after the join: in its
+    # condition it would take the texts' tokens out of the generated code
+    pair = F.collect_list(F.struct("mine", "theirs"))[0].alias("pair")
+    aligned = aligned.groupBy("doc_id", "text_key", "item_id", "first", "start", "n").agg(pair)
+    equal = F.size(F.filter(F.zip_with("pair.mine", "pair.theirs", lambda a, b: a == b), lambda same: same))
+    return (aligned.select("doc_id", "text_key", "item_id", "start", F.size("pair.mine").alias("length"),
+                           equal.alias("matches"), "n")
             .filter(F.col("matches") >= F.ceil(F.col("n") * 0.8)).drop("n").distinct())
 
 
