@@ -64,3 +64,16 @@ def text_or_empty(text: str = "text") -> Column:
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id's text, modulo ``folds``; a null id is in fold 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds, F.lit(0))
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, share: int = 2000) -> DataFrame:
+    """``left`` left join ``right`` (one row a key) on a non-null key; both are
+    written tables.  Keys that hold more than 1/share of the rows of ``left``, at
+    most ``share`` keys, are joined by broadcast, so that none of them fills a
+    task; the others are shuffled."""
+    total = left.count()
+    hot = F.broadcast(written(left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+                              .filter(F.col("_n") * share > total).select(key), "hot-keys"))
+    few = F.broadcast(right.join(hot, key, "left_semi"))
+    return (left.join(hot, key, "left_semi").join(few, key, "left")
+            .unionByName(left.join(hot, key, "left_anti").join(right, key, "left")))
