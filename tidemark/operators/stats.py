@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import bin_center
+from tidemark.functions.student import log10_tail, upper_tail
 
 
 def prob_grid(start: float, stop: float, step: float) -> list[float]:
@@ -198,39 +199,57 @@ def fit_line(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def welch(n1, m1, v1, n2, m2, v2) -> dict:
-    """Columns t, df and p_value of the one-sided Welch test (H1: mean 1 > mean
-    2) from counts, means and variances.  The p-value maps t to a normal
-    deviate (Abramowitz & Stegun 26.7.8) and takes the upper tail."""
+    """Columns t and df of the one-sided Welch test (H1: mean 1 > mean 2) from
+    counts, means and variances; null where neither group has variance or one
+    has under two values."""
     se1, se2 = v1 / n1, v2 / n2
-    t = (m1 - m2) / F.sqrt(se1 + se2)
-    dof = (se1 + se2) ** 2 / (se1 ** 2 / (n1 - 1) + se2 ** 2 / (n2 - 1))
-    z = t * (1 - 1 / (4 * dof)) / F.sqrt(1 + t * t / (2 * dof))
-    return {"t": t, "df": dof, "p_value": 0.5 * _erfc(z / F.sqrt(F.lit(2.0)))}
+    spread = F.when((se1 + se2) > 0, se1 + se2)
+    t = (m1 - m2) / F.sqrt(spread)
+    # a group of one value has no variance: v is null, or 0 / (n - 1) would fail
+    dof = spread ** 2 / (F.try_divide(se1 ** 2, n1 - 1) + F.try_divide(se2 ** 2, n2 - 1))
+    return {"t": t, "df": dof}
+
+
+def _group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
+    return df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"),
+                                 F.var_samp(value).alias("v"))
+
+
+def _tested(s: DataFrame, group: str) -> DataFrame:
+    """The test of each row of (group, n, m, v) 1 and 2; t and df are columns
+    of a projection of their own, so that the tail's steps refer to values."""
+    test = welch(*(F.col(f"{c}{k}") for k in (1, 2) for c in ("n", "m", "v")))
+    named = s.select(
+        F.col(f"{group}1").alias("group_1"), F.col(f"{group}2").alias("group_2"),
+        F.col("n1").cast("long").alias("n_1"), F.col("n2").cast("long").alias("n_2"),
+        F.col("m1").alias("mean_1"), F.col("m2").alias("mean_2"),
+        test["t"].alias("t"), test["df"].alias("df"))
+    return named.select("*", upper_tail(F.col("t"), F.col("df")).alias("p_value"),
+                        log10_tail(F.col("t"), F.col("df")).alias("log10_p"))
 
 
 def welch_t(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
     """MK22: one-sided Welch t test, H1: mean(first) > mean(second).  The groups
     are names or scalar subqueries; one aggregate, all JVM-side."""
     one, two = (g if not isinstance(g, str) else F.lit(g) for g in (first, second))
-    s = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"),
-                              F.var_samp(value).alias("v")).agg(*[
+    s = _group_stats(df, group, value).agg(*[
         F.max(F.when(F.col(group) == g, F.col(c))).alias(f"{c}{k}")
         for k, g in ((1, one), (2, two)) for c in (group, "n", "m", "v")])
-    test = welch(*(F.col(f"{c}{k}") for k in (1, 2) for c in ("n", "m", "v")))
-    return s.select(
-        F.col(f"{group}1").alias("group_1"), F.col(f"{group}2").alias("group_2"),
-        F.col("n1").cast("long").alias("n_1"), F.col("n2").cast("long").alias("n_2"),
-        F.col("m1").alias("mean_1"), F.col("m2").alias("mean_2"),
-        *[c.alias(k) for k, c in test.items()])
-
-
-def _erfc(x):
-    """Complementary error function (Numerical Recipes erfcc, |err| < 1.2e-7)
-    as a JVM expression."""
-    z = F.abs(x)
-    t = 1 / (1 + 0.5 * z)
-    poly = (-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (
-        0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (
-            1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))
-    ans = t * F.exp(poly)
-    return F.when(x >= 0, ans).otherwise(2 - ans)
+    return _tested(s, group)
+
+
+def welch_pairs(df: DataFrame, group: str, value: str) -> DataFrame:
+    """MK22 for every two groups, the one with the larger mean first (ties: by
+    name).  For lumped factors: the pairs are built from one array with an
+    element for each group."""
+    s = _group_stats(df.filter(F.col(group).isNotNull()), group, value).filter("n > 0").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("m")).alias("o"), group, "n", "m", "v")))
+        .alias("g"))
+    i = F.sequence(F.lit(1), F.size("g") - 1)
+    pairs = F.flatten(F.transform(i, lambda k: F.transform(
+        F.slice("g", k + 1, F.size("g")),
+        lambda two: F.struct(F.element_at("g", k).alias("one"), two.alias("two")))))
+    s = s.filter(F.size("g") > 1).select(F.explode(pairs).alias("p"))
+    return _tested(s.select(*[F.col(f"p.{side}.{c}").alias(f"{c}{k}")
+                              for k, side in ((1, "one"), (2, "two"))
+                              for c in (group, "n", "m", "v")]), group)

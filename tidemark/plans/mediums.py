@@ -20,7 +20,7 @@ from tidemark.operators.ranking import (dense_rank_within, rank_one_tally, row_n
                                         share_of_total, share_within, top_n, top_n_per_group)
 from tidemark.operators.stats import fit_line, histogram
 from tidemark.operators.resample import bootstrap_means, bootstrap_percentiles
-from tidemark.operators.stats import welch_t
+from tidemark.operators.stats import welch_pairs, welch_t
 
 NOT_SET = "(not set)"
 # fixed values: labels folded into "unknown" by the scripts
@@ -169,6 +169,14 @@ def bootstrap_welch(cm: DataFrame, resamples: int = 10_000, seed: int = 0,
     return welch_t(means, "medium", "mean_revenue_per_transaction", first, second)
 
 
+def welch_all_mediums(cm: DataFrame, n_mediums: int = 7) -> DataFrame:
+    """MK22 on the cells themselves: rev/tx of every two lumped mediums, with a
+    cell as one observation (so df is of the size of the sample, not of the
+    number of resamples)."""
+    return welch_pairs(revenue_per_transaction_rows(cm, n_mediums), "medium",
+                       "revenue_per_transaction")
+
+
 def share_distribution(cm: DataFrame, bc: DataFrame, metric: str, n_countries: int = 200,
                        n_mediums: int = 6, width: float = 0.015) -> DataFrame:
     """MK23: histogram (bin width ``width``) of a metric's country share per
