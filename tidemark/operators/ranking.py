@@ -7,9 +7,9 @@ Scale rules used throughout:
   no single-partition window.
 * Windows with ``partitionBy`` run on aggregated (mart-grain) tables, where a
   partition is one country or one medium.
-* Unpartitioned ordered windows (ntile, percent_rank, a global top-n) are only
-  applied to aggregated tables whose row count is bounded by the number of
-  countries or mediums, never to raw facts; ``top_n`` on large inputs finds the
+* ntile and percent_rank are taken over ranges (``global_ranks``); the
+  unpartitioned windows that are left (running share, row ids) see only aggregated
+  tables bounded by mediums, channels or path lengths.  ``top_n`` finds the
   n-th value with ``orderBy().limit()`` (TakeOrderedAndProject: per-partition
   top-n, then a merge of n rows per partition) and filters on it.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import col, ratio
+from tidemark.operators.global_ranks import ranked
 
 
 def _desc(c) -> Column:
@@ -74,16 +75,19 @@ def dense_rank_within(df: DataFrame, metrics: Sequence[str], by: str | Sequence[
 
 
 def ntile_of(df: DataFrame, value: str, n: int, tie: str, out: str) -> DataFrame:
-    """WIN4: ``ntile(value, n)`` ascending with a unique tie-breaker.
+    """WIN4: ``ntile(value, n)`` ascending with a unique tie-breaker, over ranges
+    (``global_ranks``).
 
     Bucket sizes follow the SQL standard: larger buckets come first."""
-    w = Window.orderBy(_asc(value), _asc(tie))
-    return df.withColumn(out, F.ntile(n).over(w).cast("long"))
+    ranks = ranked(df, value, [tie], ntile=n)
+    return ranks.select(*df.columns, F.col("ntile").alias(out))
 
 
-def percent_rank_desc(df: DataFrame, value, out: str) -> DataFrame:
-    """WIN5: ``percent_rank(desc(value))`` over the table."""
-    return df.withColumn(out, F.percent_rank().over(Window.orderBy(_desc(value))))
+def percent_rank_desc(df: DataFrame, value: str, out: str, tie: Sequence[str] = ()) -> DataFrame:
+    """WIN5: ``percent_rank(desc(value))`` over the table, over ranges; ``tie``
+    spreads equal values over them."""
+    ranks = ranked(df, value, list(tie), desc=True)
+    return ranks.select(*df.columns, F.col("percent_rank").alias(out))
 
 
 def row_number_by(df: DataFrame, order: Sequence, out: str = "row_id") -> DataFrame:

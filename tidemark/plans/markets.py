@@ -70,7 +70,7 @@ def high_conversion_high_value(mart: DataFrame, min_transactions) -> DataFrame:
     """MK8: better conversion than half of the countries and revenue per
     transaction above the mean."""
     v = _conversion_view(mart, min_transactions)
-    v = percent_rank_desc(v, "ecommerce_conversion_rate", "_pr")
+    v = percent_rank_desc(v, "ecommerce_conversion_rate", "_pr", ["country"])
     v = v.withColumns({
         "is_top_converting_country": F.col("_pr") <= 0.5,
         "is_rev_per_trans_higher_than_avg": F.col("diff_to_mean_revenue_per_transaction") > 0,
@@ -83,7 +83,7 @@ def high_conversion_high_value(mart: DataFrame, min_transactions) -> DataFrame:
 def low_conversion_high_traffic(mart: DataFrame, min_transactions, n: int = 3) -> DataFrame:
     """MK9: bottom quarter by conversion rate, the ``n`` with most users."""
     v = _conversion_view(mart, min_transactions)
-    v = percent_rank_desc(v, "ecommerce_conversion_rate", "_pr")
+    v = percent_rank_desc(v, "ecommerce_conversion_rate", "_pr", ["country"])
     v = v.withColumns({
         "is_bottom_converting_country": F.col("_pr") >= 0.75,
         "is_rev_per_trans_higher_than_avg": F.col("diff_to_mean_revenue_per_transaction") > 0,

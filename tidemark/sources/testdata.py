@@ -236,6 +236,32 @@ ORDER_SCALE_SQL = "(SELECT count(*) / 15000.0 FROM orders)"
 
 # --- dimensions (FIXTURES.md §2, "Dimensions") -------------------------------
 
+def order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their cell: country, medium, o_custkey, o_orderkey,
+    o_orderdate, value."""
+    orders = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    customer = read_table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", "c_mktsegment")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+            .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            .select(_recode(F.col("n_name"), COUNTRY_RECODE).alias("country"),
+                    _recode(F.concat_ws("/", "c_mktsegment", F.substring("o_orderpriority", 1, 1)),
+                            MEDIUM_RECODE).alias("medium"),
+                    "o_custkey", "o_orderkey", "o_orderdate", F.col("o_totalprice").alias("value")))
+
+
+def customer_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each customer of a cell: country, medium, o_custkey, is_new
+    (the customer's first order is in the cell)."""
+    rows = order_cells(spark, sf_dir).groupBy("country", "medium", "o_custkey").agg(
+        F.min(F.struct("o_orderdate", "o_orderkey")).alias("earliest"))
+    mine = Window.partitionBy("o_custkey")  # at most one row for each of the customer's cells
+    return rows.select("country", "medium", "o_custkey",
+                       (F.col("earliest") == F.min("earliest").over(mine)).alias("is_new"))
+
+
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation")
     customers = read_table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
