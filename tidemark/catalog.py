@@ -108,3 +108,4 @@ def forget(spark: SparkSession, sf_dir: str | None = None) -> None:
 from tidemark.catalog_marts import *  # noqa: E402,F401,F403
 from tidemark.catalog_paths import *  # noqa: E402,F401,F403
 from tidemark.catalog_rollups import *  # noqa: E402,F401,F403
+from tidemark.catalog_exports import *  # noqa: E402,F401,F403

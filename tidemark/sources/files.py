@@ -87,24 +87,11 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 def read_csv_skip(spark: SparkSession, path: str, skip: int,
                   schema: StructType | str) -> DataFrame:
-    """SRC1 for a preamble that is not ``#``-marked: drop the first ``skip``
-    lines and the header line of every file, then parse the rest with
-    ``from_csv`` (JVM-side, no RDD).
-
-    Within one file ``monotonically_increasing_id`` grows with the line order
-    (splits of a file are consecutive partitions), so a line's offset from the
-    file's first id identifies the preamble lines of the first split.
-    """
-    if not isinstance(schema, str):
-        schema = schema.simpleString()[len("struct<"):-1].replace(":", " ")
-    lines = (spark.read.text(path)
-             .withColumn("_f", F.input_file_name())
-             .withColumn("_id", F.monotonically_increasing_id()))
-    first = lines.groupBy("_f").agg(F.min("_id").alias("_base"))
-    body = (lines.join(first, "_f")
-            .filter((F.col("_id") - F.col("_base") > skip) & (F.length("value") > 0)))
-    parsed = body.select(F.from_csv("value", schema).alias("_r")).select("_r.*")
-    return clean_names(parsed)
+    """SRC1 for a preamble that is not ``#``-marked: the sound rows after the
+    first ``skip`` lines and the header line of every file, told by their place in the
+    file (``exports.read_export``, which also gives the damaged rows)."""
+    from tidemark.sources.exports import read_export, sound_rows
+    return sound_rows(read_export(spark, path, schema, skip, check_header=False))
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
