@@ -149,3 +149,64 @@ def test_nested(spark):
     both = attach(n, nest(df.filter("i = 1").select("g", "v"), ["g"], "firsts"), ["g"])
     assert both.columns == ["g", "rows", "firsts"] and both.filter("g = 'b'").first()["firsts"] == [(3.0,)]
     assert unnest(nest(df.limit(0), ["g"], "rows"), "rows").count() == 0
+
+
+# --- names ---------------------------------------------------------------------------
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def _plain_pairs(names, targets):
+    allowed = lambda n: 0 if len(n) <= 3 else 1 if len(n) <= 7 else 2
+    return sorted((_edits(n.lower(), t.lower()), n, t) for n in names for t in targets
+                  if _edits(n.lower(), t.lower()) <= allowed(n))
+
+
+def _greedy(pairs):
+    names, targets, out = set(), set(), set()
+    for d, n, t in pairs:
+        if n not in names and t not in targets:
+            names.add(n)
+            targets.add(t)
+            out.add((n, t, d))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_similar_names_and_assignment(spark, seed):
+    """Few letters, so that many pairs are close: all of them, and greedily one to one."""
+    import random
+
+    from tidemark.operators import names as nm
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abB") for _ in range(rng.randint(1, 12)))
+    names, targets = {word() for _ in range(70)}, {word() for _ in range(70)}
+    n = spark.createDataFrame([(x,) for x in names], "name string")
+    t = spark.createDataFrame([(x,) for x in targets], "target string")
+    pairs = nm.similar_names(n, t)
+    plain = _plain_pairs(names, targets)
+    assert {(r["distance"], r["name"], r["target"]) for r in pairs.collect()} == set(plain)
+    assert {(r["name"], r["target"], r["distance"]) for r in nm.one_to_one(pairs).collect()} == _greedy(plain)
+
+
+def test_reconcile(spark):
+    from tidemark.operators.names import reconcile
+    names = ["Chad", "CÔTE D'IVOIRE", "Cote d'Ivoire", "Germny", "Germanyy", "Untied States", "Mali", "Malí", "Xx",
+             None, "Chad", ""]
+    targets = ["Chad", "Côte d'Ivoire", "Germany", "United States", "Mali", "Peru", None, "Xy"]
+    got = {r["name"]: (r["target"], r["how"], r["distance"]) for r in reconcile(
+        spark.createDataFrame([(x, 1) for x in names], "country string, target int"),
+        spark.createDataFrame([(x, "c") for x in targets], "geo string, name string"), "country", "geo").collect()}
+    assert got == {
+        "Chad": ("Chad", "exact", 0), "Mali": ("Mali", "exact", 0), "Malí": (None, None, None),
+        "CÔTE D'IVOIRE": (None, None, None), "Cote d'Ivoire": ("Côte d'Ivoire", "collation", 0),
+        "Germanyy": ("Germany", "edits", 1), "Germny": (None, None, None),
+        "Untied States": ("United States", "edits", 2), "Xx": (None, None, None), "": (None, None, None)}
+    empty = spark.createDataFrame([], "country string")
+    assert reconcile(empty, empty, "country", "country").collect() == []

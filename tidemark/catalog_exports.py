@@ -1,5 +1,5 @@
 """Registered queries: exports that are written and read again, dictionaries as
-values, nested results."""
+values, nested results, names that nearly match."""
 
 from __future__ import annotations
 
@@ -13,12 +13,14 @@ from tidemark.catalog_marts import (
 from tidemark.catalog_paths import clean, psql
 from tidemark.operators import attribution as at
 from tidemark.operators.dictionaries import dictionary, inverted, lookup
+from tidemark.operators.names import reconcile
 from tidemark.operators.nested import attach, fold, nest, unnest
 from tidemark.operators.ranking import row_number_by
 from tidemark.operators.stats import exact_quantiles
 from tidemark.plans import markets as mk
 from tidemark.session import ensure_checkpoint_dir
 from tidemark.sources import exports as ex
+from tidemark.sources.files import read_table
 
 
 def _folder(spark) -> str:
@@ -134,3 +136,28 @@ SELECT medium, CAST(count(*) AS BIGINT) AS n_splits, avg(m) AS mean_of_splits FR
     lambda spark, sf: nested_bootstrap(spark, sf).select(
         "medium", F.size("splits").cast("long").alias("n_splits"),
         (fold("splits", MEAN) / F.size("splits")).alias("mean_of_splits")))
+
+
+# --- JN9: a misspelt country list -------------------------------------------------
+
+# a made-up name of 12 letters for each nation, and how the other list writes it
+_TITLE = "translate(substr(md5(n_name), 1, 12), '0123456789', 'ghijklmnop')"
+_SPELT = f"""CASE n_nationkey % 6 WHEN 0 THEN {_TITLE} WHEN 1 THEN upper({_TITLE})
+    WHEN 2 THEN translate({_TITLE}, 'aeionc', 'áèïôñç')
+    WHEN 3 THEN concat(substr({_TITLE}, 1, 3), substr({_TITLE}, 5))
+    WHEN 4 THEN concat(substr({_TITLE}, 1, 5), 'x', substr({_TITLE}, 6, 4), 'y', substr({_TITLE}, 11))
+    ELSE concat('unheard of ', n_nationkey) END"""
+_HOW = "CASE n_nationkey % 6 WHEN 0 THEN 'exact' WHEN 1 THEN 'collation' WHEN 2 THEN 'collation' WHEN 3 THEN 'edits' WHEN 4 THEN 'edits' END"
+
+
+@register("jn9_reconciled_names", f"""
+SELECT name, CASE WHEN how IS NULL THEN NULL ELSE title END AS target, how,
+       CAST(CASE how WHEN 'edits' THEN levenshtein(name, title) WHEN 'exact' THEN 0 WHEN 'collation' THEN 0 END
+            AS INTEGER) AS distance
+FROM (SELECT {_TITLE} AS title, {_SPELT} AS name, {_HOW} AS how FROM nation)""")
+def q_reconciled(spark, sf):
+    """Every spelling with the nation that it stands for; the expected partner
+    follows from how each name was misspelt."""
+    nation = read_table(spark, sf, "nation")
+    return reconcile(nation.select(F.expr(_SPELT).alias("name")), nation.select(F.expr(_TITLE).alias("title")),
+                     "name", "title")
