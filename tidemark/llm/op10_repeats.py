@@ -21,8 +21,11 @@ know: the order of the documents, hence the smallest document of each tie.
 *Result.*  Removed stretches go back to their documents, are united, and cut out.
 
 Buckets have about ``BUCKET_BYTES`` bytes of phrases, so their number grows with
-the corpus and no task does.  A phrase that stands in a third of all documents
-is sent once for each ``FLUSH_BYTES`` bytes of text at most.  The text itself
+the corpus and no task does.  A trigger that alone would fill a bucket
+(``hot_triggers``) is dealt by the hash of each window, so that equal windows still
+meet.  A run of one byte, or of a short period, in a document is one phrase with a length
+(``runs``).  A phrase that stands in a third of all documents is sent once for each
+``FLUSH_BYTES`` bytes of text at most.  The text itself
 is never shuffled while the stretches are small enough to broadcast
 (``BROADCAST_BYTES``, checked), else it is joined with them by doc_id.
 
@@ -51,6 +54,8 @@ BLOCK_BYTES = 2_000_000
 FLUSH_BYTES = 16_000_000
 BUCKET_BYTES = 6_000_000
 BROADCAST_BYTES = 32_000_000
+SAMPLE = 16                         # one row of so many tells hot triggers
+NAMED = 1000
 LAST = np.iinfo(np.int64).max       # stands for a null id
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -105,6 +110,22 @@ def phrases(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.n
     return owner[begin], begin, count, trigger[begin] - begin, key
 
 
+def runs(data: np.ndarray, own: np.ndarray, begin: np.ndarray, count: np.ndarray,
+         trigger: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal phrases of a text one after the other, as in a run of one byte or of a
+    short period: the first ones, and how many follow each other from there.  Their
+    places are ``count`` bytes apart, less than a window, so what such a row loses at
+    the first place and at all others is one stretch."""
+    same = ((own[1:] == own[:-1]) & (count[1:] == count[:-1]) & (key[1:] == key[:-1])
+            & (trigger[1:] == trigger[:-1]) & (begin[1:] == begin[:-1] + count[:-1]))
+    for c in np.unique(count[1:][same]).tolist():       # at most SPREAD of them
+        at = np.flatnonzero(same & (count[1:] == c))
+        differ = np.concatenate(([0], np.cumsum(data[:-c] != data[c:])))
+        same[at] = differ[begin[at] + c + WINDOW - 1] == differ[begin[at]]
+    lead = np.flatnonzero(np.concatenate(([True], ~same))) if len(own) else np.arange(0)
+    return lead, np.diff(np.append(lead, len(own)))
+
+
 def pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
     """Texts in pieces of bounded size that overlap by a window less one byte:
     number, start, bytes."""
@@ -114,8 +135,9 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
 
 
 def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Phrases of all ``texts``: text, start, windows, trigger, hash, bytes
-    (as one array) and where each phrase's bytes begin in it."""
+    """Phrases of all ``texts``, equal neighbours once: text, start, windows,
+    trigger, hash, how many follow each other, where the phrase's bytes begin, and the
+    bytes (as one array)."""
     found: list[tuple[np.ndarray, ...]] = []
     blocks: list[np.ndarray] = []
     before = 0
@@ -129,10 +151,12 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             last = np.cumsum(sizes)
             first = last - sizes
             own, begin, count, trigger, key = phrases(data, first, last)
+            lead, run = runs(data, own, begin, count, trigger, key)
+            own, begin, count, trigger, key = (x[lead] for x in (own, begin, count, trigger, key))
             number = np.array([k for k, _, _ in todo], np.int64)
             start = np.array([at for _, at, _ in todo], np.int64)
             found.append((number[own], begin - first[own] + start[own], count, trigger, key,
-                          begin + before))
+                          run, begin + before))
             blocks.append(data)
             before += len(data)
         todo.clear()
@@ -148,7 +172,7 @@ def parse(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         block()
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none.astype(np.uint64), none, np.zeros(0, np.uint8)
+        return none, none, none, none, none.astype(np.uint64), none, none, np.zeros(0, np.uint8)
     return (*(np.concatenate(x) for x in zip(*found)), np.concatenate(blocks))
 
 
@@ -230,7 +254,7 @@ def _unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-_PHRASES = (np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint8)
+_PHRASES = (np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint8, np.uint32, np.uint8)
 _STRETCHES = (np.int64, np.int64, np.uint32, np.uint32, np.uint32)
 
 
@@ -244,7 +268,8 @@ def _stretches(ids: np.ndarray, keys: np.ndarray, own: np.ndarray, start: np.nda
                length: np.ndarray, parts: int, shift: int) -> dict[int, bytes]:
     """Removed stretches, packed by the part of their document."""
     out = {}
-    part = keys % parts
+    # by id and text: copies of a text with a repeat are dealt out too
+    part = (_mixed(ids.astype(np.uint64) * _BASE + keys.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part[own], kind="stable")
     own, start, length = own[order], start[order], length[order]
     where = part[own]
@@ -257,19 +282,66 @@ def _stretches(ids: np.ndarray, keys: np.ndarray, own: np.ndarray, start: np.nda
     return out
 
 
+def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hashes of the triggers that begin there."""
+    gram = np.zeros(len(at), np.uint64)
+    for k in range(GRAM):
+        gram = gram * _BASE + data[at + k]
+    return gram
+
+
+def _as_windows(data: np.ndarray, at: np.ndarray, pieces: np.ndarray,
+                *phrase: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Phrases (own, start, count, trigger, run) of hot triggers, window by
+    window, and the hash piece of each: equal windows are in equal pieces."""
+    own, start, count, trigger, run = phrase
+    of = np.repeat(np.arange(len(at)), count)
+    inside = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    at = at[of] + inside
+    name = np.zeros(len(of), np.uint64)
+    for k in range(WINDOW):
+        name = name * _BASE + data[at + k]
+    piece = (_mixed(name) % pieces[of].astype(np.uint64)).astype(np.int64)
+    # a run of phrases is one of its windows too: each lasts from the first place to the last
+    return at, piece, own[of], start[of] + inside, np.ones_like(of), trigger[of] - inside, run[of], count[of]
+
+
+def _own_phrases(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """``parse`` and which of the phrases equal one of a smaller document."""
+    parsed = parse(texts)
+    own, _, count, _, key, _, at, data = parsed
+    return (*parsed, later_copies(ids[own], key, at, count + WINDOW - 1, data))
+
+
 def _flush(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int,
-           parts: int) -> pa.RecordBatch:
-    own, start, count, trigger, key, at, data = parse(texts)
+           parts: int, hot: dict[int, int]) -> pa.RecordBatch:
+    own, start, count, trigger, key, run, at, data, copies = _own_phrases(ids, texts)
     length = count + WINDOW - 1
-    copies = later_copies(ids[own], key, at, length, data)
-    found = _stretches(ids, keys, own[copies], start[copies], length[copies], parts, buckets)
+    found = _stretches(ids, keys, own[copies], start[copies],
+                       (length + (run - 1) * count)[copies], parts, buckets)
     rest = ~copies
-    own, start, count, trigger, at, length = (
-        x[rest] for x in (own, start, count, trigger, at, length))
-    gram = np.zeros(len(at), np.uint64)             # the trigger's bytes decide the bucket
-    for k in range(GRAM):
-        gram = gram * _BASE + data[at + trigger + k]
-    bucket = (_mixed(gram) % np.uint64(buckets)).astype(np.int64)
+    own, start, count, trigger, at, run = (x[rest] for x in (own, start, count, trigger, at, run))
+    step = count                                    # places of a run are so far apart
+    gram = _grams(data, at + trigger)               # the trigger's bytes decide the bucket
+    bucket = _mixed(gram.copy())
+    if hot:
+        names = np.array(sorted(hot), np.uint64)
+        place = np.minimum(np.searchsorted(names, gram), len(names) - 1)
+        often = np.flatnonzero(names[place] == gram)
+        split = np.array([hot[int(g)] for g in names])[place[often]]
+        more = _as_windows(data, at[often], split, own[often], start[often], count[often],
+                           trigger[often], run[often])
+        each = np.repeat(bucket[often], count[often])
+        keep = np.ones(len(at), bool)
+        keep[often] = False
+        bucket = np.concatenate((bucket[keep], _mixed(each + (more[1].astype(np.uint64) + np.uint64(1)) * _BASE)))
+        at, own, start, count, trigger, run, step = (
+            np.concatenate((x[keep], y)) for x, y in zip(
+                (at, own, start, count, trigger, run, step), (more[0], *more[2:])))
+    length = count + WINDOW - 1
+    bucket = (bucket % np.uint64(buckets)).astype(np.int64)
+    # what a run adds to the length of a stretch
+    longer = (run - 1) * step
     by = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(edges)):
@@ -277,7 +349,8 @@ def _flush(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int,
         there, number = np.unique(own[take], return_inverse=True)
         found[int(b)] = _packed(ids[there], keys[there], number.astype(np.uint32),
                                 start[take].astype(np.uint32), count[take].astype(np.uint8),
-                                trigger[take].astype(np.uint8), _gather(data, at[take], length[take]))
+                                trigger[take].astype(np.uint8), longer[take].astype(np.uint32),
+                                _gather(data, at[take], length[take]))
     return _rows(found)
 
 
@@ -285,25 +358,23 @@ def _bucket(blobs: list[bytes], parts: int) -> dict[int, bytes]:
     """The stretches that a bucket's phrases lose, by part of their document."""
     found, docs = [], 0
     for blob in blobs:
-        ids, keys, own, start, count, trigger, data = _unpacked(blob, *_PHRASES)
+        ids, keys, own, start, count, trigger, longer, data = _unpacked(blob, *_PHRASES)
         found.append((ids, keys, own.astype(np.int64) + docs, start.astype(np.int64),
-                      count.astype(np.int64), trigger.astype(np.int64), data))
+                      count.astype(np.int64), trigger.astype(np.int64), longer.astype(np.int64), data))
         docs += len(ids)
-    ids, keys, own, start, count, trigger, data = (np.concatenate(x) for x in zip(*found))
+    ids, keys, own, start, count, trigger, longer, data = (np.concatenate(x) for x in zip(*found))
     del found
     length = count + WINDOW - 1
     at = np.cumsum(length) - length
     # phrases whose trigger stands in one document only lose nothing
-    gram = np.zeros(len(at), np.uint64)
-    for k in range(GRAM):
-        gram = gram * _BASE + data[at + trigger + k]
+    gram = _grams(data, at + trigger)
     by = np.argsort(gram)
     head = np.flatnonzero(np.concatenate(([True], gram[by][1:] != gram[by][:-1])))
     size = np.diff(np.concatenate((head, [len(by)])))
     order = ids[own]
     several = np.minimum.reduceat(order[by], head) < np.maximum.reduceat(order[by], head)
     keep = np.sort(by[np.repeat(several, size)])
-    own, start, count, at, length = (x[keep] for x in (own, start, count, at, length))
+    own, start, count, at, length, longer = (x[keep] for x in (own, start, count, at, length, longer))
     if not len(own):
         return {}
     data = _gather(data, at, length)
@@ -319,7 +390,7 @@ def _bucket(blobs: list[bytes], parts: int) -> dict[int, bytes]:
     first = there[np.flatnonzero(fresh)]
     run = np.diff(np.concatenate((np.flatnonzero(fresh), [len(there)])))
     p = phrase[first]
-    return _stretches(ids, keys, own[p], start[p] + inside[first], run + WINDOW - 1, parts, 0)
+    return _stretches(ids, keys, own[p], start[p] + inside[first], run + WINDOW - 1 + longer[p], parts, 0)
 
 
 def _united(blobs: list[bytes]) -> pa.Table:
@@ -350,6 +421,57 @@ def _united(blobs: list[bytes]) -> pa.Table:
         "spans": pa.array([b.astype(np.int64).tobytes() for b in blocks], pa.binary())})
 
 
+def _flushes(batches: Iterator[pa.RecordBatch],
+             flush_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+    """ids, keys and bytes of rows (doc_id, key, text) with so much text at a time."""
+    ids: list[int] = []
+    keys: list[int] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        for i, key, text in zip(batch["doc_id"].to_pylist(), batch["key"].to_pylist(),
+                                batch["text"].to_pylist()):
+            raw = (text or "").encode("utf-8", "surrogatepass")
+            if len(raw) < WINDOW:
+                continue
+            ids.append(LAST if i is None else i)
+            keys.append(key)
+            texts.append(raw)
+            size += len(raw)
+            if size >= flush_bytes:
+                yield np.array(ids), np.array(keys), texts
+                ids, keys, texts, size = [], [], [], 0
+    if texts:
+        yield np.array(ids), np.array(keys), texts
+
+
+def hot_triggers(keyed: DataFrame) -> dict[int, int]:
+    """Triggers that alone would fill a bucket, and in how many pieces their
+    windows are dealt.  Estimated on one row of ``SAMPLE`` by its text's hash: it only says what
+    is dealt by window rather than by phrase, the result is the same either way.
+    A task names its ``NAMED`` largest triggers; those kept are fewer than the buckets."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[int, int] = {}
+        for ids, _, texts in _flushes(batches, FLUSH_BYTES):
+            own, _, windows, trigger, _, _, at, data, copies = _own_phrases(ids, texts)
+            rest = np.flatnonzero(~copies)
+            grams, number = np.unique(_grams(data, at[rest] + trigger[rest]), return_inverse=True)
+            total = np.bincount(number, windows[rest] + WINDOW - 1, len(grams))
+            for i in np.argsort(-total)[:NAMED].tolist():
+                sizes[int(grams[i])] = sizes.get(int(grams[i]), 0) + int(total[i])
+        largest = sorted(sizes.items(), key=lambda kv: -kv[1])[:NAMED]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([str(g) for g, _ in largest], pa.string()), pa.array([n for _, n in largest], pa.int64())],
+            names=["gram", "size"])
+
+    sampled = keyed.filter(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(SAMPLE)) == 0)
+    size = F.sum("size") * SAMPLE
+    rows = (sampled.mapInArrow(count, "gram string, size long").groupBy("gram").agg(size.alias("size"))
+            .filter(F.col("size") > BUCKET_BYTES).collect())
+    # a window by itself has up to WINDOW bytes for each one of the phrase
+    return {int(r["gram"]): int(-(-r["size"] * WINDOW // BUCKET_BYTES)) for r in rows}
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """_id, _key, spans: the removed stretches (pairs of 64-bit byte offsets) of
     the rows of ``docs`` (doc_id, text) that lose some."""
@@ -360,26 +482,11 @@ def spans(docs: DataFrame) -> DataFrame:
     buckets = max(1, round(total * overlap / BUCKET_BYTES))
     parts = max(1, buckets // 8)
 
+    hot = hot_triggers(keyed)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        keys: list[int] = []
-        texts: list[bytes] = []
-        size = 0
-        for batch in batches:
-            for i, key, text in zip(batch["doc_id"].to_pylist(), batch["key"].to_pylist(),
-                                    batch["text"].to_pylist()):
-                raw = (text or "").encode("utf-8", "surrogatepass")
-                if len(raw) < WINDOW:
-                    continue
-                ids.append(LAST if i is None else i)
-                keys.append(key)
-                texts.append(raw)
-                size += len(raw)
-                if size >= FLUSH_BYTES:
-                    yield _flush(np.array(ids), np.array(keys), texts, buckets, parts)
-                    ids, keys, texts, size = [], [], [], 0
-        if texts:
-            yield _flush(np.array(ids), np.array(keys), texts, buckets, parts)
+        for ids, keys, texts in _flushes(batches, FLUSH_BYTES):
+            yield _flush(ids, keys, texts, buckets, parts, hot)
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         blobs = table["blob"].to_pylist()
