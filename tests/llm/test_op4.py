@@ -122,3 +122,84 @@ def test_components_without_an_id_of_their_own(spark):
     kept = op.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     left = [(r["doc_id"], r["text"].lower()) for r in kept]
     assert sorted(left, key=str) == sorted([(None, a), (None, b), (5, c), (5, d)], key=str)
+
+
+def _numpy_components(texts):
+    """Components of rows by all pairs, with a matrix product."""
+    import numpy as np
+    sets = [shingle_set(t) for t in texts]
+    number = {}
+    for s in sets:
+        for g in s:
+            number.setdefault(g, len(number))
+    a = np.zeros((len(sets), len(number)), np.float32)
+    for k, s in enumerate(sets):
+        a[k, [number[g] for g in s]] = 1
+    both = np.rint(a @ a.T).astype(np.int64)
+    n = a.sum(1).astype(np.int64)
+    linked = 100 * both >= 80 * (n[:, None] + n[None] - both)
+    least = np.arange(len(sets))
+    while True:
+        new = np.where(linked, least[None, :], len(sets)).min(1)
+        if (new == least).all():
+            return least.tolist(), float(np.median((both / (n[:, None] + n[None] - both))[~np.eye(len(n), dtype=bool)]))
+        least = new
+
+
+@pytest.mark.parametrize("changes,low,high", [(5, 0.48, 0.6), (2, 0.74, 0.84)])
+def test_large_families(spark, changes, low, high):
+    """2,000 near copies whose similarities lie around a half, or around the
+    threshold: every component is found."""
+    texts = _family(2000, 160, changes, seed=changes)
+    want, median = _numpy_components(texts)
+    assert low < median < high
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in op.join(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
+def test_occurrences_against_counting():
+    """Whoever occurs often enough is found with the right count, wherever the
+    cut between merged and probed lists falls."""
+    import numpy as np
+    rng = np.random.default_rng(7)
+    for trial in range(40):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(rng.integers(1, 30))]
+        n = np.array([len(s) for s in sets])
+        root = rng.integers(0, 6, len(sets))
+        at = np.concatenate([[0], np.cumsum(n)])
+        index = op.Index(n, root, np.concatenate(sets).astype(np.int64), at)
+        assert (index.n == np.sort(n)).all()
+        query = np.unique(rng.integers(0, 70, 30)).astype(np.int64)
+        for least in (1, 2, 5, 12):
+            lists = index.lists(query)
+            low, high = sorted(rng.integers(0, len(sets) + 1, 2).tolist())
+            found, count = index.occurrences(lists, least, low, high, 3)
+            got = {int(f): int(c) for f, c in zip(found, count) if c >= least}
+            want = {}
+            for place, k in enumerate(index.order):
+                c = len(np.intersect1d(sets[k], query))
+                if c >= least and low <= place < high and root[k] != 3:
+                    want[place] = c
+            assert got == want
+
+
+def test_word_hashes():
+    """Words are told apart and found alike in any surroundings and pieces."""
+    import random
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["Ab", "c", "Über", "x" * rng.randint(1, 9), "q1"])
+                      for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    texts += [None, "", " \t\n", "a", "a b", "\x0bA\x0c b", "x" * (op.PIECE + 5) + " y z w v u t", "foo bar baz " * 200_000]
+    classes, words = {}, {}
+    for t, (cls, grams) in zip(texts, op.shingled(texts)):
+        found = tuple(WORD.findall((t or "").translate(LOW)))
+        assert len(grams) == len(shingle_set(t)) and (grams[1:] > grams[:-1]).all()
+        assert classes.setdefault(found, cls) == cls
+        (alone, same), = op.shingled([t])
+        assert alone == cls and (same == grams).all()
+        hashes, begins = op.word_hashes([t])
+        assert len(hashes) == len(found) == begins[-1]
+        for w, h in zip(found, hashes.tolist()):
+            assert words.setdefault(w, h) == h
+    assert len(set(classes.values())) == len(classes) and len(set(words.values())) == len(words)
