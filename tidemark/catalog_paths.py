@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog import register, shared
+from tidemark.catalog_marts import mc
 from tidemark.operators import attribution as at
 from tidemark.operators.stats import prob_grid
 from tidemark.plans import paths as pp
@@ -22,7 +23,7 @@ MARKOV_STEPS = 200
 
 
 def raw(spark, sf):
-    return td.conversion_paths_raw(spark, sf)
+    return shared(spark, sf, "conversion_paths_raw", lambda: td.conversion_paths_raw(spark, sf))
 
 
 def parsed(spark, sf):
@@ -144,7 +145,7 @@ register("cp00_conversion_paths_raw", psql("SELECT * FROM conversion_paths_raw")
 
 register("mk00_medium_country", "WITH " + td.MEDIUM_COUNTRY_SQL.strip() + "\nSELECT * FROM medium_country",
          {"revenue": 2, "bounce_rate": 6, "pages_session": 6, "avg_session_duration": 6,
-          "ecommerce_conversion_rate": 6})(lambda spark, sf: td.medium_country(spark, sf))
+          "ecommerce_conversion_rate": 6})(mc)
 
 # --- CP1-CP11 ----------------------------------------------------------------------
 

@@ -46,6 +46,7 @@ PATH_SEPARATOR = " > "
 
 
 TOLERANCE = 1e-14
+DOUBLINGS = 2   # between two written tables
 
 
 def touches(path: Column | str, sep: str = PATH_SEPARATOR) -> Column:
@@ -131,11 +132,14 @@ def expected_visits(moves: DataFrame) -> DataFrame:
         left = power.groupBy("i").agg(F.sum("v").alias("m")).agg(F.max("m")).first()[0]
         if left is None or left < TOLERANCE:
             return state.filter("kind = 0").select("i", "j", "v")
-        step = power.select(F.col("i").alias("j"), F.col("j").alias("to"), F.col("v").alias("w"))
-        products = state.join(step, "j").select("kind", "i", F.col("to").alias("j"),
-                                                (F.col("v") * F.col("w")).alias("v"))
-        state = (state.filter("kind = 0").unionByName(products)
-                 .groupBy("kind", "i", "j").agg(F.sum("v").alias("v")).checkpoint(eager=True))
+        for _ in range(DOUBLINGS):      # in one plan: fewer jobs, and one more cannot hurt
+            step = state.filter("kind = 1").select(
+                F.col("i").alias("j"), F.col("j").alias("to"), F.col("v").alias("w"))
+            products = state.join(step, "j").select("kind", "i", F.col("to").alias("j"),
+                                                    (F.col("v") * F.col("w")).alias("v"))
+            state = (state.filter("kind = 0").unionByName(products)
+                     .groupBy("kind", "i", "j").agg(F.sum("v").alias("v")))
+        state = state.checkpoint(eager=True)
 
 
 def markov_model(paths: DataFrame, path: str = "medium_path", conv: str = "conversions",
