@@ -69,3 +69,48 @@ def test_lanes_and_blocks_do_not_matter_much(monkeypatch):
     monkeypatch.setattr(op, "LANE", 16)
     monkeypatch.setattr(op, "BLOCK", 100)
     assert model.predict([text, "", "the"], model.symbols())[0] == ["de", "und", "en"]
+
+
+def test_scripts_side_by_side():
+    """Rarer scripts keep their letters beside frequent ones, and a script of many
+    letters is not a language for everything unknown."""
+    import random
+    rng = random.Random(2)
+    latin, greek, cyrillic = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзиклмнопрстуфхцчшщыэюя"
+    han = "".join(map(chr, range(0x4E00, 0x4E00 + 900)))
+
+    def speaker(letters, seed):
+        own = random.Random(seed)
+        words = ["".join(own.choice(letters) for _ in range(own.randint(2, 6))) for _ in range(120)]
+        return lambda n: " ".join(rng.choice(words) for _ in range(n))
+
+    says = {f"{name}{k}": speaker(letters, f"{name}{k}") for name, letters in
+            (("latin", latin), ("greek", greek), ("cyrillic", cyrillic), ("han", han)) for k in (1, 2)}
+    # the Latin languages have fifty times as much text
+    texts = {name: [say(3000 if name.startswith("latin") else 400)] for name, say in says.items()}
+    model = op.CrossParser.fit(texts, 24_000, 60)
+    for name, say in says.items():
+        said, score = model.predict([say(40) for _ in range(20)], model.symbols())
+        assert said == [name] * 20
+    assert model.predict(["ქართული ენა"], model.symbols())[1][0] <= 1     # letters of none
+
+
+def test_wide_tables(monkeypatch):
+    """Tables of 8 bytes give the same phrases."""
+    texts = {"x": ["abcab cab"], "y": ["bbb cc"]}
+    narrow = op.CrossParser.fit(texts, 1000, 10)
+    monkeypatch.setattr(op, "COUNT", 4)
+    wide = op.CrossParser.fit(texts, 1000, 10)
+    assert wide.tables.dtype == np.int64 and wide.shift == op.WIDE and narrow.tables.dtype == np.int32
+    found = ["abc cab bb", "zzz", "ccc b"]
+    assert (narrow.phrases(found, narrow.symbols())[0] == wide.phrases(found, wide.symbols())[0]).all()
+
+
+def test_training_does_not_hang_on_beginnings(spark):
+    """All documents begin with one long English head; the languages differ after it."""
+    head = "this is the common head of every page and it goes on and on " * 20
+    rows = [(i, head + ("der wald und das haus stehen im regen " if i % 2 else "le bois et la maison sont sous la pluie ") * 60,
+             "de" if i % 2 else "fr") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = op.fit(docs)
+    assert model.predict(["der wald im regen", "la maison et le bois"], model.symbols())[0] == ["de", "fr"]

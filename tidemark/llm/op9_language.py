@@ -11,12 +11,21 @@ automata of the other half; those that another language parses with fewer bits
 are left out of the final text.
 
 Texts are parsed as lower-case letters with runs of anything else as one
-space.  Whole texts are parsed: a long one in lanes of ``LANE`` symbols, which
+space.  Each language has symbols of its own: its ``letters`` most frequent letters, and
+for its other letters one for each of ``BUCKETS`` groups of Unicode blocks that its text
+has.  So a language of many letters, or a rare script beside a frequent one, keeps its
+letters apart, and letters of another script are unknown to it.  Whole texts are parsed: a long one in lanes of ``LANE`` symbols, which
 costs every language at most one phrase a lane.  Thousands of lanes move through
 the automata together, one symbol at a time, as NumPy gathers.
 
 Memory: the automata take about ``train_letters * 1.5 * (letters + 2) * 4``
-bytes for each language, fixed by the parameters and the number of languages.
+bytes for each language (some 9 MB), fixed by the parameters and the number of languages; beyond
+2**29 entries they have 8 bytes each.  Spark sends the model to an executor once, as a
+broadcast, as it does with every function of over 1 MB.
+
+Ties go to the language first by name.  Documents of a language that come first by
+the hash of their id train, equal ids by their text.  Texts of any length are
+parsed whole.  Other columns are not read, whatever their names.
 
 Null texts and texts without letters get ``und`` and score 0.  Rows with a
 null language do not train.  Without training rows all texts get ``und``.
@@ -37,7 +46,9 @@ from pyspark.sql import functions as F
 LANE = 1024
 BLOCK = 2_000_000
 COUNT = 29             # a table entry is a state and, from this bit on, the phrases that end
-SPACE, OTHER = 0, 1
+WIDE = 60              # the same for tables that need 8 bytes
+SPACE, OTHER = 0, 1    # OTHER: letters that the language's text lacks
+BUCKETS = 64           # groups of Unicode blocks
 _LETTERS: list[np.ndarray] = []
 
 
@@ -53,7 +64,12 @@ def normalised(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
+def _bucket(point: np.ndarray) -> np.ndarray:
+    """The group of a code point's block of 128."""
+    return (point >> 7) * 2654435761 % 4294967296 * BUCKETS >> 32
+
+
+def automaton(symbols: list[int], width: int, shift: int = COUNT) -> np.ndarray:
     """Suffix automaton as a table [state, symbol] -> next state.  Where the
     state has no such edge, its phrase ends and the entry is the state after
     that symbol from the start; a symbol that the text lacks is a phrase too."""
@@ -82,49 +98,72 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = copy
         last = cur
-    table = np.full((len(nxt), width), -1, dtype=np.int32)
+    table = np.full((len(nxt), width), -1, dtype=np.int64)
     for s, edges in enumerate(nxt):
         for c, to in edges.items():
             table[s, c] = to
     unknown = table[0] < 0
-    restart = np.where(unknown, 2 << COUNT, table[0] | (1 << COUNT))
-    table[0] = np.where(unknown, 1 << COUNT, table[0])
-    return np.where(table < 0, restart, table).astype(np.int32)
+    restart = np.where(unknown, 2 << shift, table[0] | (1 << shift))
+    table[0] = np.where(unknown, 1 << shift, table[0])
+    return np.where(table < 0, restart, table)
 
 
 @dataclass
 class CrossParser:
     languages: list[str]
-    letters: str                # symbol of letters[i] is i + 2
+    letters: str                # class of letters[i] is i + 1 + BUCKETS; 1 to BUCKETS are the groups
+    own: np.ndarray             # [language, class] -> the language's symbol
     tables: np.ndarray          # all automata, flat; entries point to rows
     starts: np.ndarray
     bits: np.ndarray            # log2 of each language's length
+    shift: int
 
     @classmethod
     def fit(cls, texts: dict[str, list[str]], train_letters: int, letters: int) -> "CrossParser":
-        seen = Counter(c for found in texts.values() for t in found for c in t if c != " ")
-        alphabet = "".join(sorted(c for c, _ in sorted(
-            seen.items(), key=lambda x: (-x[1], x[0]))[:letters]))
-        code = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": SPACE}
-        width = len(alphabet) + 2
-        names, tables, starts, bits, at = [], [], [], [], 0
-        for name in sorted(texts):
-            text = " ".join(texts[name])[:train_letters]
-            table = automaton([code.get(c, OTHER) for c in text], width)
-            to = table & ((1 << COUNT) - 1)
-            tables.append((table - to) | ((to + at) * width))
-            names.append(name)
-            starts.append(at * width)
-            bits.append(math.log2(len(text) + 2))
-            at += len(table)
-        flat = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        return cls(names, alphabet, flat.astype(np.int32), np.asarray(starts, np.int32),
-                   np.asarray(bits))
+        names = sorted(texts)
+        joined = [" ".join(texts[name])[:train_letters] for name in names]
+        frequent = []
+        for text in joined:
+            seen = Counter(c for c in text if c != " ")
+            frequent.append({c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:letters]})
+        alphabet = "".join(sorted(set().union(*frequent)))
+        classes = np.array([0, *range(1, BUCKETS + 1), *(1 + _bucket(np.array([ord(c) for c in alphabet], np.int64)))])
+        own = np.full((len(names), 1 + BUCKETS + len(alphabet)), OTHER, np.uint8 if letters + BUCKETS < 254 else np.int32)
+        own[:, SPACE] = SPACE
+        widths = []
+        for k, (text, mine) in enumerate(zip(joined, frequent)):
+            rest = {ord(c) for c in text if c != " " and c not in mine}
+            groups = sorted(set((1 + _bucket(np.array(sorted(rest), np.int64))).tolist()))
+            group = {g: 2 + i for i, g in enumerate(groups)}
+            own[k, 1:] = [group.get(int(g), OTHER) for g in classes[1:]]
+            for i, c in enumerate(sorted(mine)):
+                own[k, 1 + BUCKETS + alphabet.index(c)] = 2 + len(groups) + i
+            widths.append(2 + len(groups) + len(mine))
+        # a suffix automaton has under two states for a letter
+        entries = sum(2 * (len(t) + 1) * w for t, w in zip(joined, widths))
+        shift = COUNT if entries < 1 << COUNT else WIDE
+        model = cls(names, alphabet, own, np.zeros(0, np.int32), np.zeros(0, np.int64),
+                    np.array([math.log2(len(t) + 2) for t in joined]), shift)
+        code = model.symbols()
+        tables, starts, at = [], [], 0
+        for k, (text, width) in enumerate(zip(joined, widths)):
+            symbols = own[k][code[np.array([ord(c) for c in text], np.int64)]] if text else []
+            table = automaton([int(x) for x in symbols], width, shift)
+            to = table & ((1 << shift) - 1)
+            tables.append(((table - to) | (to * width + at)).ravel())
+            starts.append(at)
+            at += table.size
+        kind = np.int32 if shift == COUNT else np.int64
+        model.tables = (np.concatenate(tables) if tables else np.zeros(0)).astype(kind)
+        model.starts = np.array(starts, kind)
+        return model
 
     def symbols(self) -> np.ndarray:
-        code = np.where(_is_letter(), np.uint8(OTHER), np.uint8(SPACE))
+        """The class of each code point."""
+        letter = _is_letter()
+        code = np.where(letter, 1 + _bucket(np.arange(len(letter))), SPACE).astype(np.uint16)
         for i, c in enumerate(self.letters):
-            code[ord(c)] = i + 2
+            code[ord(c)] = i + 1 + BUCKETS
         return code
 
     def phrases(self, texts: list[str], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,10 +194,10 @@ class CrossParser:
         live = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), side="left")
         for t, n in enumerate(live):
             s = state[:, :n]
-            s += sym[start[:n] + t]
+            s += self.own[:, sym[start[:n] + t]]
             got = self.tables.take(s)
-            count[:, :n] += got >> COUNT
-            np.bitwise_and(got, (1 << COUNT) - 1, out=s)
+            count[:, :n] += got >> self.shift
+            np.bitwise_and(got, (1 << self.shift) - 1, out=s)
         count += state != self.starts[:, None]      # the phrases that are open
         out = np.zeros((len(texts), langs))
         for k in range(langs):
@@ -190,13 +229,16 @@ def fit(labelled: DataFrame, train_letters: int = 24_000, train_docs: int = 96,
         letters: int = 60) -> CrossParser:
     """Fit on at most ``train_docs`` documents of each language, in the order
     of a hash of doc_id, that give ``train_letters`` letters together at most
-    (the first ``4 * train_letters / train_docs`` characters of each).  This
+    (``4 * train_letters / train_docs`` characters of each, from a place that the
+    hash chooses, so that a common beginning does not stand for the text).  This
     bounds the fitted model; prediction reads whole texts."""
     share = 4 * train_letters // train_docs
     by = Window.partitionBy("lang").orderBy("pick", "sample")
     rows = (labelled.filter("lang is not null and text is not null")
-            .select("lang", F.substring("text", 1, share).alias("sample"),
-                    F.xxhash64(F.col("doc_id").cast("string")).alias("pick"))
+            .withColumn("pick", F.xxhash64(F.col("doc_id").cast("string")))
+            .withColumn("place", F.pmod(F.xxhash64("pick"), F.greatest(
+                F.char_length("text") - share, F.lit(0)) + 1).cast("int") + 1)
+            .select("lang", F.substring(F.col("text"), F.col("place"), F.lit(share)).alias("sample"), "pick")
             .withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= train_docs)
             .orderBy("lang", "rank").collect())     # at most train_docs short rows a language
     texts: dict[str, list[str]] = {}
