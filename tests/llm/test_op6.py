@@ -46,7 +46,7 @@ def test_short_item_needs_most_of_it(spark):
 def test_shuffle_join_gives_the_same(spark, small):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     a = sorted(map(tuple, op.overlaps(small, bench).collect()))
-    assert a == sorted(map(tuple, op.overlaps(small, bench, broadcast_rows=0).collect())) and a
+    assert a == sorted(map(tuple, op.overlaps(small, bench, broadcast_bytes=-1).collect())) and a
 
 
 def test_exact_passages_of_the_tables(spark):
@@ -141,8 +141,43 @@ def test_short_items_with_substitutions_at_all_places(spark):
     docs = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string").cache()
     bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], ITEM)
     got = [set() for _ in texts]
-    for r in op.report(docs, bench).collect():
+    for r in op.report(docs, bench, min_item_tokens=1).collect():
         got[r["doc_id"]] = {x["item_id"] for x in r["ranges"]}
     assert got == want
-    a = sorted(map(tuple, op.windows(docs, bench).collect()))
-    assert a == sorted(map(tuple, op.windows(docs, bench, broadcast_rows=0).collect())) and a
+    a = sorted(map(tuple, op.windows(docs, bench, 1).collect()))
+    assert a == sorted(map(tuple, op.windows(docs, bench, 1, broadcast_bytes=-1).collect())) and a
+
+
+def test_items_of_few_tokens(spark):
+    """They count where they are the whole text, and nowhere else."""
+    items = ["Yes", "of the", "the end of day", "one two three four five six seven eight"]
+    texts = ["yes!", "Yes, of course", "the end of the day", "Of the.", "the end of day", "the end of night",
+             "say one two three four five six seven eight now", "of", "x one two three four five six seven"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), ITEM)
+    for options in ({}, {"broadcast_bytes": -1}):
+        got = {r["doc_id"]: [x["item_id"] for x in r["ranges"]] for r in op.report(docs, bench, **options).collect()}
+        assert got == {0: [0], 1: [], 2: [], 3: [1], 4: [2], 5: [], 6: [3], 7: [], 8: [3]}
+
+
+def test_recall_by_length_and_substitutions(spark):
+    """Items of 25 to 100 tokens with 5 to 20 % of the tokens substituted anywhere."""
+    rng = random.Random(11)
+    items, texts, group = [], [], []
+    for n in (25, 30, 31, 40, 60, 100):
+        for share in (0.05, 0.1, 0.2):
+            for k in range(60):
+                item = _words(n, len(items) + 5000)
+                gone = set(rng.sample(range(n), int(n * share)))
+                part = [f"x{p}" if p in gone else w for p, w in enumerate(item)]
+                items.append(" ".join(item))
+                texts.append(" ".join(["pre"] * rng.randint(0, 20) + part + ["post"] * rng.randint(0, 20)))
+                group.append((n, share))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), ITEM)
+    found = {r["doc_id"] for r in op.report(docs, bench).filter("contaminated").collect()}
+    for g in set(group):
+        mine = [k in found for k, x in enumerate(group) if x == g]
+        assert sum(mine) >= 0.95 * len(mine), (g, sum(mine), len(mine))
+    clean = spark.createDataFrame([(k, " ".join(_words(80, 90_000 + k))) for k in range(100)], "doc_id long, text string")
+    assert op.report(clean, bench).filter("contaminated").count() == 0
