@@ -118,10 +118,11 @@ def runs(data: np.ndarray, own: np.ndarray, begin: np.ndarray, count: np.ndarray
     the first place and at all others is one stretch."""
     same = ((own[1:] == own[:-1]) & (count[1:] == count[:-1]) & (key[1:] == key[:-1])
             & (trigger[1:] == trigger[:-1]) & (begin[1:] == begin[:-1] + count[:-1]))
-    for c in np.unique(count[1:][same]).tolist():       # at most SPREAD of them
-        at = np.flatnonzero(same & (count[1:] == c))
-        differ = np.concatenate(([0], np.cumsum(data[:-c] != data[c:])))
-        same[at] = differ[begin[at] + c + WINDOW - 1] == differ[begin[at]]
+    maybe = np.flatnonzero(same)
+    for some in np.array_split(maybe, len(maybe) // 50_000 + 1):    # equal hashes: compare the bytes
+        length = count[some] + WINDOW - 1
+        equal = _gather(data, begin[some], length) == _gather(data, begin[some + 1], length)
+        same[some] = np.logical_and.reduceat(equal, np.cumsum(length) - length) if len(some) else True
     lead = np.flatnonzero(np.concatenate(([True], ~same))) if len(own) else np.arange(0)
     return lead, np.diff(np.append(lead, len(own)))
 

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import give_back, written
 from tidemark.llm.components import components
 
 SHINGLE = 5
@@ -204,6 +204,7 @@ def classes(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text_key"], pa.array(ids, pa.int64()),
                  pa.array(sizes, pa.int64())], names=["doc_id", "text_key", "cls", "n"])
+        give_back()
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(
         scan, f"doc_id {kind}, text_key long, cls long, n long")
@@ -246,6 +247,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, lengths: np.ndarray) -> Data
                  pa.array(np.repeat(np.array(owners, np.int64), each)),
                  pa.array(np.repeat(np.array(sizes, np.int64), each))],
                 names=["shingle", "salt", "cls", "n"])
+        give_back()
 
     return docs.select("text").mapInArrow(scan, "shingle long, salt int, cls long, n long")
 
@@ -311,6 +313,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c for c, _ in found], pa.int64()),
                  pa.array([g for _, g in found], pa.list_(pa.int64()))], names=["cls", "grams"])
+        give_back()
 
     return written(
         docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
