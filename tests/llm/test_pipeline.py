@@ -51,8 +51,34 @@ def test_edges(spark, edge, empty):
         assert (now.count() > 0) == (docs is edge)
 
 
+def _bag(df):
+    return sorted((str(tuple(r)) for r in df.collect()))
+
+
+def test_each_stage_on_edge_rows(spark, edge):
+    """Nulls, repeated rows, clashing columns and long texts, each stage by itself."""
+    rows = _bag(edge)
+    good = corpus_pipeline.quality(spark, edge, SF)
+    assert good.columns == edge.columns and set(_bag(good)) <= set(rows)
+    clean = _bag(corpus_pipeline.decontamination(spark, edge, SF))
+    assert clean == rows
+    single = corpus_pipeline.near_duplicates(spark, edge, SF)
+    assert single.columns == edge.columns and set(_bag(single)) <= set(rows)
+    texts = [r["text"] for r in single.collect()]
+    assert texts.count(None) == 2 and "" in texts and " \n\t " in texts
+    assert len([t for t in texts if t and t.startswith(edge.filter("doc_id = 2").first()["text"][:40])]) == 1
+    private = corpus_pipeline.personal_data(spark, edge, SF)
+    rest = [c for c in edge.columns if c != "text"]
+    assert private.columns == edge.columns and _bag(private.select(*rest)) == _bag(edge.select(*rest))
+    assert private.filter("text is null").count() == edge.filter("text is null").count()
+    packed = corpus_pipeline.packing(spark, edge, SF).collect()
+    first = [r for r in packed if r["piece"] == 0]
+    assert len(first) == edge.count()
+    assert all(r["length"] == 1 for r in first if r["doc_id"] in (3, 4, 5))
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
     names = set(entry.queries())
     assert "pipeline" in names and set(queries.QUERIES) <= names
-    assert sorted(n.split("_")[0] for n in names if re.match(r"op\d+_", n)) == sorted(f"op{k}" for k in range(1, 11))
+    assert sorted(n.split("_")[0] for n in names if re.match(r"op\d+_", n)) == sorted(f"op{k}" for k in range(1, 14))
