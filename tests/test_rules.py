@@ -219,3 +219,22 @@ def test_csv_reader_against_duckdb(spark, tmp_path):
     want = duckdb.execute(f"SELECT * FROM read_csv('{path}', skip=2, header=true)").fetchall()
     assert got.columns == ["country", "medium", "users", "bounce_rate"]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_shared_tables_follow_the_input(spark, tmp_path):
+    """A rewritten input table is read again; an unchanged one is not."""
+    from tidemark.catalog import forget, shared
+    folder, built = str(tmp_path / "sf"), []
+
+    def table():
+        built.append(1)
+        return spark.read.parquet(f"{folder}/t.parquet")
+
+    spark.range(3).write.parquet(f"{folder}/t.parquet")
+    assert shared(spark, folder, "t", table).count() == shared(spark, folder + "/", "t", table).count() == 3
+    assert len(built) == 1
+    spark.range(5).write.mode("overwrite").parquet(f"{folder}/t.parquet")
+    assert shared(spark, folder, "t", table).count() == 5 and len(built) == 2
+    assert shared(spark, folder, "t", table).count() == 5 and len(built) == 2
+    forget(spark, folder)
+    assert shared(spark, folder, "t", table).count() == 5 and len(built) == 3

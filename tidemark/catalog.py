@@ -11,6 +11,7 @@ scaled by ``k = count(orders) / 15000`` (a scalar subquery on both sides).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -79,6 +80,21 @@ def k_scale(spark: SparkSession, sf_dir: str) -> Column:
 
 K_SQL = "(SELECT count(*) / 15000.0 FROM orders)"
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """What the folder holds now: names, sizes and times of its tables, in one
+    listing.  (A session without a JVM of its own has ``forget`` only.)"""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect
+        return ""
+    path = sc._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    system = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return ""
+    # access times change when a table is read
+    return re.sub(r"access_time=\d+", "", " ".join(sorted(s.toString() for s in system.listStatus(path))))
+
+
 def shared(spark: SparkSession, sf_dir: str, name: str,
            build: Callable[[], DataFrame]) -> DataFrame:
     """Build a derived table once per session and folder and reuse it.
@@ -87,11 +103,18 @@ def shared(spark: SparkSession, sf_dir: str, name: str,
     written once with ``checkpoint()`` into the session's checkpoint folder
     (shared storage on a cluster), so later plans read the stored rows instead
     of re-aggregating the fact tables, and a lost executor costs no rebuild.
-    The tables belong to the session object; ``forget`` drops them, for
-    instance after the input was rewritten.
+    The tables belong to the session object and to the folder as it is: after
+    one of its tables was rewritten they are built again (``_state``), and ``forget``
+    drops them.
     """
-    key = (sf_dir.rstrip("/"), name)
+    folder = sf_dir.rstrip("/")
     kept = spark.__dict__.setdefault("_tidemark_shared", {})
+    states = spark.__dict__.setdefault("_tidemark_states", {})
+    state = _state(spark, folder)
+    if states.get(folder, state) != state:
+        forget(spark, folder)
+    states[folder] = state
+    key = (folder, name)
     if key not in kept:
         ensure_checkpoint_dir(spark)
         kept[key] = build().checkpoint(eager=True)
