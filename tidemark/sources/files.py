@@ -40,19 +40,26 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def snake_case(name: str) -> str:
-    """Header normaliser in the spirit of ``clean_names``: lower snake case,
-    non-alphanumerics collapsed to ``_``, ``%`` spelled ``percent``, leading
-    digits prefixed with ``x``."""
-    s = name.strip().replace("%", "_percent_").replace("#", "_number_")
-    s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
-    s = re.sub(r"[^0-9A-Za-z]+", "_", s).strip("_").lower()
-    s = re.sub(r"_+", "_", s)
-    if not s:
-        s = "x"
-    if s[0].isdigit():
-        s = "x" + s
-    return s
+def _normaliser():
+    def snake_case(name: str) -> str:
+        """Header normaliser in the spirit of ``clean_names``: lower snake case,
+        non-alphanumerics collapsed to ``_``, ``%`` spelled ``percent``, leading
+        digits prefixed with ``x``."""
+        s = name.strip().replace("%", "_percent_").replace("#", "_number_")
+        s = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", s)
+        s = re.sub(r"[^0-9A-Za-z]+", "_", s).strip("_").lower()
+        s = re.sub(r"_+", "_", s)
+        if not s:
+            s = "x"
+        if s[0].isdigit():
+            s = "x" + s
+        return s
+
+    return snake_case
+
+
+# made by a function, so that workers get it by value and need not have this package
+snake_case = _normaliser()
 
 
 def clean_names(df: DataFrame) -> DataFrame:
