@@ -199,15 +199,16 @@ def fit_line(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def welch(n1, m1, v1, n2, m2, v2) -> dict:
-    """Columns t and df of the one-sided Welch test (H1: mean 1 > mean 2) from
-    counts, means and variances; null where neither group has variance or one
-    has under two values."""
+    """Columns t, df, p_value and log10_p of the one-sided Welch test (H1: mean 1
+    > mean 2) from counts, means and variances; null where neither group has
+    variance or one has under two values.  The p-value is the exact upper tail of
+    Student's t."""
     se1, se2 = v1 / n1, v2 / n2
     spread = F.when((se1 + se2) > 0, se1 + se2)
     t = (m1 - m2) / F.sqrt(spread)
     # a group of one value has no variance: v is null, or 0 / (n - 1) would fail
     dof = spread ** 2 / (F.try_divide(se1 ** 2, n1 - 1) + F.try_divide(se2 ** 2, n2 - 1))
-    return {"t": t, "df": dof}
+    return {"t": t, "df": dof, "p_value": upper_tail(t, dof), "log10_p": log10_tail(t, dof)}
 
 
 def _group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
