@@ -7,6 +7,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,9 +60,20 @@ def importable(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
 
 
+_CACHES: list[Callable[[], None]] = []
+
+
+def cached(clear: Callable[[], None]) -> None:
+    """Register what empties a cache that a Python worker keeps between tasks."""
+    _CACHES.append(clear)
+
+
 def give_back() -> None:
-    """Return freed memory to the system.  A Python worker outlives its task and
-    shares its executor's memory with whatever runs there next."""
+    """Empty the worker's caches and return freed memory to the system.  A Python
+    worker outlives its task and shares its executor's memory with whatever runs
+    there next, also of another operator."""
+    for clear in _CACHES:
+        clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)     # glibc has it
     if trim is not None:

@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import cached, written
 
 GROUP_ROWS = 20_000
 STOPS = (".", ",")
 _TOKENIZERS: dict[str, "SpacedTokenizer"] = {}
+cached(_TOKENIZERS.clear)
 
 
 class SpacedTokenizer:

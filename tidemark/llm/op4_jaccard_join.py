@@ -67,7 +67,7 @@ LONG, PARTS = 256, 16   # a list with more classes is joined in so many parts
 LEAST_BLOCKS = 8        # step B: blocks of classes, more if they would have
 BLOCK_ROWS = 1_000_000  # more rows of short lists or
 BLOCK_SHINGLES = 4_000_000  # more shingles than these
-PIECE = 1 << 20         # bytes of text that are hashed at a time
+PIECE = 1 << 18         # bytes of text that are hashed at a time
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -196,6 +196,7 @@ def classes(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in _slices(batches):
             ids, sizes = [], []
             for cls, mine in shingled(batch["text"].to_pylist()):
@@ -216,6 +217,7 @@ def postings(docs: DataFrame, frequent: np.ndarray, lengths: np.ndarray) -> Data
     the part of a list that is split, else -1."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         seen: set[int] = set()
         for batch in _slices(batches):
             keys, owners, sizes, salts = [], [], [], []
@@ -506,6 +508,7 @@ def _both(n: np.ndarray | int, m: np.ndarray | int) -> np.ndarray | int:
 
 def _candidates(table: pa.Table) -> pa.Table:
     """Classes of a task that share enough short lists with another one."""
+    give_back()
     queries, members, same = _sides(table)
     n, root, most, cls = (members.column(c).to_numpy() for c in ("n", "root", "most", "cls"))
     values, at = _rows_of(members, "lists")
@@ -559,6 +562,7 @@ class _Roots(dict):
 def _linked(table: pa.Table) -> pa.Table:
     """Links between the classes of a task, by their whole sets: those that join
     two components, as the others cannot change them."""
+    give_back()
     queries, members, same = _sides(table)
     n, root, cls = (members.column(c).to_numpy() for c in ("n", "root", "cls"))
     index = Index(n, root, *_rows_of(members, "grams"))

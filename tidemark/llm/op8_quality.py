@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import give_back
+from tidemark.llm.common import cached, give_back
 
 BUCKETS = 1 << 15
 RANK = 8
 KEEP_WORDS = 400_000
 STATISTICS = ("one", "declared", "length", "upper", "digits", "spaces", "symbols", "other",
               "word_length", "distinct", "commonest", "lines", "repeated_lines", "odd_words")
-_WORDS: dict[str, tuple[int, int, bool]] = {}
+_WORDS: dict[str, tuple[int, int, bool]] = {}      # up to 100 MB of a worker
+cached(_WORDS.clear)
 
 
 def _word(word: str) -> tuple[int, int, bool]:
@@ -64,12 +65,6 @@ def _word(word: str) -> tuple[int, int, bool]:
     return found
 
 
-def _forget() -> None:
-    """At the end of a task: the words kept are up to 100 MB of a worker."""
-    _WORDS.clear()
-    give_back()
-
-
 def features(text: str | None, declared: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Feature indexes and values of one text."""
     text = text or ""
@@ -180,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000) -> Factoris
                 [pa.array([i.tobytes() for i, _ in found], pa.binary()),
                  pa.array([v.astype(np.float32).tobytes() for _, v in found], pa.binary()),
                  pc.cast(batch["quality"], pa.int32())], names=["index", "value", "quality"])
-        _forget()
+        give_back()
 
     def train(table: pa.Table) -> pa.Table:
         table = table.sort_by([("index", "ascending"), ("value", "ascending"),
@@ -228,6 +223,6 @@ def score(docs: DataFrame, model: FactorisationMachine | None, out: str = "score
                 yield pa.RecordBatch.from_arrays(
                     [part[c] for c in names] + [pa.array(scores, pa.float64())],
                     names=names + [out])
-        _forget()
+        give_back()
 
     return docs.select(*names).mapInArrow(predict, schema)
